@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, sentencepiece_codec
+from . import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def model_path() -> str:
     """The vocabulary of the encoding queries."""
     import public_tokenizers
@@ -29,6 +34,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("th")
 
@@ -52,5 +61,5 @@ FROM lines LEFT JOIN common c ON lines.k = c.k
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_sentencepiece, op6_mix_sources, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup)}
 ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
