@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,17 @@ def materialize(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graphloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    path = os.path.realpath(tempfile.mkdtemp(prefix="spark-graphloom-")) + "/graphloom_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(path)
+    sc._graphloom_shipped = True
