@@ -68,7 +68,8 @@ def draws(targets: DataFrame, block_words: int, shards: int, seed: int) -> DataF
     b = F.ceil(F.col("source_size") / block_words)
     t = targets.withColumn("blocks", b).withColumn("n", F.least(F.round(F.col("target") / block_words).cast("long"), b * 2))
     t = t.where("n > 0").withColumn("prime", F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(F.lit(seed), "sk"), F.lit(len(PRIMES))) + 1).cast("int")))
-    rows = t.select("sk", "blocks", "n", "prime", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAWS_PER_ROW))).alias("r")).repartition("sk", "r")
+    rows = t.select("sk", "blocks", "n", "prime", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAWS_PER_ROW))).alias("r"))
+    rows = rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sk", "r")
     first = F.col("r") * DRAWS_PER_ROW
     each = rows.select("sk", "blocks", "prime", F.explode(F.sequence(first, F.least(first + DRAWS_PER_ROW, F.col("n")) - 1)).alias("i"))
     wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products pass 64 bits

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize
+from ..session import materialize, ship_package
 from .common import packed, text_of, unpacked
 from .shingles import K1, U, mix, shingle_sets
 
@@ -155,6 +155,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     component. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), text_of().alias("t"))
     told = spark.sparkContext.broadcast(common_tokens(texts, width, percent))
     docs_sets = materialize(document_sets(texts, width, percent, told))

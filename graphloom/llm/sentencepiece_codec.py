@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import packed, text_of, unpacked
 
 MARK = "▁"
@@ -190,6 +191,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     columns and empty tables pass through. model_path is read on the driver; the vocabulary (under 1 MB)
     is broadcast.
     """
+    ship_package(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     base = packed(docs).withColumn("t", text_of("row.text"))

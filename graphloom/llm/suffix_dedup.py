@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import text_of
 from .shingles import U, mix, utf8
 
@@ -212,6 +213,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     if not Q <= length <= 3 * Q:
         raise ValueError(f"length must be from {Q} to {3 * Q}")
+    ship_package(docs.sparkSession)
     base = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), text_of().alias("t"))
     total = base.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     parts = max(16, -(-total // BLOCK_BYTES))
