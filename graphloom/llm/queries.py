@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_forest, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup
+from . import embedding_forest, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in pii.BASE]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op10_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -65,5 +72,5 @@ FROM lines LEFT JOIN common c ON lines.k = c.k
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op10_embedding_forest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op8_pii, op10_embedding_forest)}
 ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
