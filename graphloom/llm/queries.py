@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_forest, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
+from . import embedding_forest, line_crf, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_crf.score(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -72,5 +78,5 @@ FROM lines LEFT JOIN common c ON lines.k = c.k
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op8_pii, op10_embedding_forest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op8_pii, op9_line_crf, op10_embedding_forest)}
 ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
