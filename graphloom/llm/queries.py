@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_forest, line_crf, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
+from . import embedding_forest, html_diff, line_crf, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def model_path() -> str:
     """The vocabulary of the encoding queries."""
     import public_tokenizers
@@ -78,5 +82,5 @@ FROM lines LEFT JOIN common c ON lines.k = c.k
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op8_pii, op9_line_crf, op10_embedding_forest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_html_diff, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op8_pii, op9_line_crf, op10_embedding_forest)}
 ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
