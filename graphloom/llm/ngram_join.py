@@ -7,22 +7,24 @@
    prefixes come last; which ones do is counted over all documents and only affects the work, so the
    list of them has a fixed bound and is broadcast.
 3. Sets with the same prefix and size form one group and post their prefix once.
-4. Group pairs that share a token and pass the size and position filters are expanded to their members,
-   and those are verified on their whole texts.
-
-Links are only needed up to connectivity, so no group of copies is ever paired off in full: the sets on a
-token's list are first verified against one pivot per size class. Pairs are then formed only between
-sets that are in different components, from the list's minority components to the rest, until no new
-link is found.
+4. Group pairs meet on short token lists and count their common prefix tokens. Sets whose common tokens,
+   with all that may be common beyond the prefixes, can't reach the threshold are dropped exactly (count
+   and size filter). The rest is expanded to members and verified on whole texts.
+5. Long token lists (over SHORT_LIST sets: copies with edits by the thousand) aren't paired off. The sets on
+   them form components over shared tokens; a component is verified whole, in blocks of two chunks of at
+   most BLOCK_SETS sets, which return only the links that connect something new.
+
+Links are only needed up to connectivity, so what leaves a block is linear in its sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -32,6 +34,8 @@ from .shingles import K1, U, mix, shingle_sets
 
 #: A token on this many prefixes goes to the end of the order; at most so many are told to all tasks.
 COMMON, COMMON_KEPT = 48, 1 << 20
+#: A list of so many sets is paired off. Most sets of a chunk, of which two meet in a task.
+SHORT_LIST, BLOCK_SETS = 64, 2048
 #: Sets of ids up to this size (8 MB) are broadcast, larger ones shuffled.
 BROADCAST_IDS = 1 << 20
 
@@ -98,7 +102,7 @@ def document_sets(texts: DataFrame, width: int, percent: int, common) -> DataFra
 
 
 def prefix_postings(texts: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """token, s (the set's document) and np (size and position of the token) for every prefix token."""
+    """token, s (the set's document) and n (its size) for every prefix token."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batched(batches):
@@ -106,12 +110,10 @@ def prefix_postings(texts: DataFrame, width: int, percent: int, common) -> DataF
             heads = [_prefix(s, common.value, percent) if len(s) else s for s in sets]
             k = np.array([len(h) for h in heads], np.int64)
             n = np.repeat(np.array([len(s) for s in sets], np.int64), k)
-            first = np.repeat(np.cumsum(k) - k, k)
-            pos = np.arange(len(n)) - first
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(ids), pa.array(n << 32 | pos)], ["token", "s", "np"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(ids), pa.array(n)], ["token", "s", "n"])
 
-    return texts.select("d", "t").mapInArrow(post, "token long, s long, np long")
+    return texts.select("d", "t").mapInArrow(post, "token long, s long, n long")
 
 
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -119,30 +121,152 @@ def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose whole texts reach the threshold."""
-    pairs = materialize(pairs)
-    need = materialize(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct())
-    own = only(texts.select("d", "t"), need, "d")
-    both = pairs.join(own.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
+def blocked(pairs: DataFrame) -> DataFrame:
+    """pairs with block: pairs of one small component of candidates share a block, so that its texts travel
+    once; the pairs of a larger one are dealt by b and, where b has many, by parts of its partners."""
+    parts = connected_components(pairs)
+    size = parts.groupBy("component").agg(F.count("*").alias("size"))
+    homes = parts.join(size, "component").select(F.col("id").alias("b"), F.when(F.col("size") <= BLOCK_SETS, F.col("component")).alias("home"))
+    degree = pairs.groupBy("b").agg(F.count("*").alias("k")).join(homes, "b")
+    own = F.xxhash64(F.lit("b"), "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / BLOCK_SETS)))
+    return pairs.join(degree, "b").select("a", "b", F.when(F.col("home").isNotNull(), F.xxhash64(F.lit("home"), "home")).otherwise(own).alias("block"))
+
+
+def with_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (block, d, ...) with their texts; a small list of members is broadcast, a larger one shuffled."""
+    return texts.select("d", "t").join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "d")
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name).combine_chunks()
+    return c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([r[0] for r in found], pa.int64()), "b": pa.array([r[1] for r in found], pa.int64())})
+
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batched(batches, 200):
-            ok = []
-            for x, y in zip(shingle_sets(b.column(2), width), shingle_sets(b.column(3), width), strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+class Union:
+    """Union-find over the ids of a block."""
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
+    def top(self, x: int) -> int:
+        root = self.root
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
 
-def filters(percent: int, x: str = "x", y: str = "y"):
-    """Size and position filters for two postings of one token."""
-    n, m = F.shiftright(f"{x}.np", 32), F.shiftright(f"{y}.np", 32)
-    i, j = F.col(f"{x}.np").bitwiseAND((1 << 32) - 1), F.col(f"{y}.np").bitwiseAND((1 << 32) - 1)
-    least = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (1 + F.least(n - i - 1, m - j - 1) >= least)
+
+def verify_pairs(left: pa.Table, right: pa.Table, width: int, percent: int) -> pa.Table:
+    """The listed pairs (right: a, b) of a block that link on their whole texts (left: d, t). A pair that earlier
+    links already connect isn't looked at."""
+    sets: dict[int, list[np.ndarray]] = {}
+    for d, s in zip(left.column("d").to_pylist(), shingle_sets(_column(left, "t"), width), strict=True):
+        sets.setdefault(d, []).append(s)
+    union, out = Union(), []
+    for a, b in sorted(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True)):
+        ra, rb = union.top(a), union.top(b)
+        if ra == rb:
+            continue
+        for x, y in ((x, y) for x in sets[a] for y in sets[b]):
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                union.root[ra] = rb
+                out.append((a, b))
+                break
+    return _links(out)
+
+
+def verify_chunks(table: pa.Table, width: int, percent: int) -> pa.Table:
+    """The links within a chunk, or between two (u and w differ), that connect something new. rows: d, t, side, own.
+
+    A prefix join of its own, with shingles ordered by their frequency here, finds the candidates; the likeliest
+    are verified first, and those that a link has meanwhile connected are left out. Pairs of which neither
+    set is of the block's own size band are left to another block.
+    """
+    ids, side, own = (table.column(c).to_numpy() for c in ("d", "side", "own"))
+    across = table.column("u")[0].as_py() != table.column("w")[0].as_py()
+    sets = shingle_sets(_column(table, "t"), width)
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((ids, n))
+    ids, side, own, n, sets = ids[order], side[order], own[order], n[order], [sets[i] for i in order.tolist()]
+    some = n > 0
+    ids, side, own, n, sets = ids[some], side[some], own[some], n[some], [s for s in sets if len(s)]
+    if not len(n):
+        return _links([])
+    _, entry = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(n)), n)
+    rare = np.lexsort((entry, np.bincount(entry)[entry], doc))
+    head = prefix_sizes(n, percent)
+    heads = entry[rare][np.arange(len(entry)) - starts[doc] < head[doc]]
+    first = np.cumsum(head) - head
+    owner = np.repeat(np.arange(len(n)), head)
+    by_token = np.argsort(heads, kind="stable")
+    lists, bounds = owner[by_token], np.append(0, np.cumsum(np.bincount(heads, minlength=int(entry.max()) + 1)))
+    root, mark, out = np.arange(len(n)), np.zeros(len(bounds), np.int64), []
+    for i in range(len(n)):
+        tokens = heads[first[i] : first[i] + head[i]]
+        c = np.bincount(np.concatenate([lists[bounds[k] : bounds[k + 1]] for k in tokens.tolist()]), minlength=len(n))[:i]
+        j = np.flatnonzero(c)
+        fit = (100 * n[j] >= percent * n[i]) & (root[j] != root[i]) & (own[j] | own[i])
+        fit &= (c[j] + np.maximum(n[i] - head[i], n[j] - head[j])) * (100 + percent) >= (n[i] + n[j]) * percent
+        if across:
+            fit &= side[j] != side[i]
+        j = j[fit]
+        j = j[np.argsort(-c[j], kind="stable")]
+        if len(j):
+            mark[entry[starts[i] : starts[i] + n[i]]] = 1
+        while len(j):
+            now, j = j[:16], j[16:]
+            shared = np.array([mark[entry[starts[k] : starts[k] + n[k]]].sum() for k in now.tolist()])
+            for k in now[100 * shared >= percent * (n[i] + n[now] - shared)].tolist():
+                if root[k] != root[i]:
+                    root[root == root[k]] = root[i]
+                    out.append((int(ids[i]), int(ids[k])))
+            j = j[root[j] != root[i]]
+        mark[entry[starts[i] : starts[i] + n[i]]] = 0
+    return _links(out)
+
+
+def short_list_pairs(short: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of sets on a common short list that the count filter can't drop.
+
+    Common tokens up to the lesser of the two prefixes' ends are all in both prefixes. So the overlap is at
+    most: the common short-list tokens, the long-list tokens of the set that has fewer, and what lies
+    beyond the prefix of one of the two.
+    """
+    x, y = short.alias("x"), short.alias("y")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.s") > F.col("y.s")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    pairs = x.join(y, meet).groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.countDistinct("x.token").alias("c"))
+    many = long.groupBy("s").agg(F.countDistinct("token").alias("h"))
+    pairs = pairs.join(many.withColumnsRenamed({"s": "a", "h": "ha"}), "a", "left").join(many.withColumnsRenamed({"s": "b", "h": "hb"}), "b", "left").na.fill(0, ["ha", "hb"])
+    beyond = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1  # noqa: E731  size less prefix
+    most = F.col("c") + F.least("ha", "hb") + F.greatest(beyond("na"), beyond("nb"))
+    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
+def long_list_chunks(long: DataFrame, percent: int) -> DataFrame:
+    """(block, d, side, own, u, w): the sets of each component over long lists, dealt to all pairs of its chunks.
+
+    Sizes fall into bands such that links stay within a band or join neighbours. A band's sets (own) meet each
+    other and those of the band below; a list counts once per band, so that components don't run through
+    sizes that can't link.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + F.lit(1e-9))
+    listed = long.select("s", "token", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x")).select("s", "token", "x.*")
+    first = listed.groupBy("token", "band").agg(F.min("s").alias("b"), F.bool_or("own").alias("some")).where("some").drop("some")
+    edges = listed.join(first, ["token", "band"]).select("band", "own", F.struct("band", "s").alias("a"), F.struct("band", F.col("b").alias("s")).alias("b"))
+    parts = connected_components(edges)
+    size = parts.groupBy("component").agg(F.count("*").alias("size"))
+    each = parts.join(size, "component").withColumn("chunks", F.ceil(F.col("size") / BLOCK_SETS))
+    bands = listed.select(F.struct("band", "s").alias("id"), "own").distinct()
+    each = each.join(bands, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    u, w = F.least("side", "other"), F.greatest("side", "other")
+    return each.select(F.xxhash64("component", u, w).alias("block"), F.col("id.s").alias("d"), "side", "own", u.alias("u"), w.alias("w"))
 
 
 def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -168,40 +292,26 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     extra = docs_sets.select("d").where("d IS NOT NULL").distinct().join(heads, "d", "left_anti")
     extra = materialize(extra)
     posted = prefix_postings(only(texts.where("d IS NOT NULL"), extra, "d", "left_anti"), width, percent, told)
-    lists = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    posted = materialize(posted.join(lists, "token"))
-
-    # groups expand to their members; a group of several sets is a list of its own
-    several = heads.where("members > 1").select("g", F.col("d").alias("head"))
-    inside = sets.join(several, "g").select("g", "head", "s", "n")
-    rest = inside.where("s != head")
-    posted = posted.unionByName(posted.join(rest.select("head", F.col("s").alias("m")), posted.s == F.col("head")).select("token", F.col("m").alias("s"), "np"))
-    posted = posted.unionByName(inside.select(F.col("g").alias("token"), "s", F.shiftleft("n", 32).alias("np")))
-    posted = materialize(posted)
-
-    # one pivot per token and size class
-    step = F.floor(F.log(F.shiftright("np", 32).cast("double")) / 0.1)
-    classed = posted.withColumn("class", step)
-    pivots = classed.groupBy("token", "class").agg(F.min("s").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("token", "class", "pivot")
-    pairs = classed.join(pivots, ["token", "class"]).where("s != pivot").select(F.greatest("s", "pivot").alias("a"), F.least("s", "pivot").alias("b")).distinct()
-    tried = materialize(pairs)
-    links = materialize(verified(tried, texts, width, percent))
-
-    while True:
-        parts = connected_components(links)
-        marked = materialize(posted.join(parts.withColumnRenamed("id", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).select("token", "s", "np", "c"))
-        homes = marked.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("home"), F.count("*").alias("parts")).where("parts > 1").select("token", "home")
-        listed = materialize(marked.join(homes, "token"))
-        few = listed.where("c != home")
-        pairs = few.alias("x").join(listed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & filters(percent)).select(F.greatest("x.s", "y.s").alias("a"), F.least("x.s", "y.s").alias("b")).distinct()
-        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        found = materialize(verified(fresh, texts, width, percent))
-        tried = materialize(tried.union(fresh))
-        if found.isEmpty():
-            break
-        links = materialize(links.union(found))
+    on_list = F.count("*").over(Window.partitionBy("token"))
+    posted = materialize(posted.withColumn("k", on_list).where("k > 1").drop("k"))
+
+    # groups expand to their members, whose whole prefixes are common: small groups are paired off, large ones are lists of their own
+    several = heads.where("members > 1").select("g", F.col("d").alias("head"), "members")
+    inside = materialize(sets.join(several, "g").select("g", "head", "s", "n", "members"))
+    posted = posted.unionByName(posted.join(inside.where("s != head").select("head", F.col("s").alias("m")), posted.s == F.col("head")).select("token", F.col("m").alias("s"), "n"))
+    posted = posted.unionByName(inside.where(F.col("members") > SHORT_LIST).select(F.col("g").alias("token"), "s", "n"))
+    kin = inside.where(F.col("members") <= SHORT_LIST).select("g", "s")
+    kin = kin.withColumnRenamed("s", "a").join(kin.withColumnRenamed("s", "b"), "g").where("a > b").select("a", "b")
+    counts = posted.groupBy("token").agg(F.count("*").alias("k"))
+    sized = materialize(posted.join(counts, "token"))
+    short, long = sized.where(F.col("k") <= SHORT_LIST).drop("k"), sized.where(F.col("k") > SHORT_LIST).drop("k")
+
+    pairs = materialize(blocked(materialize(short_list_pairs(short, long, percent).union(kin).distinct())))
+    need = materialize(pairs.select("block", F.col("a").alias("d")).union(pairs.select("block", "b")).distinct())
+    found = with_texts(need, texts).groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(lambda x, y: verify_pairs(x, y, width, percent), "a long, b long")
+    members = materialize(long_list_chunks(long, percent))
+    alike = with_texts(members, texts).groupBy("block", "u", "w").applyInArrow(lambda t: verify_chunks(t, width, percent), "a long, b long")
+    parts = connected_components(materialize(found.union(alike)))
 
     named = sets.join(parts.withColumnRenamed("id", "s"), "s", "left").select("f1", "f2", "n", F.coalesce("component", "s").alias("c"))
     out = docs_sets.join(named, ["f1", "f2", "n"], "left")
