@@ -6,28 +6,33 @@ from dataclasses import dataclass, field
 
 #: Layers in order of precedence with their globs.
 LAYERS = {
-    "ui": ["*/components/*", "*/views/*", "*/pages/*", "*.vue", "*.razor"],
-    "state": ["*/store/*", "*/stores/*", "*/state/*"],
-    "client": ["*/clients/*", "*/services/api/*"],
-    "api": ["*/Api/*", "*/Controllers/*", "*/Endpoints/*"],
-    "application": ["*/Application/*", "*/Services/*", "*/UseCases/*"],
-    "domain": ["*/Domain/*", "*/Entities/*", "*/Models/*"],
-    "infrastructure": ["*/Infrastructure/*", "*/Repositories/*", "*/Persistence/*", "*/Data/*"],
+    "ui": ["*.vue", "*.tsx", "*.jsx", "*.component.ts"],
+    "state": ["*/stores/*.ts", "*/composables/*.ts"],
+    "client": ["*/api/*.ts", "*/services/*.ts", "*.service.ts"],
+    "api": ["*/Api/*.cs", "*.Api/*.cs", "*/Controllers/*.cs", "*/Endpoints/*.cs", "*/controller/*.java", "*/web/*.java"],
+    "application": ["*/Application/*.cs", "*.Application/*.cs", "*/service/*.java"],
+    "domain": ["*/Domain/*.cs", "*.Domain/*.cs", "*.Core/*.cs", "*/domain/*.java", "*/model/*.java", "*/entity/*.java"],
+    "infrastructure": ["*/Infrastructure/*.cs", "*.Infrastructure/*.cs", "*/Persistence/*.cs"],
 }
 #: What a layer may use. A layer that isn't named may use any; an empty list allows none.
 ALLOW = {
     "ui": ["state", "client"],
     "state": ["client"],
     "client": ["http"],
-    "api": ["application", "domain"],
-    "application": ["domain", "infrastructure"],
+    "api": ["application", "domain", "infrastructure"],
+    "application": ["domain"],
     "domain": [],
-    "infrastructure": ["domain"],
+    "infrastructure": ["application", "domain"],
 }
 SEVERITY = {"ARCH-001": "high", "ARCH-002": "medium", "ARCH-003": "medium", "ARCH-004": "low"}
 GATE = {"min_coverage": 80, "max_critical": 0, "max_violations": 0, "max_cycles": 0}
+#: Systems, verbs and framework namespaces of the security rules.
 SENSITIVE = ("database", "storage", "identity", "email", "messaging", "cache")
 MUTATING = ("POST", "PUT", "PATCH", "DELETE")
+FRAMEWORKS = (
+    "Microsoft.AspNetCore", "Microsoft.Identity", "Microsoft.IdentityModel", "Microsoft.Owin.Security", "org.springframework.security",
+    "org.springframework.web", "jakarta.servlet", "javax.servlet", "jakarta.ws.rs", "javax.ws.rs",
+)
 
 
 @dataclass(frozen=True)

@@ -48,10 +48,10 @@ def stem(word: Column) -> Column:
         (n > 3) & word.endswith("s") & ~word.endswith("ss"), F.left(word, n - 1)).otherwise(word)
 
 
-def words(text: Column) -> Column:
-    """Lower-case words, camel case cut up."""
-    parts = F.split(F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"[^A-Za-z0-9]+")
-    return F.filter(F.transform(parts, F.lower), lambda w: w != "")
+def words(text: Column, camel: bool = False) -> Column:
+    """Lower-case words of letters and digits; camel case is cut up where asked for."""
+    t = F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])", " ") if camel else text
+    return F.filter(F.transform(F.split(t, r"[^\p{L}\p{N}]+"), F.lower), lambda w: w != "")
 
 
 def numbers(text: Column) -> Column:
@@ -103,11 +103,14 @@ def host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
+#: A literal version: up to four numbers, prerelease labels, build data that doesn't count.
+VERSION = r"^\s*(\d+(?:\.\d+){0,3})(?:-([0-9A-Za-z.\-]+))?(?:\+[0-9A-Za-z.\-]+)?\s*$"
+
+
 def version_key(version: Column) -> Column:
     """A struct that orders versions: four numbers, releases after prereleases, then the prerelease labels
     (numbers before words, numbers by value). Null where the text is no version."""
-    v = F.regexp_extract(version, r"^[vV]?(\d+(?:\.\d+){0,3})(?:-([0-9A-Za-z.-]+))?(?:\+.*)?$", 1)
-    pre = F.regexp_extract(version, r"^[vV]?(\d+(?:\.\d+){0,3})(?:-([0-9A-Za-z.-]+))?(?:\+.*)?$", 2)
+    v, pre = F.regexp_extract(version, VERSION, 1), F.regexp_extract(version, VERSION, 2)
     nums = F.transform(F.slice(F.concat(F.split(v, r"\."), F.array_repeat(F.lit("0"), 4)), 1, 4), lambda x: x.cast("long"))
     label = lambda x: F.struct(F.when(x.rlike(r"^\d+$"), 0).otherwise(1).alias("word"), F.coalesce(x.try_cast("long"), F.lit(0)).alias("n"), x.alias("s"))
     labels = F.when(pre == "", F.array().cast("array<struct<word:int,n:bigint,s:string>>")).otherwise(F.transform(F.split(pre, r"\."), label))
@@ -125,10 +128,10 @@ def package_url(ecosystem: Column, name: Column, version: Column) -> Column:
 
 
 def change_kind(before: Column, after: Column) -> Column:
-    """major, minor, patch, prerelease, same or unknown, from two versions."""
+    """major, minor, patch, downgrade, same or unknown, from two versions."""
     a, b = version_key(before), version_key(after)
     n = lambda k: a["numbers"][k] != b["numbers"][k]
-    return F.when(a.isNull() | b.isNull(), "unknown").when(n(0), "major").when(n(1), "minor").when(n(2) | n(3), "patch").when(a == b, "same").otherwise("prerelease")
+    return F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "same").when(a > b, "downgrade").when(n(0), "major").when(n(1), "minor").otherwise("patch")
 
 
 def short_hash(parts: Column) -> Column:
@@ -173,15 +176,23 @@ def xml_text(doc: Column, tag: str) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"\s+", " "))
 
 
-#: Words that say nothing in a doc text.
-FILLER = ("a", "an", "the", "this", "that", "of", "for", "to", "in", "on", "and", "or", "is", "are", "get", "set", "gets", "sets", "value", "class", "method", "represents")
-PLACEHOLDER = r"(?i)\b(?:todo|tbd|fixme|lorem ipsum)\b|^\s*(?:\.\.\.|…|-)\s*$"
+#: Words that carry no meaning of their own in a summary, and texts that are placeholders.
+FILLER = (
+    "a", "an", "the", "this", "that", "these", "its", "it", "of", "for", "to", "from", "by", "with", "in", "on", "at",
+    "as", "and", "or", "is", "are", "be", "given", "specified", "provided", "current", "method", "function", "class",
+    "property", "value", "object", "instance", "get", "return", "retrieve", "fetch", "set", "handle", "perform", "do",
+    "call", "invoke", "execute", "run", "async", "asynchronously", "new",
+)
+PLACEHOLDER = (
+    r"(?i)^\W*(todo|fixme|tbd|xxx|hack)\b|^\W*(summary|description)\W*$|^\W*add (a )?(summary|description)\b"
+    r"|^\W*initializes a new instance of\b|\b(todo|fixme)\b:"
+)
 
 
 def doc_flags(text: Column, name: Column, min_words: int = 3) -> Column:
     """Flags of a written text: placeholder, too-short, and echo where its words only repeat the name's."""
-    own = F.transform(words(text), stem)
-    told = F.array_except(own, F.array(*[F.lit(w) for w in FILLER]))
-    known = F.transform(words(name), stem)
-    flags = [F.when(text.rlike(PLACEHOLDER), "placeholder"), F.when(F.size(own) < min_words, "too-short"), F.when((F.size(own) > 0) & (F.size(F.array_except(told, known)) == 0), "echo")]
+    own = words(text)
+    told = F.transform(F.filter(own, lambda w: ~w.isin(*FILLER) & ~stem(w).isin(*FILLER)), stem)
+    known = F.transform(words(name, camel=True), stem)
+    flags = [F.when(text.rlike(PLACEHOLDER), "placeholder"), F.when(F.size(own) < min_words, "too-short"), F.when(F.size(F.array_except(told, known)) == 0, "echo")]
     return F.array_compact(F.array(*flags))

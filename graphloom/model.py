@@ -20,8 +20,9 @@ EDGES = T.StructType(
     + [T.StructField("label", T.StringType()), T.StructField("ord", T.LongType(), False)]
 )
 
-#: Edge kinds that are dependencies, in their usual order.
-DEPENDENCY_KINDS = ("calls", "creates", "accesses", "injects", "implements", "inherits", "imports", "renders", "publishes", "subscribes", "http")
+#: Edge kinds that are dependencies, and all kinds that a rule may name.
+DEPENDENCY_KINDS = ("calls", "injects", "implements", "inherits", "imports", "renders", "routes-to", "persists", "publishes", "subscribes", "http", "creates")
+EDGE_KINDS = (*DEPENDENCY_KINDS, "contains", "accesses", "registers", "connects", "reads", "binds", "references", "depends-on", "tests", "uses-namespace", "pipeline", "hosts")
 
 
 def model_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:

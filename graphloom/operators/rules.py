@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ALLOW, MUTATING, SEVERITY, Architecture, Selector
+from ..config import ALLOW, FRAMEWORKS, MUTATING, SEVERITY, Architecture, Selector
 from ..functions import scalars as S
 from .assembly import first_by
 from .graph import layer_via, strong_components
@@ -21,15 +21,15 @@ def with_layer(nodes: DataFrame, layers: dict[str, list[str]]) -> DataFrame:
 def need_score(n: DataFrame) -> DataFrame:
     """Documentation need of nodes (visibility, complexity, params, fan_in, effects, is_type): score, level and
     the reasons in order. Items below medium are dropped by callers, before coverage is taken."""
-    c = F.coalesce("complexity", F.lit(0))
+    c, params, callers = (F.coalesce(x, F.lit(0)) for x in ("complexity", "params", "fan_in"))
+    say = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
     parts = [
-        (F.col("visibility").isin("public", "protected"), 2, "public"),
-        (c >= 15, 3, "very complex"), ((c >= 8) & (c < 15), 2, "complex"), ((c >= 4) & (c < 8), 1, "branches"),
-        (F.coalesce("params", F.lit(0)) >= 4, 1, "many parameters"),
-        (F.coalesce("fan_in", F.lit(0)) >= 3, 1, "often used"),
-        (F.coalesce("effects", F.lit(0)) > 0, 1, "has effects"),
-    ]
-    parts[-1] = (parts[-1][0] & ~F.col("is_type"), 1, "has effects")
+        (F.coalesce(F.col("visibility").isin("public", "protected"), F.lit(False)), F.lit(2), F.col("visibility")),
+        (c >= 4, F.when(c >= 15, 3).when(c >= 8, 2).otherwise(1), say("complexity ", c)),
+        (params >= 4, F.lit(1), say(params, " params")),
+        (callers >= 3, F.lit(1), say(callers, " callers")),
+        ((F.coalesce("effects", F.lit(0)) > 0) & ~F.col("is_type"), F.lit(1), F.lit("side effects")),
+    ]
     score = sum((F.when(cond, pts).otherwise(0) for cond, pts, _ in parts), F.lit(0))
     reasons = F.array_join(F.array_compact(F.array(*[F.when(cond, why) for cond, _, why in parts])), ", ")
     out = n.withColumn("score", score).withColumn("reasons", reasons)
@@ -121,9 +121,10 @@ def custom_violations(edges: DataFrame, config: Architecture) -> DataFrame:
 
 
 def endpoint_auth(endpoints: DataFrame) -> DataFrame:
-    """SEC-001: a mutating endpoint without auth metadata; SEC-002: another one without. endpoints: id, verb, auth, anonymous."""
-    bare = ~F.coalesce("auth", F.lit(False)) & ~F.coalesce("anonymous", F.lit(False))
-    return endpoints.where(bare).select(F.when(F.upper("verb").isin(*MUTATING), "SEC-001").otherwise("SEC-002").alias("rule"), "id")
+    """SEC-002: a mutating endpoint that doesn't require authorization, anonymous ones too; SEC-001: another one that
+    declares neither. endpoints: id, verb, auth (authorize, anonymous or none)."""
+    rule = F.when(F.col("verb").isin(*MUTATING) & (F.col("auth") != "authorize"), "SEC-002").when(~F.col("verb").isin(*MUTATING) & (F.col("auth") == "none"), "SEC-001")
+    return endpoints.select(rule.alias("rule"), "id").where("rule IS NOT NULL")
 
 
 def direct_store_access(edges: DataFrame, layers: DataFrame, stores: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def direct_store_access(edges: DataFrame, layers: DataFrame, stores: DataFrame)
     return edges.join(api, "from_id", "left_semi").join(stores.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.lit("SEC-003").alias("rule"), F.col("from_id").alias("id"), "to_id").distinct()
 
 
-def framework_coupling(uses: DataFrame, prefixes: list[str]) -> DataFrame:
+def framework_coupling(uses: DataFrame, prefixes: tuple[str, ...] = FRAMEWORKS) -> DataFrame:
     """SEC-004: a domain node that uses a framework namespace. uses: id, layer, namespace."""
     hit = F.lit(False)
     for p in prefixes:

@@ -257,8 +257,8 @@ def doc_need_score(spark, sf):
     return R.need_score(d).select("doc_id", "score", "level")
 
 
-@query("""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM benchmark)
-SELECT item_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\\b(todo|tbd|fixme|lorem ipsum)\\b') THEN 'placeholder' END, CASE WHEN len(ws) < 3 THEN 'too-short' END) AS flags FROM w""")
+@query(r"""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark)
+SELECT item_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)^\W*(todo|fixme|tbd|xxx|hack)\b|\b(todo|fixme)\b:') THEN 'placeholder' END, CASE WHEN len(ws) < 3 THEN 'too-short' END) AS flags FROM w""")
 def doc_quality_flags(spark, sf):
     return t(spark, sf, "benchmark").select("item_id", F.array_join(S.doc_flags(F.col("text"), F.lit("zzz")), ",").alias("flags"))
 
@@ -506,10 +506,10 @@ def version_drift(spark, sf):
     return A.version_drift(package_uses(spark, sf))
 
 
-@query(f"""SELECT p_type AS project, kind FROM (SELECT p_type, max(CASE WHEN p_size <> 20 THEN 3 WHEN p_partkey % 3 <> 1 THEN 2 ELSE 0 END) AS r FROM part GROUP BY 1) JOIN (VALUES (3, 'major'), (2, 'minor'), (0, 'same')) v(r, kind) USING (r)""")
+@query(f"""SELECT p_type AS project, kind FROM (SELECT p_type, max(CASE WHEN p_size < 20 THEN 3 WHEN p_size > 20 THEN 4 WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 3 = 2 THEN 4 ELSE 0 END) AS r FROM part GROUP BY 1) JOIN (VALUES (3, 'major'), (2, 'minor'), (4, 'downgrade'), (0, 'same')) v(r, kind) USING (r)""")
 def worst_change(spark, sf):
     plan = R.change_plan(package_uses(spark, sf), F.lit("20.1.0"))
-    return A.worst_change(plan, ["project"], ["same", "prerelease", "patch", "minor", "major"])
+    return A.worst_change(plan, ["project"], ["same", "patch", "minor", "major", "downgrade", "unknown"])
 
 
 @query("""WITH e AS (SELECT n_nationkey AS id FROM nation), l AS (SELECT DISTINCT c_nationkey AS a, c_nationkey * 3 % 25 AS b, c_nationkey % 4 = 0 AS i FROM customer),

@@ -52,13 +52,21 @@ def test_layers(spark):
     n = spark.createDataFrame([("c", "src/Api/OrdersController.cs", 0), ("s", "src/Application/OrderService.cs", 1), ("o", "src/Domain/Order.cs", 2), ("r", "src/Infrastructure/OrderRepository.cs", 3), ("x", "x.txt", 4)], "id string, file string, ord long")
     layers = dict(rows(R.with_layer(n, config.LAYERS), "id", "layer"))
     assert layers == {"c": "api", "s": "application", "o": "domain", "r": "infrastructure", "x": None}
-    e = spark.createDataFrame([("domain", "infrastructure", "d", "r", "calls", 0), ("domain", "infrastructure", "d", "r", "calls", 1), ("ui", None, "u", "http:GET /a", "http", 2), ("api", "application", "a", "s", "calls", 3)], "from_layer string, to_layer string, from_file string, to_key string, kind string, ord long")
-    assert rows(R.layer_violations(e), "rule", "severity", "from_file") == [("ARCH-001", "high", "d"), ("ARCH-002", "medium", "u")]
+    e = spark.createDataFrame([("domain", "infrastructure", "d", "r", "calls", 0), ("domain", "infrastructure", "d", "r", "calls", 1), ("ui", None, "u", "http:GET /a", "http", 2), ("api", "application", "a", "s", "calls", 3), ("application", "infrastructure", "a", "r", "calls", 4)], "from_layer string, to_layer string, from_file string, to_key string, kind string, ord long")
+    assert rows(R.layer_violations(e), "rule", "severity", "from_file") == [("ARCH-001", "high", "a"), ("ARCH-001", "high", "d"), ("ARCH-002", "medium", "u")]
     via = R.layer_violations(e.limit(0).union(spark.createDataFrame([("ui", "data", "u", "d", "calls", 0)], e.schema)), {"ui": ["app"], "app": ["data"], "data": []})
     assert rows(via, "rule", "via") == [("ARCH-004", "app")]
     assert config.problems(config.Architecture(rules=(config.Rule("R", config.Selector()),)), {"calls"}) == ["R: from selects nothing", "R: forbids nothing"]
 
 
+def test_security_and_need(spark):
+    e = spark.createDataFrame([("a", "POST", "anonymous"), ("b", "GET", "none"), ("c", "GET", "anonymous"), ("d", "PUT", "authorize")], "id string, verb string, auth string")
+    assert rows(R.endpoint_auth(e)) == [("SEC-001", "b"), ("SEC-002", "a")]
+    n = spark.createDataFrame([("x", "public", 15, 4, 3, 1, False), ("y", None, 3, None, 0, 1, True)], "id string, visibility string, complexity int, params int, fan_in int, effects int, is_type boolean")
+    assert rows(R.need_score(n), "id", "score", "level", "reasons") == [("x", 8, "high", "public, complexity 15, 4 params, 3 callers, side effects"), ("y", 0, "none", "")]
+    assert one(spark, S.change_kind(F.lit("2.0.0"), F.lit("1.9"))) == "downgrade"
+
+
 def test_hash_merge_and_first_wins(spark):
     n = spark.createDataFrame([("a", "2", False, 1), ("a", "1", True, 0), ("b", None, False, 2)], "id string, hash string, is_test boolean, ord long")
     merged = dict(rows(M.merge_hashes(n), "id", "hash"))

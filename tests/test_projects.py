@@ -45,5 +45,5 @@ def test_questions(spark):
     assert rows(m.callers("s"), "from_id", "via") == [("c", "i")] and rows(m.callees("s"), "to_id") == [("r",)]
     assert rows(m.trace_endpoint("c"), "node", "depth") == [("c", 0), ("i", 1), ("r", 2), ("s", 1)]
     assert rows(m.impact("r"), "id", "depth") == [("s", 1)]
-    assert rows(m.violations(), "rule", "from_layer", "to_layer") == [("ARCH-001", "infrastructure", "api")]
+    assert rows(m.violations(), "rule", "from_layer", "to_layer") == [("ARCH-001", "application", "infrastructure"), ("ARCH-001", "infrastructure", "api")]
     assert len(rows(m.gaps())) == 4 and m.context("c").count() >= 3 and m.module_summary("src").count() == 2
