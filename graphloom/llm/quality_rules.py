@@ -22,7 +22,7 @@ from .common import SPACES, packed, source_key, text_of, unpacked
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 #: Least standard deviation of each feature: a statistic that hardly varies must not reject small quirks.
-FLOORS = (0.4, 0.2, 0.15, 0.1, 0.08)
+FLOORS = (0.4, 0.2, 0.1, 0.15, 0.15)
 P = len(FEATURES)
 #: Chi-square with 5 and 7 degrees of freedom: consistency of the covariance of the closest 3/4.
 COVERAGE, CONSISTENCY = 0.75, 1.412
