@@ -25,7 +25,7 @@ LOCAL = r"[A-Za-z0-9._%+-]"
 #: Base patterns. They match what the plain forms match; \G lets an address start right after another.
 BASE = {
     "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -37,8 +37,12 @@ WIDE = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra)\.?\x20[A-Z][a-z]{1,30}+(?:\x20[A-Z][a-z]{1,30}+)?+(?![A-Za-z])",
 }
-#: Cheap tests that a text must pass before a costly pattern is tried.
-GATE = {"secret": r"[=:]\x20{0,2}\"?[A-Za-z0-9+/_-]{16}", "email": r"[\[(](?:at|AT)[\])]"}
+#: What a text must hold for a pattern to match at all; texts without it, most of them, aren't scanned further.
+HOLDS = {
+    "email": ("@",), "phone": ("+",), "ip": (".",), "card": (), "secret": ("=", ":"), "ssn": ("-",), "iban": (),
+    "name": ("Mr", "Ms", "Dr", "Herr", "Frau", "Mme", "Sra"), "wide email": ("(at)", "[at]", "(AT)", "[AT]"),
+}
+WITH_DIGITS = ("phone", "ip", "card", "ssn", "iban")
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "name")
 #: Cue words of the gazetteer, and words before numbers that are not personal.
 CUES = r"(?i)mail|phone|tel|mobil|call|fax|card|karte|carte|tarjeta|visa|konto|account|iban|ssn|social|token|secret|passw|key|contact|kontakt|addr|\bip\b|host|server|mr|mrs|dr|herr|frau"
@@ -48,10 +52,20 @@ LABELERS = ("regex", "gazetteer", "context", "shape", "edges")
 ADDED_AT = 0.9
 
 
-def located(t: Column, pattern: str) -> Column:
+def may_match(t: Column, kind: str) -> Column:
+    """Whether the text holds what every match of the kind needs."""
+    out = F.lit(True)
+    if HOLDS[kind]:
+        out = F.lit(False)
+        for x in HOLDS[kind]:
+            out = out | F.contains(t, F.lit(x))
+    return out & t.rlike("[0-9]") if kind in WITH_DIGITS else out
+
+
+def located(t: Column, kind: str, pattern: str) -> Column:
     """All matches in order as structs of s and e (code points, e exclusive), m and the 40 characters before."""
     found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
-    kind = "struct<at:bigint,out:array<struct<s:bigint,e:bigint,m:string,before:string>>>"
+    shape = "struct<at:bigint,out:array<struct<s:bigint,e:bigint,m:string,before:string>>>"
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
@@ -59,9 +73,9 @@ def located(t: Column, pattern: str) -> Column:
         one = F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(40)).alias("before"))
         return F.struct(e.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>").alias("out")).cast(kind)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>").alias("out")).cast(shape)
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"))
-    return F.when(t.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>"))
+    return F.when(may_match(t, kind) & t.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>"))
 
 
 def digits(m: Column) -> Column:
@@ -87,7 +101,7 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def base_spans(t: Column, kind: str) -> Column:
-    return F.filter(located(t, BASE[kind]), lambda x: valid(kind, x["m"]))
+    return F.filter(located(t, kind, BASE[kind]), lambda x: valid(kind, x["m"]))
 
 
 def named(kind: str):
@@ -99,11 +113,8 @@ def candidates(t: Column) -> Column:
     """Further spans with their kinds, cards and the like that fail their checks among them."""
     out = []
     for kind, pattern in WIDE.items():
-        found = located(t, pattern)
-        if kind in GATE:
-            found = F.when(t.rlike(GATE[kind]), found).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>"))
-        out.append(F.transform(found, named(kind)))
-    cards = F.filter(located(t, r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"), lambda x: ~valid("card", x["m"]))
+        out.append(F.transform(located(t, "wide email" if kind == "email" else kind, pattern), named(kind)))
+    cards = F.filter(located(t, "card", r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"), lambda x: ~valid("card", x["m"]))
     out.append(F.transform(cards, named("card")))
     return F.concat(*out)
 
