@@ -1,12 +1,13 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are dealt by ranges of (host, URL path), so that a page's neighbours in URL order are in its task and
-a large host is many tasks. Each page is cut into text lines, one per block. It is paired with the
+Pages are dealt by ranges of (host, URL path), so that a large host is many tasks and a page's neighbours in
+URL order are in its task; the first and last page of a range are settled afterwards, together with the
+ranges beside it. Each page is cut into text lines, one per block. It is paired with the
 neighbour on its host whose path shares the longer run of leading segments (of equal ones the one before);
 the two pages' lines are aligned by longest common subsequence, and the shared lines go as boilerplate.
 
 Lines in a declared main part (<article>, <main>, role=main) are the page's own and stay even where a
-neighbour repeats them. What the alignment leaves is checked against the markup: lines in menus, headers,
+neighbour repeats them, so on a page that declares one the markup alone decides. What the alignment leaves is checked against the markup: lines in menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments go, and so does what is outside the main
 part of a page that declares one.
 """
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .common import packed, text_of, unpacked
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -158,12 +160,93 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
+class Page(NamedTuple):
+    """A page and its repeated rows."""
+
+    rows: list[pa.Array]
+    host: str
+    path: str
+    source: str
+    lines: list[Line]
+
+
+def paired_text(page: Page, before: Page | None, after: Page | None) -> str:
+    """The page's own text against the nearer of its neighbours on its host, the one before if both are equal."""
+    near = [p for p in (before, after) if p is not None and p.host == page.host and page.host]
+    return own_text(page.lines, max(near, key=lambda p: nearness(p.path, page.path)).lines if near else None)
+
+
+#: What the first and last page of a range keep until the ranges beside it are known: the range, whether the
+#: page is its first and its last, the page, and its neighbour within the range.
+EDGE = "struct<part:int,first:boolean,last:boolean,host:string,path:string,h:string,inner_host:string,inner_path:string,inner_h:string>"
+
+
+def settle_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row and text of the pages of a range; the first and last have edge in place of their text."""
+    part = TaskContext.get().partitionId()
+    edge_type = pa.struct([("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), *[(c, pa.string()) for c in ("host", "path", "h", "inner_host", "inner_path", "inner_h")]])
+    before = here = key = None
+    done = []
+
+    def finish(after):
+        text = edge = None
+        if before is not None and after is not None:
+            text = paired_text(here, before, after)
+        else:
+            inner = before or after
+            edge = dict(zip(("host", "path", "h", "inner_host", "inner_path", "inner_h"), (*here[1:4], *(inner[1:4] if inner else (None,) * 3)), strict=True))
+            edge |= {"part": part, "first": before is None, "last": after is None}
+        done.extend((row, text, edge) for row in here.rows)
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([d[0] for d in done]), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], edge_type)], ["row", "text", "edge"])
+
+    for b in batches:
+        for k, (host, path, h, tie) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
+            if key == (host, path, tie):
+                here.rows.append(b.column(0).slice(k, 1))
+                continue
+            page = Page([b.column(0).slice(k, 1)], host, path, h, page_lines(h))
+            if here is not None:
+                finish(page)
+            before, here, key = here, page, (host, path, tie)
+            if len(done) >= 500:
+                yield out()
+                done.clear()
+    if here is not None:
+        finish(None)
+    if done:
+        yield out()
+
+
+def settle_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row and text of the first and last pages of all ranges, in order: at most two pages per range. The page
+    before a range's first is the last of the range before, and the other way round."""
+    pages, edges = [], []
+    for b in batches:
+        for k, e in enumerate(b.column(1).to_pylist()):
+            if edges and (edges[-1]["part"], edges[-1]["last"]) == (e["part"], e["last"]):
+                pages[-1].rows.append(b.column(0).slice(k, 1))
+                continue
+            edges.append(e)
+            pages.append(Page([b.column(0).slice(k, 1)], e["host"], e["path"], e["h"], page_lines(e["h"])))
+    done = []
+    for k, (page, e) in enumerate(zip(pages, edges, strict=True)):
+        inner = None if e["inner_h"] is None else Page([], e["inner_host"], e["inner_path"], e["inner_h"], page_lines(e["inner_h"]))
+        before = inner if not e["first"] else pages[k - 1] if k else None
+        after = inner if not e["last"] else pages[k + 1] if k + 1 < len(pages) else None
+        text = paired_text(page, before, after)
+        done.extend((row, text) for row in page.rows)
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([d[0] for d in done]), pa.array([d[1] for d in done], pa.string())], ["row", "text"])
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """pages with text (main text, empty if none) and n_chars in place of html; other columns stay.
 
-    Null html is an empty page. Pages without a url, or alone on their host in a task's range, have no
-    partner and are judged by their markup. Repeated rows are each returned; pages with equal paths may
-    pair. An empty table gives an empty table.
+    Null html is an empty page. Pages without a url, or alone on their host, have no partner and are judged
+    by their markup. Repeated rows are each returned and don't pair; pages with equal paths may pair. The pages at the ends
+    of the ranges are few, so one task settles them. An empty table gives an empty table.
     """
     ship_package(pages.sparkSession)
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -171,35 +254,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(F.coalesce("row.url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     base = packed(pages).select("row", host.alias("host"), path.alias("path"), F.xxhash64("row.html", "row.page_id").alias("tie"))
     dealt = base.repartitionByRange(n, "host", "path", "tie").sortWithinPartitions("host", "path", "tie")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = here = None
-
-        def finished(after):
-            row, host, path, lines = here
-            near = [p for p in (before, after) if p is not None and p[1] == host and host]
-            other = max(near, key=lambda p: nearness(p[2], path))[3] if near else None
-            return row, own_text(lines, other)
-
-        def out(done):
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([d[0] for d in done]), pa.array([d[1] for d in done], pa.string())], ["row", "text"])
-
-        done = []
-        for b in batches:
-            for k, (host, path, h) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                page = (b.column(0).slice(k, 1), host, path, page_lines(h))
-                if here is not None:
-                    done.append(finished(page))
-                before, here = here, page
-                if len(done) >= 500:
-                    yield out(done)
-                    done = []
-        if here is not None:
-            done.append(finished(None))
-        if done:
-            yield out(done)
-
     rest = [c for c in pages.columns if c.lower() != "html"]
-    slim = dealt.select(F.struct(*[F.col(f"row.`{c}`") for c in rest]).alias("row"), "host", "path", text_of("row.html").alias("h"))
-    got = slim.mapInArrow(run, slim.select("row", F.lit("").alias("text")).schema)
-    return unpacked(got, rest, {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")})
+    slim = dealt.select(F.struct(*[F.col(f"row.`{c}`") for c in rest]).alias("row"), "host", "path", text_of("row.html").alias("h"), "tie")
+    shape = slim.select("row", F.lit(None).cast("string").alias("text"))
+    got = materialize(slim.mapInArrow(settle_ranges, shape.withColumn("edge", F.lit(None).cast(EDGE)).schema))
+    ends = got.where("edge IS NOT NULL").select("row", "edge").coalesce(1).sortWithinPartitions("edge.part", "edge.last")
+    whole = got.where("edge IS NULL").select("row", "text").unionByName(ends.mapInArrow(settle_edges, shape.schema))
+    return unpacked(whole, rest, {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")})

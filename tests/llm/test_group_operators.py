@@ -154,3 +154,18 @@ def test_common_lines_is_a_longest_common_subsequence():
         got = sorted(html_diff.common_lines(a, b))
         it = iter(b)
         assert len(got) == best[-1][-1] and all(a[i] in it for i in got)
+
+
+def test_html_pairs_across_ranges(spark):
+    """However many ranges the pages are dealt to, each has the neighbour that it has in one range."""
+    page = "<div>Site {0}</div><p>Part {1}</p><p>Own {2}</p>"
+    rows = [(k, f"http://h{k // 12}.com/p{k // 4}/{k:03}", page.format(k // 12, k // 4, k)) for k in range(36)] + [(99, "http://alone.com/", "<p>Only</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {g.page_id: g.text for g in html_diff.extract_text(pages).collect()}
+            assert got == {k: f"Own {k}" for k in range(36)} | {99: "Only"}, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
