@@ -135,6 +135,16 @@ def weak_components(spark, sf):
     return G.weak_components(e, v).withColumn("number", F.col("number").cast("long"))
 
 
+@query()
+def weak_components_all(spark, sf):
+    """weak_components over every line and order; recursive SQL doesn't follow, a test compares it to brute force."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    e = t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    e = e.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    v = t(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(t(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey")))
+    return G.weak_components(e, v.union(e.select(F.explode(F.array("src", "dst"))))).withColumn("number", F.col("number").cast("long"))
+
+
 def containment(spark, sf) -> DataFrame:
     """(parent, child, ord): region, nation, customer."""
     n = t(spark, sf, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"), F.lit(0).alias("ord"))
