@@ -33,6 +33,15 @@ def query(sql: str | None = None):
     return register
 
 
+def whole(name: str, *cuts: str) -> str:
+    """The SQL of a query without the filters that keep it to a part of its table."""
+    sql = ORACLE_SQL[name]
+    for c in cuts:
+        assert c in sql, (name, c)
+        sql = sql.replace(c, "")
+    return sql
+
+
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -326,7 +335,16 @@ def evidence_diff(spark, sf):
 g AS (SELECT id, count(*) AS n, substr(sha256(string_agg(h, '|' ORDER BY h)), 1, 12) AS m FROM e GROUP BY id)
 SELECT event_id, e.id, CASE WHEN n > 1 THEN m ELSE h END AS hash FROM e JOIN g ON e.id = g.id""")
 def merge_hashes(spark, sf):
-    e = t(spark, sf, "events").where("user_id < 20").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("id"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 12).alias("hash"))
+    return merged(t(spark, sf, "events").where("user_id < 20"))
+
+
+@query(whole("merge_hashes", " WHERE user_id < 20"))
+def merge_hashes_all(spark, sf):
+    return merged(t(spark, sf, "events"))
+
+
+def merged(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("id"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 12).alias("hash"))
     return M.merge_hashes(e)
 
 
@@ -390,7 +408,16 @@ def route_gaps(spark, sf):
 h AS (SELECT DISTINCT user_id, extract('day' FROM ts) AS d FROM events WHERE user_id < 40 AND event_type = 'error')
 SELECT h.user_id, CAST(h.d AS INT) AS day, s.event_type FROM h JOIN s ON h.user_id = s.user_id AND s.a <= h.d + 1 AND s.b >= h.d""")
 def interval_touch(spark, sf):
-    e = t(spark, sf, "events").where("user_id < 40").select("user_id", F.dayofmonth("ts").alias("day"), "event_type")
+    return touched(t(spark, sf, "events").where("user_id < 40"))
+
+
+@query(whole("interval_touch", "user_id < 40 AND ", " WHERE user_id < 40"))
+def interval_touch_all(spark, sf):
+    return touched(t(spark, sf, "events"))
+
+
+def touched(events: DataFrame) -> DataFrame:
+    e = events.select("user_id", F.dayofmonth("ts").alias("day"), "event_type")
     spans = e.groupBy("user_id", "event_type").agg(F.min("day").alias("line"), F.max("day").alias("end_line"))
     hunks = e.where("event_type = 'error'").select("user_id", F.col("day").alias("first"), (F.col("day") + 1).alias("last")).distinct()
     return J.overlapping(hunks, spans, ["user_id"]).select("user_id", F.col("first").alias("day"), "event_type")
@@ -541,7 +568,16 @@ def texts_with_digits(spark, sf):
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) % 2 = 0 OR CAST(json_extract_string(props, '$.k') AS INT) % 100 = 0 AS meets, 1 AS stated FROM events WHERE event_id % 10 = 0""")
 def numbers_crosscheck(spark, sf):
-    e = t(spark, sf, "events").where("event_id % 10 = 0").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return crosschecked(t(spark, sf, "events").where("event_id % 10 = 0"))
+
+
+@query(whole("numbers_crosscheck", " WHERE event_id % 10 = 0"))
+def numbers_crosscheck_all(spark, sf):
+    return crosschecked(t(spark, sf, "events"))
+
+
+def crosschecked(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     said = e.select(F.col("event_id").alias("key"), F.concat(F.lit("limit of "), F.col("k").cast("string"), F.lit(" items")).alias("text"))
     code = e.select(F.col("event_id").alias("key"), F.concat(F.lit("if (n > "), F.when(F.col("k") % 2 == 0, F.col("k")).otherwise(F.col("k") + 1).cast("string"), F.lit(")")).alias("body"))
     return R.number_checks(said, code).select(F.col("key").alias("event_id"), "meets", "stated")

@@ -51,3 +51,11 @@ def test_weak_components_of_a_fixture(spark, tmp_path):
     want = brute_components(edges, [f"c{k}" for k in range(8)] + [f"s{k}" for k in range(20)])
     got = plans.QUERIES["weak_components_all"](spark, str(tmp_path)).collect()
     assert {(g.id, g.component, g.number) for g in got} == want and len({c for _, c, _ in want}) > 5
+
+
+def test_every_event_counts(spark):
+    events = columns(DATA, "events", "event_id")
+    got = {n: plans.QUERIES[n](spark, DATA) for n in ("merge_hashes_all", "numbers_crosscheck_all")}
+    assert all(sorted(r.event_id for r in df.select("event_id").collect()) == sorted(e for (e,) in events) for df in got.values())
+    users = {u for u, k in columns(DATA, "events", "user_id", "event_type") if k == "error"}
+    assert {r.user_id for r in plans.QUERIES["interval_touch_all"](spark, DATA).collect()} == users
