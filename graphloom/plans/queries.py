@@ -173,14 +173,21 @@ def ancestors(spark, sf):
     return G.ancestors(containment(spark, sf), ids)
 
 
+@query(f"""{whole("ancestors", " WHERE c_acctbal < 0")} UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey FROM nation
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region""")
+def ancestors_all(spark, sf):
+    c, r = containment(spark, sf), t(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
+    return G.ancestors(c, c.select(F.col("child").alias("id")).union(r))
+
+
 FLOW_SQL = """SELECT DISTINCT 'n' || c_nationkey AS s, 'c' || c_custkey AS c, 'o' || o_orderkey AS o, 's' || l_suppkey AS p FROM customer JOIN orders ON o_custkey = c_custkey
   JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' AND l_quantity >= 45"""
 
 
-def flow_edges(spark, sf) -> DataFrame:
-    """nation - customer (1) - order (0) - supplier (1)."""
-    lines = t(spark, sf, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_suppkey")
-    o = t(spark, sf, "orders").where("o_orderpriority LIKE '1%'").select("o_orderkey", "o_custkey")
+def flow_edges(spark, sf, every: bool = False) -> DataFrame:
+    """nation - customer (1) - order (0) - supplier (1); of every line and order, or of large and urgent ones."""
+    lines = t(spark, sf, "lineitem").where(F.lit(every) | F.expr("l_quantity >= 45")).select("l_orderkey", "l_suppkey")
+    o = t(spark, sf, "orders").where(F.lit(every) | F.expr("o_orderpriority LIKE '1%'")).select("o_orderkey", "o_custkey")
     x = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     ends = F.array(
         F.struct(F.concat(F.lit("n"), "c_nationkey").alias("u"), F.concat(F.lit("c"), "c_custkey").alias("v"), F.lit(1).alias("cost")),
@@ -190,9 +197,9 @@ def flow_edges(spark, sf) -> DataFrame:
     return x.select(F.explode(ends).alias("e")).select("e.*").distinct()
 
 
-def traced(spark, sf) -> DataFrame:
+def traced(spark, sf, every: bool = False) -> DataFrame:
     starts = t(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("start"))
-    return G.flow_trace(flow_edges(spark, sf), starts)
+    return G.flow_trace(flow_edges(spark, sf, every), starts)
 
 
 @query(f"""WITH f AS ({FLOW_SQL})
@@ -202,27 +209,51 @@ def flow_trace(spark, sf):
     return traced(spark, sf)
 
 
+#: What keeps the flow queries to large and urgent orders.
+FLOW_CUT = " WHERE o_orderpriority LIKE '1%' AND l_quantity >= 45"
+
+
+@query(whole("flow_trace", FLOW_CUT))
+def flow_trace_all(spark, sf):
+    return traced(spark, sf, every=True)
+
+
 @query(f"""WITH f AS ({FLOW_SQL}) SELECT p AS unit, count(DISTINCT s) AS starts FROM f GROUP BY p UNION ALL SELECT c, count(DISTINCT s) FROM f GROUP BY c""")
-def flow_backlinks(spark, sf):
-    trace = traced(spark, sf)
-    orders = flow_edges(spark, sf).where("cost = 0").groupBy("v").agg(F.min("u").alias("owner"))
+def flow_backlinks(spark, sf, every: bool = False):
+    trace = traced(spark, sf, every)
+    orders = flow_edges(spark, sf, every).where("cost = 0").groupBy("v").agg(F.min("u").alias("owner"))
     units = trace.select("node").distinct().join(orders, F.col("node") == F.col("v"), "left").select("node", F.coalesce("owner", "node").alias("unit"))
     return G.backlinks(G.flow_units(trace, units))
 
 
+@query(whole("flow_backlinks", FLOW_CUT))
+def flow_backlinks_all(spark, sf):
+    return flow_backlinks(spark, sf, every=True)
+
+
 @query(f"""WITH f AS ({FLOW_SQL}), r AS (SELECT s, p, row_number() OVER (PARTITION BY s ORDER BY p) AS k, count(*) OVER (PARTITION BY s) AS n FROM (SELECT DISTINCT s, p FROM f))
 SELECT s AS start, string_agg(p, ', ' ORDER BY p) || CASE WHEN max(n) > 6 THEN ' +' || (max(n) - 6) ELSE '' END AS chain FROM r WHERE k <= 6 GROUP BY s""")
-def flow_chains(spark, sf):
-    u = traced(spark, sf).where("depth = 2").select("start", F.col("node").alias("unit"), F.col("depth").alias("hop"))
+def flow_chains(spark, sf, every: bool = False):
+    u = traced(spark, sf, every).where("depth = 2").select("start", F.col("node").alias("unit"), F.col("depth").alias("hop"))
     return G.flow_chains(u)
 
 
+@query(whole("flow_chains", FLOW_CUT))
+def flow_chains_all(spark, sf):
+    return flow_chains(spark, sf, every=True)
+
+
 @query(f"""WITH f AS ({FLOW_SQL}), bad AS (SELECT 's' || s_suppkey AS p FROM supplier WHERE s_acctbal < 0)
 SELECT 'SEC-005' AS rule, s AS start, f.p AS node, 2 AS depth FROM f JOIN bad ON f.p = bad.p GROUP BY s, f.p""")
-def sensitive_reach(spark, sf):
+def sensitive_reach(spark, sf, every: bool = False):
     starts = t(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("start"))
     bad = t(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    return R.sensitive_reach(traced(spark, sf), starts, bad)
+    return R.sensitive_reach(traced(spark, sf, every), starts, bad)
+
+
+@query(whole("sensitive_reach", FLOW_CUT))
+def sensitive_reach_all(spark, sf):
+    return sensitive_reach(spark, sf, every=True)
 
 
 @query(f"""WITH p AS (SELECT a, b FROM ({TOP2_SQL})), e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), h1 AS (SELECT DISTINCT x AS start, y AS id FROM e WHERE x <> y),
@@ -242,6 +273,13 @@ def side_effects_closure(spark, sf):
     return G.effects_closure(p.where("p_size < to").select(F.col("p_size").alias("u"), F.col("to").alias("v")), own)
 
 
+@query(whole("side_effects_closure", " WHERE p_size < (p_size * 7 + CAST(p_partkey % 3 AS INT)) % 50", " WHERE p_size >= 48"))
+def side_effects_closure_all(spark, sf):
+    """Own effects of all parts over all edges, cycles included."""
+    p = t(spark, sf, "part").select(F.col("p_size").alias("u"), ((F.col("p_size") * 7 + (F.col("p_partkey") % 3).cast("int")) % 50).alias("v"), F.col("p_type").alias("effect"))
+    return G.effects_closure(p, p.select(F.col("u").alias("node"), "effect"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_size AS a, (p_size * 7 + CAST(p_partkey % 3 AS INT)) % 50 AS b FROM part),
 r AS (SELECT a, b, 1 AS depth FROM e WHERE a = 1 UNION SELECT r.a, e.b, r.depth + 1 FROM r JOIN e ON r.b = e.a WHERE r.depth < 30)
 SELECT a AS src, b AS dst, CAST(min(depth) AS INT) AS depth FROM r GROUP BY a, b""")
@@ -250,6 +288,12 @@ def reference_closure(spark, sf):
     return G.closure(p, p.where("src = 1").select("src"))
 
 
+#: No path without a repeated vertex is longer than the 51 vertices, so the recursion isn't cut short.
+@query(whole("reference_closure", " WHERE a = 1", " WHERE r.depth < 30").replace("ON r.b = e.a", "ON r.b = e.a WHERE r.depth < 60"))
+def reference_closure_all(spark, sf):
+    return G.closure(t(spark, sf, "part").select(F.col("p_size").alias("src"), ((F.col("p_size") * 7 + (F.col("p_partkey") % 3).cast("int")) % 50).alias("dst")))
+
+
 @query()
 def shortest_paths(spark, sf):
     e = top_partners(spark, sf).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
@@ -513,7 +557,16 @@ def traceability_gaps(spark, sf):
 u AS (SELECT id, test, 0 AS r, 'direct' AS via FROM d UNION ALL SELECT p_partkey, test, 1, 'interface' FROM part JOIN d ON d.id = p_partkey // 2 UNION ALL SELECT p_partkey // 2, test, 2, 'implementation' FROM part JOIN d ON d.id = p_partkey)
 SELECT id, test, arg_min(via, r) AS via FROM u GROUP BY id, test""")
 def test_links(spark, sf):
-    d = t(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("test"), F.col("l_partkey").alias("id")).distinct()
+    return tested(spark, sf, t(spark, sf, "lineitem").where("l_quantity = 50"))
+
+
+@query(whole("test_links", " WHERE l_quantity = 50"))
+def test_links_all(spark, sf):
+    return tested(spark, sf, t(spark, sf, "lineitem"))
+
+
+def tested(spark, sf, lines: DataFrame) -> DataFrame:
+    d = lines.select(F.col("l_suppkey").alias("test"), F.col("l_partkey").alias("id")).distinct()
     i = t(spark, sf, "part").select(F.col("p_partkey").alias("from_id"), F.floor(F.col("p_partkey") / 2).alias("to_id"))
     return G.test_links(d, i, i.limit(0).select(F.col("from_id").alias("parent"), F.col("to_id").alias("child")))
 
@@ -613,7 +666,16 @@ def search_index(spark, sf):
 @query("""SELECT to_key AS id, count(DISTINCT a) AS fan_in FROM (SELECT o_custkey AS a, l_suppkey AS to_key FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 40
 UNION SELECT o_custkey, l_suppkey + 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey + 1 WHERE l_quantity >= 40 AND l_suppkey % 2 = 0) GROUP BY 1""")
 def fan_in(spark, sf):
-    e = t(spark, sf, "lineitem").where("l_quantity >= 40").join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id"))
+    return fanned_in(spark, sf, t(spark, sf, "lineitem").where("l_quantity >= 40"))
+
+
+@query(whole("fan_in", "l_quantity >= 40 AND ", " WHERE l_quantity >= 40"))
+def fan_in_all(spark, sf):
+    return fanned_in(spark, sf, t(spark, sf, "lineitem"))
+
+
+def fanned_in(spark, sf, lines: DataFrame) -> DataFrame:
+    e = lines.join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id"))
     i = t(spark, sf, "supplier").where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("from_id"), (F.col("s_suppkey") - 1).alias("to_id"))
     return A.fan_in(e, i)
 

@@ -59,3 +59,23 @@ def test_every_event_counts(spark):
     assert all(sorted(r.event_id for r in df.select("event_id").collect()) == sorted(e for (e,) in events) for df in got.values())
     users = {u for u, k in columns(DATA, "events", "user_id", "event_type") if k == "error"}
     assert {r.user_id for r in plans.QUERIES["interval_touch_all"](spark, DATA).collect()} == users
+
+
+def test_every_row_is_an_edge_and_every_vertex_a_start(spark):
+    """The starts, and a cyclic closure, against plain Python."""
+    edges = {(a, (a * 7 + k % 3) % 50) for a, k in columns(DATA, "part", "p_size", "p_partkey")}
+    least = {}
+    for start in {a for a, _ in edges}:
+        level, depth = {start}, 0
+        while level:
+            depth += 1
+            level = {b for a, b in edges if a in level} - {b for s, b in least if s == start}
+            least |= {(start, b): depth for b in level}
+    got = {(r.src, r.dst): r.depth for r in plans.QUERIES["reference_closure_all"](spark, DATA).collect()}
+    assert got == least and any(a == b for a, b in least)
+    effects = columns(DATA, "part", "p_size", "p_type")
+    want = set(effects) | {(a, x) for a, b in least for n, x in effects if n == b}
+    assert {tuple(r) for r in plans.QUERIES["side_effects_closure_all"](spark, DATA).select("node", "effect").collect()} == want
+    orders = {f"o{k}" for (k,) in columns(DATA, "lineitem", "l_orderkey")}
+    assert orders == {r.node for r in plans.QUERIES["flow_trace_all"](spark, DATA).collect() if r.node[0] == "o"}
+    assert {r.id for r in plans.QUERIES["ancestors_all"](spark, DATA).collect()} >= {f"c{k}" for (k,) in columns(DATA, "customer", "c_custkey")}
