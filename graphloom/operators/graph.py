@@ -14,19 +14,22 @@ from .components import connected_components
 MOST_ROUNDS = 200
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """(src, dst, depth): all that each start (src; all sources without starts) reaches in one step or more, at
-    its least depth. Semi-naive: a round extends only what the last one found. Cycles end by themselves."""
+def closure(edges: DataFrame, starts: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(src, dst, depth): all that each start (src; all sources without starts) reaches in one step or more, and in
+    at most so many, at its least depth. Semi-naive: a round extends only what the last one found. Cycles end by
+    themselves."""
     e = edges.select("src", "dst").distinct()
     first = e if starts is None else e.join(starts.select("src").distinct(), "src", "left_semi")
     found = frontier = materialize(first.withColumn("depth", F.lit(1)))
     step = e.withColumnsRenamed({"src": "mid", "dst": "next"})
-    for depth in range(2, MOST_ROUNDS):
+    for depth in range(2, MOST_ROUNDS if most is None else most + 1):
         more = frontier.join(step, frontier.dst == step.mid).select(frontier.src, F.col("next").alias("dst")).distinct()
         frontier = materialize(more.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return found
         found = materialize(found.unionByName(frontier))
+    if most is not None:
+        return found.where(F.col("depth") <= most)
     raise RuntimeError("closure: too many rounds")
 
 
@@ -129,42 +132,35 @@ def effects_closure(edges: DataFrame, own: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of the vertices in strongly connected components of two or more; component is its least member.
 
-    Colouring: ids without an incoming or outgoing edge are trimmed, the least id that reaches a vertex is its
-    colour, and what reaches the colour's own vertex backwards within the colour is its component. Found
-    components leave, the rest is coloured again.
+    Colouring both ways: each vertex learns the least id that reaches it and the least that it reaches. Where both
+    are the same, that id's component is settled and leaves. Members of a component agree in both colours, so edges
+    between unlike vertices leave as well, and the rest is coloured again until no edge is left: the least vertex
+    of the rest is always settled.
     """
     e = materialize(edges.select("src", "dst").where("src != dst").distinct())
     out = None
-    for _ in range(MOST_ROUNDS):
-        while True:  # trim
-            ends = e.select(F.col("src").alias("x")).distinct().intersect(e.select(F.col("dst").alias("x")).distinct())
-            kept = materialize(e.join(ends.withColumnRenamed("x", "src"), "src", "left_semi").join(ends.withColumnRenamed("x", "dst"), "dst", "left_semi").select("src", "dst"))
-            same = kept.count() == e.count()
-            e = kept
-            if same:
-                break
-        if e.isEmpty():
-            break
-        colour = materialize(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("c", F.col("id")))
-        while True:  # the least id that reaches each vertex
-            reached = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            nxt = materialize(colour.join(reached, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-            colour = nxt.select("id", "c")
-            if nxt.where("moved").isEmpty():
-                break
-        inside = e.join(colour.withColumnsRenamed({"id": "src", "c": "cs"}), "src").join(colour.withColumnsRenamed({"id": "dst", "c": "cd"}), "dst").where("cs = cd").select("src", "dst")
-        inside = materialize(inside)
-        back = frontier = materialize(colour.where("id = c").select("id", "c"))
-        while True:  # backwards from each colour's own vertex
-            more = frontier.join(inside, frontier.id == inside.dst).select(F.col("src").alias("id"), "c").distinct()
-            frontier = materialize(more.join(back, ["id", "c"], "left_anti"))
-            if frontier.isEmpty():
+    while not e.isEmpty():
+        ways = e.select(F.lit(True).alias("on"), "src", "dst").union(e.select(F.lit(False), "dst", "src"))
+        colour = materialize(ways.select("on", F.col("src").alias("id")).union(ways.select("on", "dst")).distinct().withColumn("c", F.col("id")))
+        while True:
+            reached = ways.join(colour.withColumnRenamed("id", "src"), ["on", "src"]).groupBy("on", F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+            nxt = colour.withColumnRenamed("c", "was").join(reached, ["on", "id"], "left").select("on", "id", "was", F.least("was", F.coalesce("m", "was")).alias("c"))
+            nxt = materialize(nxt)
+            # what reaches the colour's own vertex reaches what it colours
+            jump = nxt.select("on", F.col("id").alias("c"), F.col("c").alias("further"))
+            nxt = materialize(nxt.join(jump, ["on", "c"]).select("on", "id", "was", F.col("further").alias("c")))
+            colour = nxt.select("on", "id", "c")
+            if nxt.where("c != was").isEmpty():
                 break
-            back = materialize(back.union(frontier))
-        big = back.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
-        found = materialize(back.join(big, "c").select("id", F.col("c").alias("component")))
+        both = colour.where("on").select("id", F.col("c").alias("f")).join(colour.where("not on").select("id", F.col("c").alias("b")), "id")
+        both = materialize(both)
+        alike = both.where("f = b")
+        big = alike.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+        found = alike.join(big, "f").select("id", F.col("f").alias("component"))
         out = found if out is None else out.union(found)
-        e = materialize(e.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        left = both.where("f != b")
+        side = lambda k: left.select(F.col("id").alias(k), "f", "b")
+        e = materialize(e.join(side("src"), "src").join(side("dst"), ["dst", "f", "b"]).select("src", "dst"))
     return out if out is not None else edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
 
 

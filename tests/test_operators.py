@@ -1,5 +1,7 @@
 """General operators on small hand-made tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,33 @@ def test_model_round_trip(spark, tmp_path):
     model.write_snapshot(n, e, str(tmp_path), "s1")
     nodes, edges = model.read_snapshot(spark, str(tmp_path), "s1")
     assert nodes.count() == 2 and edges.columns == ["from_id", "to_id", "label", "ord", "kind"]
+
+
+def brute_strong(edges):
+    reach = {}
+    for start in {x for e in edges for x in e}:
+        stack, seen = [start], set()
+        while stack:
+            x = stack.pop()
+            for a, b in edges:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        reach[start] = seen
+    return sorted(((v, min({v} | {w for w in reach[v] if v in reach[w]})) for v in reach if any(w != v and v in reach[w] for w in reach[v])), key=str)
+
+
+def test_strong_components_of_long_chains(spark):
+    """More cycles than any number of rounds, in rising and falling order of the ids."""
+    n = 300
+    chain = [e for k in range(0, 2 * n, 2) for e in ((k, k + 1), (k + 1, k), (k + 1, k + 2))][:-1]
+    want = sorted(((k, k - k % 2) for k in range(2 * n)), key=str)
+    assert rows(G.strong_components(spark.createDataFrame(chain, "src int, dst int"))) == want
+    assert rows(G.strong_components(spark.createDataFrame([(b, a) for a, b in chain], "src int, dst int"))) == want
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 12, 16), (2, 40, 55)])
+def test_strong_components_of_random_graphs(spark, seed, n, m):
+    r = random.Random(seed)
+    edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+    assert rows(G.strong_components(spark.createDataFrame(edges, "src int, dst int"))) == brute_strong(edges)
