@@ -3,8 +3,6 @@ shared scratch folder, so that plans stay short and lost executors cost one roun
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,27 +220,33 @@ def layer_via(allow: dict[str, list[str]], start: str, goal: str) -> str | None:
 
 def crawl(edges: DataFrame, seed: str, depth: int = 3, limit: int = 100) -> list[tuple[str, int, int]]:
     """(id, tier, depth) best first by tier, depth and id, from one seed; edges: src, dst, deferred. Depth is at most
-    8 and the limit at most 500. Spark cuts out the depth-bounded neighbourhood; each vertex keeps its first
-    limit edges of either tier, which is all that a search for limit vertices can use."""
+    8 and the limit at most 500.
+
+    A vertex always comes after the one that it is found from, and all of tier 0 before tier 1. So the search is
+    one round per tier and depth, and a round fetches no more than the vertices that the limit still has room for.
+    """
     depth, limit = min(depth, 8), min(limit, 500)
-    starts = edges.sparkSession.createDataFrame([(seed,)], "src string")
-    near = closure(edges, starts).where(F.col("depth") < depth).select(F.col("dst").alias("src")).union(starts).distinct()
-    w = Window.partitionBy("src", "deferred").orderBy("dst")
-    rows = edges.join(near, "src", "left_semi").select("src", "dst", "deferred").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit)
-    adjacent: dict[str, list[tuple[str, bool]]] = {}
-    for r in rows.toLocalIterator():
-        adjacent.setdefault(r.src, []).append((r.dst, r.deferred))
-    heap, done, out = [(0, 0, seed)], set(), []
-    while heap and len(out) < limit:
-        tier, d, at = heapq.heappop(heap)
-        if at in done:
-            continue
-        done.add(at)
-        out.append((at, tier, d))
-        if d < depth:
-            for nxt, deferred in adjacent.get(at, []):
-                if nxt not in done:
-                    heapq.heappush(heap, (max(tier, int(deferred)), d + 1, nxt))
+    spark = edges.sparkSession
+    e = materialize(edges.select("src", "dst", "deferred").where("dst IS NOT NULL").distinct())
+    out, done, levels = [(seed, 0, 0)][:limit], {seed}, {(0, 0): [seed]}
+
+    def table(ids) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(x,) for x in ids], "id string"))
+
+    for tier in (0, 1):
+        for d in range(1, depth + 1):
+            # from tier 0: its plain edges to tier 0, its deferred ones to tier 1; from tier 1: any edge
+            parts = [e.where(F.col("deferred") == bool(tier)).join(table(levels[0, d - 1]), F.col("src") == F.col("id"), "left_semi")] if levels.get((0, d - 1)) else []
+            if tier and levels.get((1, d - 1)):
+                parts.append(e.join(table(levels[1, d - 1]), F.col("src") == F.col("id"), "left_semi"))
+            if not parts or len(out) >= limit:
+                continue
+            near = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+            fresh = near.select(F.col("dst").alias("id")).distinct().join(table(done), "id", "left_anti")
+            found = [r.id for r in fresh.orderBy("id").limit(limit - len(out)).collect()]
+            levels[tier, d] = found
+            done.update(found)
+            out += [(x, tier, d) for x in found]
     return out
 
 

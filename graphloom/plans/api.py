@@ -53,7 +53,7 @@ class Model:
     def impact(self, id: str, depth: int = 4) -> DataFrame:
         """Who reaches the symbol, by least distance."""
         back = self.edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-        return G.closure(back, self.nodes.where(F.col("id") == id).select(F.col("id").alias("src"))).where(F.col("depth") <= depth).select(F.col("dst").alias("id"), "depth")
+        return G.closure(back, self.nodes.where(F.col("id") == id).select(F.col("id").alias("src")), depth).select(F.col("dst").alias("id"), "depth")
 
     def violations(self, layers: dict | None = None, allow: dict | None = None) -> DataFrame:
         n = R.with_layer(self.nodes.select("id", "file"), layers or LAYERS)

@@ -1,5 +1,6 @@
 """General operators on small hand-made tables."""
 
+import heapq
 import random
 
 import pytest
@@ -175,3 +176,53 @@ def test_strong_components_of_random_graphs(spark, seed, n, m):
     r = random.Random(seed)
     edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
     assert rows(G.strong_components(spark.createDataFrame(edges, "src int, dst int"))) == brute_strong(edges)
+
+
+def brute_crawl(edges, seed, depth, limit):
+    heap, done, out = [(0, 0, seed)], set(), []
+    while heap and len(out) < limit:
+        tier, d, at = heapq.heappop(heap)
+        if at in done:
+            continue
+        done.add(at)
+        out.append((at, tier, d))
+        if d < depth:
+            for src, dst, deferred in edges:
+                if src == at and dst not in done:
+                    heapq.heappush(heap, (max(tier, int(deferred)), d + 1, dst))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "depth", "limit"), [(1, 3, 100), (2, 5, 12), (3, 4, 25)])
+def test_crawl(spark, seed, depth, limit):
+    r = random.Random(seed)
+    edges = [(f"v{r.randrange(40)}", f"v{r.randrange(40)}", r.random() < 0.4) for _ in range(90)] + [("v0", "v1", False), ("v0", "v2", True)]
+    assert G.crawl(spark.createDataFrame(edges, "src string, dst string, deferred boolean"), "v0", depth, limit) == brute_crawl(edges, "v0", depth, limit)
+
+
+def test_crawl_and_closure_stop_at_their_depth(spark, monkeypatch):
+    """A chain longer than the most rounds."""
+    monkeypatch.setattr(G, "MOST_ROUNDS", 6)
+    e = spark.createDataFrame([(f"{k:03}", f"{k + 1:03}", False) for k in range(30)], "src string, dst string, deferred boolean")
+    assert G.crawl(e, "000", 3) == [(f"{k:03}", 0, k) for k in range(4)]
+    assert rows(G.closure(e, e.where("src = '000'").select("src"), 2)) == [("000", "001", 1), ("000", "002", 2)]
+
+
+def test_shortest_paths(spark):
+    r = random.Random(4)
+    edges = {(f"{r.randrange(12)}", f"{r.randrange(12)}") for _ in range(26)}
+    want = []
+    for start in map(str, range(12)):
+        level, seen = {start: [start]}, set()
+        while level:
+            seen |= set(level)
+            want += [(start, v, p) for v, p in level.items() if v in "0123"]
+            nxt = {}
+            for a, b in edges:
+                if a in level and b not in seen:
+                    nxt[b] = min(nxt.get(b, ["z"]), [*level[a], b])
+            level = nxt if len(next(iter(level.values()))) <= 8 else {}
+    v = spark.createDataFrame([(str(k),) for k in range(12)], "start string")
+    got = G.shortest_paths(spark.createDataFrame(list(edges), "src string, dst string"), v, v.where("start < '4' AND length(start) = 1").selectExpr("start AS id"))
+    want = [w for w in want if w[1] in {"0", "1", "2", "3"}]
+    assert sorted((g.start, g.target, g.path) for g in got.collect()) == sorted(want)
