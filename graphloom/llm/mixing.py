@@ -5,7 +5,8 @@
    solved in closed form over the sources ordered by cap / weight).
 2. Each source is one stream of words in doc_id order, cut into blocks of block_words words. Positions
    come from a prefix sum in two levels, so that a source with a third of all rows is many tasks.
-3. A source's draws are its target in blocks. Every draw falls on an output shard with equal chance:
+3. A source's draws are its target in blocks, of the mean size that its blocks have: the last may be short, and
+   a source capped at twice its size takes every block twice. Every draw falls on an output shard with equal chance:
    the source counts of a shard are multinomial, under the condition that the totals meet the targets.
 4. Draw n of a source takes block perm(n mod blocks), perm a pseudorandom permutation of the source's
    block indices (affine with a large prime multiplier, another offset per pass). So a block is taken
@@ -66,7 +67,7 @@ def sized(docs: DataFrame) -> DataFrame:
 def draws(targets: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
     """One row per drawn block: sk, shard, block."""
     b = F.ceil(F.col("source_size") / block_words)
-    t = targets.withColumn("blocks", b).withColumn("n", F.least(F.round(F.col("target") / block_words).cast("long"), b * 2))
+    t = targets.where("source_size > 0").withColumn("blocks", b).withColumn("n", F.least(F.round(F.col("target") * b / F.col("source_size")).cast("long"), b * 2))
     t = t.where("n > 0").withColumn("prime", F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(F.lit(seed), "sk"), F.lit(len(PRIMES))) + 1).cast("int")))
     rows = t.select("sk", "blocks", "n", "prime", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAWS_PER_ROW))).alias("r"))
     rows = rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sk", "r")

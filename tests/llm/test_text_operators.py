@@ -164,6 +164,16 @@ def test_mixing(docs, rows, none):
     assert whole.columns == docs.columns and whole.count() > 0
 
 
+def test_mixing_of_short_sources(spark):
+    """A source capped at twice its size takes every word twice, however short its last block."""
+    sizes = {"a": 7, "b": 20, "c": 33, "d": 0, "z": 4000}
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(sizes.items())]
+    got = {g.source: g for g in mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {s: got[s].target for s in "abc"} == {"a": 14, "b": 40, "c": 66}
+    assert {s: got[s].taken for s in "abcd"} == {"a": 14, "b": 40, "c": 66, "d": 0}
+    assert abs(got["z"].taken - got["z"].target) <= 32
+
+
 def luhn(d):
     return sum((x * 2 - 9 if x > 4 else x * 2) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
