@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: The white space that ends a word, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most rows of a table that is broadcast (of a few numbers each, under 32 MB), and parts of a hot key beyond that.
+BROADCAST_ROWS, SALTS = 1 << 19, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,3 +46,29 @@ def unpacked(df: DataFrame, columns: list[str], replaced: dict[str, Column]) ->
     """The packed columns again; a column that an output replaces gives way to it, whatever its case."""
     new = {k.lower() for k in replaced}
     return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() not in new], *[v.alias(k) for k, v in replaced.items()])
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right, a narrow table with one row per key, so that a hot key's left rows never meet in one task.
+
+    right is written and counted: up to BROADCAST_ROWS rows are broadcast; a larger one comes once for each of
+    SALTS parts, over which left is dealt by a hash of the columns by. The result is the same either way.
+    """
+    right = materialize(right)
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    parts = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, [*keys, "salt"], how).drop("salt")
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches cut to rows whose texts (column number text) have about so many bytes together; a longer text is alone."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+            yield b.slice(at, end - at)
+            at = end

@@ -1,7 +1,9 @@
 """Line dedup: lines whose normalised key is found in many documents are dropped everywhere.
 
 Lines are exploded with their positions, keys are hashed to 128 bits, distinct documents are counted
-per hash with partial aggregation, and only the positions to drop travel back to the documents.
+per hash with partial aggregation, and only the positions to drop travel back to the documents. The
+common hashes are counted: a small table of them is broadcast, a large one met in parts, so that a very
+common line's places aren't one task.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii, packed, text_of, unpacked
+from .common import SPACES, lower_ascii, packed, spread_join, text_of, unpacked
 
 
 def line_key(line: Column) -> Column:
@@ -40,7 +42,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
         .select("h1", "h2")
     )
     drops = (
-        lines.join(common, ["h1", "h2"])
+        spread_join(lines, common, ["h1", "h2"], ["d", "th"])
         .groupBy(F.coalesce("d", F.lit(-(2**63))).alias("dk"), "th")
         .agg(F.collect_set("pos").alias("drop"))
     )

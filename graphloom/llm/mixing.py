@@ -3,32 +3,34 @@
 1. Targets: the sources in code point order (null last) weigh 5, 2, 1, 5, 2, 1, ...; they share 150 % of
    all words, no source more than twice its own size, the excess reshared by weight (water filling,
    solved in closed form over the sources ordered by cap / weight).
-2. Each source is one stream of words in doc_id order, cut into blocks of block_words words. Positions
-   come from a prefix sum in two levels, so that a source with a third of all rows is many tasks.
+2. Each source is one stream of words, cut into blocks of block_words words. Positions come from a prefix
+   sum in two levels over a fixed number of parts by a hash of the document, so that a source with a third of
+   all rows is many tasks and the second level is as short at every size.
 3. A source's draws are its target in blocks, of the mean size that its blocks have: the last may be short, and
-   a source capped at twice its size takes every block twice. Every draw falls on an output shard with equal chance:
-   the source counts of a shard are multinomial, under the condition that the totals meet the targets.
-4. Draw n of a source takes block perm(n mod blocks), perm a pseudorandom permutation of the source's
-   block indices (affine with a large prime multiplier, another offset per pass). So a block is taken
-   at most ceil(draws / blocks) <= 2 times.
-5. Draws join documents by block index. No Python runs here.
-
-The seed is fixed, so reruns agree.
+   a source capped at twice its size takes every block twice.
+4. The draws of a source come in runs of RUN. How many of a run fall on each output shard is drawn by binomial
+   splitting: a node of n draws sends Binomial(n, 1/2) of them, the set bits of hashes, to its left half. So
+   a shard's source counts are multinomial, under the condition that the sources' totals meet their targets.
+5. Draw n of a source is a slot of the shard whose count it falls in; it takes block perm(n mod blocks), perm a
+   pseudorandom permutation of the source's block indices (swap-or-not: exact on any number of indices), keyed by
+   seed, shards, source and pass. So a block is taken at most ceil(draws / blocks) <= 2 times.
+6. Draws join documents by block index. No Python runs here.
+
+The seed is fixed, so reruns agree; another seed or number of shards is another draw.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, packed, source_key, text_of, unpacked
+from .common import WORD, packed, source_key, spread_join, text_of, unpacked
 
-#: The weights, in turn, and primes above any number of blocks.
+#: The weights, in turn.
 WEIGHTS = (5, 2, 1)
-PRIMES = (2305843009213693951, 2147483647, 4611686018427387847)
-#: Parts of the prefix sum by doc_id, and of the draws.
-IDS_PER_PART, DRAWS_PER_ROW = 1024, 1 << 16
+#: Parts of a source in the prefix sum; draws of a run; rounds of the permutation.
+PARTS, RUN, ROUNDS = 1 << 14, 1 << 12, 10
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -55,49 +57,113 @@ def sized(docs: DataFrame) -> DataFrame:
         source_key("source").alias("sk"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
     )
-    base = materialize(base).withColumn("part", F.coalesce(F.floor(F.col("d") / IDS_PER_PART), F.lit(-(2**62))))
+    base = materialize(base).withColumn("part", F.pmod(F.xxhash64("d", "th"), F.lit(PARTS)))
     lead = Window.partitionBy("sk").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = base.groupBy("sk", "part").agg(F.sum("size").alias("n"))
     parts = parts.select("sk", "part", F.coalesce(F.sum("n").over(lead), F.lit(0)).alias("lead"))
     within = Window.partitionBy("sk", "part").orderBy("d", "th").rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return base.join(parts, ["sk", "part"]).withColumn("start", F.col("lead") + F.col("own")).drop("part", "own", "lead")
+    return spread_join(base, parts, ["sk", "part"], ["d", "th"]).withColumn("start", F.col("lead") + F.col("own")).drop("part", "own", "lead")
+
+
+def shard_counts(n: Column, shards: int, *key: Column) -> Column:
+    """How many of n draws fall on each of the shards, all alike: an array that sums to n. n is at most RUN.
+
+    shards is a power of two. Each level halves every node of the one before: of n draws, as many go left as
+    n hash bits are set.
+    """
+    bits = lambda n, level: F.aggregate(
+        F.sequence(F.lit(0), F.floor((n["n"] - 1) / 32).cast("int")), F.lit(0),
+        lambda a, i: a + F.bit_count(F.xxhash64(*key, F.lit(level), n["at"], i).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n["n"] - 32 * i, F.lit(32)).cast("int")) - 1)),
+    )
+    def halved(level: int, half: int):
+        def split(x: Column) -> Column:
+            left = F.when(x["n"] > 0, bits(x, level)).otherwise(0).cast("int")
+            return F.array(F.struct(x["at"].alias("at"), left.alias("n")), F.struct((x["at"] + half).alias("at"), (x["n"] - left).alias("n")))
+
+        return split
+
+    nodes = F.array(F.struct(F.lit(0).alias("at"), n.cast("int").alias("n")))
+    for level in range(shards.bit_length() - 1):
+        nodes = F.flatten(F.transform(nodes, halved(level, shards >> (level + 1))))
+    return F.transform(nodes, lambda x: x["n"])
+
+
+def permuted(x: Column, n: Column, key: list[Column]) -> Column:
+    """The image of x under a keyed permutation of 0 to n - 1, by swap-or-not: a round pairs x with k - x (mod n), k the
+    round's key, and a hash of the pair's greater member says whether x becomes the other."""
+
+    def one(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, one)
 
 
 def draws(targets: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
-    """One row per drawn block: sk, shard, block."""
+    """One row per drawn block: sk, shard, slot (its place among the source's draws) and block. shards is a power of two."""
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
     b = F.ceil(F.col("source_size") / block_words)
     t = targets.where("source_size > 0").withColumn("blocks", b).withColumn("n", F.least(F.round(F.col("target") * b / F.col("source_size")).cast("long"), b * 2))
-    t = t.where("n > 0").withColumn("prime", F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(F.xxhash64(F.lit(seed), "sk"), F.lit(len(PRIMES))) + 1).cast("int")))
-    rows = t.select("sk", "blocks", "n", "prime", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DRAWS_PER_ROW))).alias("r"))
+    t = t.where("n > 0").withColumn("skh", F.xxhash64("sk"))
+    # a row per 256 runs, dealt out before it becomes runs
+    rows = t.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (RUN * 256)))).alias("r"))
     rows = rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sk", "r")
-    first = F.col("r") * DRAWS_PER_ROW
-    each = rows.select("sk", "blocks", "prime", F.explode(F.sequence(first, F.least(first + DRAWS_PER_ROW, F.col("n")) - 1)).alias("i"))
-    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products pass 64 bits
-    turn = F.pmod(F.xxhash64(F.lit(seed), "sk", F.floor(F.col("i") / F.col("blocks"))), F.col("blocks"))
-    step = wide(F.col("prime") % F.col("blocks")) * wide(F.col("i") % F.col("blocks")) + wide(turn)
-    return each.select("sk", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sk", "i"), F.lit(shards)).alias("shard"), (step % wide(F.col("blocks"))).cast("long").alias("block"))
+    last = F.floor((F.col("n") - 1) / RUN)
+    runs = rows.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.col("r") * 256, F.least(F.col("r") * 256 + 255, last))).alias("run"))
+    first = F.col("run") * RUN
+    runs = runs.withColumn("counts", shard_counts(F.least(F.col("n") - first, F.lit(RUN)), shards, F.lit(seed), F.col("skh"), F.col("run")))
+    slots = runs.select("sk", "skh", "blocks", first.alias("slot"), F.posexplode("counts").alias("shard", "k"), "counts").where("k > 0")
+    before = F.aggregate(F.slice("counts", F.lit(1), F.col("shard")), F.lit(0), lambda a, x: a + x)
+    slots = slots.select("sk", "skh", "blocks", "shard", F.explode(F.sequence(F.col("slot") + before, F.col("slot") + before + F.col("k") - 1)).alias("slot"))
+    key = [F.lit(seed), F.lit(shards), F.col("skh"), F.floor(F.col("slot") / F.col("blocks"))]
+    return slots.select("sk", "shard", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), key).alias("block"))
+
+
+def block_words_of(base: DataFrame, block_words: int) -> DataFrame:
+    """One row per document and block that it reaches into: sk, start, block, first (the first of its words there, from
+    0) and words."""
+    end = F.col("start") + F.col("size")
+    cover = base.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
+    lead = F.greatest(F.col("start"), F.col("block") * block_words)
+    return cover.withColumn("first", lead - F.col("start")).withColumn("words", F.least(end, (F.col("block") + 1) * block_words) - lead)
 
 
 def mix_plan(docs: DataFrame, block_words: int = 32, shards: int = 64, seed: int = 20) -> DataFrame:
-    """One row per document: doc_id, th (hash of the text), source, size, source_size, target and taken
-    (words the mix takes, repeats counted).
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source
+    and th (hash of the text).
 
     Null text has size 0 and takes nothing; an empty table gives an empty table. Null is a source of its
     own, last in order. Repeated rows are each a document with words of their own.
     """
-    base = sized(docs)
-    sizes = base.groupBy("sk").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
-    targets = source_targets(sizes)
+    base = materialize(sized(docs))
+    targets = materialize(source_targets(sizes_of(base)))
     times = draws(targets, block_words, shards, seed).groupBy("sk", "block").agg(F.count("*").alias("times"))
-    some = base.where("size > 0").select("sk", "start", "size")
-    end = F.col("start") + F.col("size")
-    cover = some.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
-    words = F.least(end, (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    taken = cover.join(times, ["sk", "block"]).groupBy("sk", "start").agg(F.sum(words * F.col("times")).alias("taken"))
-    out = base.join(targets, "sk").join(taken, ["sk", "start"], "left")
-    got = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0)
-    return out.select(F.col("d").alias("doc_id"), "th", "source", "size", "source_size", "target", got.cast("long").alias("taken"))
+    cover = block_words_of(base.select("sk", "start", "size"), block_words)
+    taken = cover.join(times, ["sk", "block"]).groupBy("sk", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    out = spread_join(base, targets, ["sk"], ["d", "th"]).join(taken, ["sk", "start"], "left")
+    got = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+    return out.select(F.col("d").alias("doc_id"), "size", "source_size", "target", got("taken"), "source", "th")
+
+
+def sizes_of(base: DataFrame) -> DataFrame:
+    return base.groupBy("sk").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
+
+
+def mixed_blocks(docs: DataFrame, block_words: int = 32, shards: int = 64, seed: int = 20) -> DataFrame:
+    """The mix itself: shard, source, slot, block and text (the block's words, joined by spaces), one row per drawn
+    block of the shard. A text's words travel once for each time that they are taken. Null and empty texts have no words;
+    an empty table gives an empty table."""
+    base = materialize(sized(docs))
+    sizes = materialize(sizes_of(base))
+    drawn = draws(source_targets(sizes), block_words, shards, seed)
+    cover = block_words_of(base, block_words).select("d", "th", "sk", "start", "block", "first", "words").distinct()
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), source_key("source").alias("sk"), F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)).alias("w")).dropDuplicates(["d", "th", "sk"])
+    same = cover["d"].eqNullSafe(texts["d"]) & (cover["th"] == texts["th"]) & (cover["sk"] == texts["sk"])
+    parts = cover.join(texts, same).select(cover["sk"], "block", "start", F.array_join(F.slice("w", F.col("first").cast("int") + 1, F.col("words").cast("int")), " ").alias("part"))
+    blocks = parts.groupBy("sk", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), " ").alias("text"))
+    return spread_join(drawn.join(blocks, ["sk", "block"]), sizes.select("sk", "source"), ["sk"], ["slot"]).select("shard", "source", "slot", "block", "text")
 
 
 def repeat_taken(docs: DataFrame, seed: int = 20, **kw) -> DataFrame:

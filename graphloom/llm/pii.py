@@ -62,10 +62,18 @@ def may_match(t: Column, kind: str) -> Column:
     return out & t.rlike("[0-9]") if kind in WITH_DIGITS else out
 
 
+SPAN = "array<struct<s:bigint,e:bigint,m:string,before:string>>"
+#: Matches whose positions are added up together; the results of such runs are joined once.
+RUN = 512
+
+
 def located(t: Column, kind: str, pattern: str) -> Column:
-    """All matches in order as structs of s and e (code points, e exclusive), m and the 40 characters before."""
+    """All matches in order as structs of s and e (code points, e exclusive), m and the 40 characters before.
+
+    Positions are added up run by run, so that a text of very many matches isn't copied for each of them.
+    """
     found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
-    shape = "struct<at:bigint,out:array<struct<s:bigint,e:bigint,m:string,before:string>>>"
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
@@ -73,9 +81,20 @@ def located(t: Column, kind: str, pattern: str) -> Column:
         one = F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(40)).alias("before"))
         return F.struct(e.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>").alias("out")).cast(shape)
+    def run(acc: Column, pairs: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), none.alias("out"))
+        got = F.aggregate(pairs, start, step)
+        return F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
+
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"))
-    return F.when(may_match(t, kind) & t.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def whole(p: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: F.slice(p, k * RUN + 1, RUN))
+        return F.aggregate(runs, start, run, lambda a: F.flatten(a["out"]))
+
+    # the pairs are an element of an array, so that they are made once and not for every run
+    return F.when(may_match(t, kind) & t.rlike(pattern), F.get(F.transform(F.array(pairs), whole), F.lit(0))).otherwise(none)
 
 
 def digits(m: Column) -> Column:
@@ -92,7 +111,7 @@ def luhn(m: Column) -> Column:
 def valid(kind: str, m: Column) -> Column:
     """Whether a match of a base pattern passes its check."""
     if kind == "ip":
-        return m.rlike(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$")
+        return m.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$")
     if kind == "card":
         return F.length(digits(m)).between(13, 19) & luhn(F.when(F.length(m) <= 40, m).otherwise(""))
     if kind == "phone":
@@ -110,11 +129,11 @@ def named(kind: str):
 
 
 def candidates(t: Column) -> Column:
-    """Further spans with their kinds, cards and the like that fail their checks among them."""
+    """Further spans with their kinds; cards in other groupings have to pass their check as well."""
     out = []
     for kind, pattern in WIDE.items():
         out.append(F.transform(located(t, "wide email" if kind == "email" else kind, pattern), named(kind)))
-    cards = F.filter(located(t, "card", r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"), lambda x: ~valid("card", x["m"]))
+    cards = F.filter(located(t, "card", r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"), lambda x: valid("card", x["m"]))
     out.append(F.transform(cards, named("card")))
     return F.concat(*out)
 

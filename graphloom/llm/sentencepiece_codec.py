@@ -22,12 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import packed, text_of, unpacked
+from .common import packed, slices, text_of, unpacked
 
 MARK = "▁"
 NEVER = 1 << 60
-#: Most units that a worker keeps the ids of, and twice as many pairs of tokens.
-CACHE = 1 << 20
+#: Most units that a worker keeps the ids of, and most pairs of tokens: about 200 bytes each, so 13 MB a table. A
+#: full table is emptied.
+CACHE = 1 << 16
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 20
+#: What normalisation must leave as it is, but for the first mark and marks for spaces.
+PROBES = ("a", "  a  b ", "\ufb01\u2460\u00a0\u3000x", "e\u0301 \u00e9", "A\tb\nc")
 
 
 class Codec:
@@ -38,6 +43,10 @@ class Codec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if any(sp.normalize(x) != MARK + x.replace(" ", MARK) for x in PROBES):
+            raise ValueError("the model normalises texts: only identity normalisation with a dummy prefix is built")
+        if sp.piece_to_id("<0x00>") == sp.unk_id():
+            raise ValueError("the model has no byte pieces")
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         normal = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in normal}
@@ -92,8 +101,9 @@ class Codec:
             else:
                 y = right[j][1]
                 j += 1
-        if len(self.fits) < 2 * CACHE:
-            self.fits[a, b] = ok
+        if len(self.fits) >= CACHE:
+            self.fits.clear()
+        self.fits[a, b] = ok
         return ok
 
     def tokens(self, unit: str) -> list[str]:
@@ -130,7 +140,9 @@ class Codec:
             else:
                 ids.extend([self.bytes[b] for b in piece.encode()])
         got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(unit) <= 64 and len(self.cached) < CACHE:
+        if len(unit) <= 64:
+            if len(self.cached) >= CACHE:
+                self.cached.clear()
             self.cached[unit] = got
         return got
 
@@ -199,12 +211,10 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
-                texts = [codec.decode(array("I", x)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
+        for part in slices(batches, 1, SLICE_BYTES):
+            ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+            texts = [codec.decode(array("I", x)) for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 
     out = base.mapInArrow(encode, schema)
     return unpacked(out, docs.columns, {"ids": F.col("ids"), "n_tokens": (F.octet_length("ids") / 4).cast("long"), "decoded": F.col("decoded")})

@@ -8,7 +8,8 @@ import pyarrow as pa
 U = np.uint64
 #: Fixed odd multipliers.
 K1, K2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-BLOCK = 1 << 22
+#: Bytes whose prefix sums are held at once.
+BLOCK = 1 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,54 +34,70 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-_kept: dict[int, np.ndarray] = {}
+MULTIPLIER = 0x5851F42D4C957F2D
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
-def _powers(n: int, k: int) -> np.ndarray:
-    """k to the powers 0 to n - 1, modulo 2^64; the longest row so far is kept."""
-    if k not in _kept or len(_kept[k]) < n:
-        out = np.full(max(n, 1 << 16), U(k))
-        out[0] = U(1)
-        with np.errstate(over="ignore"):
-            _kept[k] = np.multiply.accumulate(out)
-    return _kept[k][:n]
+def _powers(k: int) -> np.ndarray:
+    """k to the powers 0 to BLOCK, modulo 2^64."""
+    out = np.full(BLOCK + 1, U(k))
+    out[0] = U(1)
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
 
 
-MULTIPLIER = 0x5851F42D4C957F2D
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+UP, DOWN = _powers(MULTIPLIER), _powers(INVERSE)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Prefix sums of the bytes' polynomial, from 0; at most BLOCK bytes."""
+    low = x + ((x >= 65) & (x <= 90)) * np.uint8(32)
+    p = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + U(1)) * UP[: len(x)], out=p[1:])
+    return p
+
+
+def _long_word(x: np.ndarray) -> np.uint64:
+    """The same polynomial for one word beyond BLOCK bytes, block by block from its end."""
+    total = U(0)
+    step = U(pow(MULTIPLIER, BLOCK, 1 << 64))
+    for at in range((len(x) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        total = total * step + _sums(x[at : at + BLOCK])[-1]
+    return total
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word [^\\x20\\x09-\\x0D]+ of all rows, A-Z lower-cased, and the bounds of each row's words.
 
-    The bytes form a polynomial with prefix sums over blocks of rows; a word's hash is its part of the
-    sum, shifted to the word's start, mixed with its length.
+    The bytes form a polynomial with prefix sums over blocks of words; a word's hash is its part of the
+    sum, shifted to the word's start, mixed with its length. Memory is bounded by BLOCK, however long a text is.
     """
-    hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
-    at, rows = 0, len(offsets) - 1
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    first = ~space
+    first[1:] &= space[:-1]
+    last = ~space
+    last[:-1] &= space[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    first[inner] = ~space[inner]
+    last[inner - 1] = ~space[inner - 1]
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    del space, first, last
+    bounds = np.searchsorted(s, offsets)
+    out = np.empty(len(s), np.uint64)
+    at = 0
     with np.errstate(over="ignore"):
-        while at < rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-            x = data[offsets[at] : offsets[end]]
-            bounds = offsets[at : end + 1] - offsets[at]
-            space = (x == 32) | ((x >= 9) & (x <= 13))
-            first = ~space
-            first[1:] &= space[:-1]
-            last = ~space
-            last[:-1] &= space[1:]
-            inner = bounds[1:-1]
-            inner = inner[(inner > 0) & (inner < len(x))]
-            first[inner] = ~space[inner]
-            last[inner - 1] = ~space[inner - 1]
-            s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-            low = x + ((x >= 65) & (x <= 90)) * np.uint8(32)
-            p = np.zeros(len(x) + 1, np.uint64)
-            np.cumsum((low.astype(np.uint64) + U(1)) * _powers(len(x), MULTIPLIER), out=p[1:])
-            back = _powers(len(x) + 1, INVERSE)
-            hashes.append(mix((p[e] - p[s]) * back[s], (e - s).astype(np.uint64)))
-            counts[at:end] = np.diff(np.searchsorted(s, bounds))
+        while at < len(s):
+            end = int(np.searchsorted(e, s[at] + BLOCK, "right"))
+            if end > at:
+                base = int(s[at])
+                p, i, j = _sums(data[base : e[end - 1]]), s[at:end] - base, e[at:end] - base
+                out[at:end] = (p[j] - p[i]) * DOWN[i]
+            else:
+                end = at + 1
+                out[at] = _long_word(data[s[at] : e[at]])
             at = end
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)])
+        return mix(out, (e - s).astype(np.uint64)), bounds
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import embedding_forest, html_diff, line_crf, ngram_join
 
@@ -111,7 +112,7 @@ def test_line_crf(spark):
         labels.append((k, int(good)))
     docs = spark.createDataFrame([(*x, "a", "b") for x in rows], "doc_id long, text string, score string, predicted string")
     lab = spark.createDataFrame([*labels, (None, 1), (5000, None)], "doc_id long, quality int")
-    out = {g.doc_id: g for g in line_crf.score(docs, line_crf.train(docs, lab)).withColumn("held", line_crf.held_out(docs.doc_id)).collect()}
+    out = {g.doc_id: g for g in line_crf.score(docs, line_crf.train(docs, lab)).withColumn("held", line_crf.held_out(F.col("doc_id"))).collect()}
     assert len(out) == len(rows) and all(0 <= g.score <= 1 and g.predicted == (g.score >= 0.5) for g in out.values())
     held = [(out[d].predicted, y) for d, y in labels if out[d].held]
     assert len(held) > 50 and np.mean([p == y for p, y in held]) > 0.95
