@@ -1,27 +1,27 @@
 """Suffix-array dedup by bucket-pointer refinement: bytes of long strings that a smaller doc_id also holds go.
 
-Suffixes are only told apart to the depth of the string length (50). As in bucket-pointer refinement, they
-start in buckets by their first q = 24 bytes and a bucket is refined by the identifiers of the buckets in
-which later offsets lie: the depth-50 identifier of a suffix is that of its buckets at offsets 0, 24 and
-26. An identifier is a 64-bit hash of the bucket's string, so that no global ranking is needed, and a
-refined identifier is made from the coarser ones, which are reused.
-
-Not all suffixes are sorted. Each 50-byte window has one anchor, its q-gram of least hash; equal windows
-have equal anchors. A run of windows with one anchor is a span (76 bytes at most).
-  round 1  q-gram buckets: which anchors are in more than one document? The rest are unique and done.
-  round 2  those are refined to whole spans; a span that a smaller document also has goes whole, and of
-           each distinct span only the least document remains in question.
-  round 3  where a q-gram bucket still holds several distinct spans, they are refined to windows.
-Documents are dealt once into blocks of about BLOCK_BYTES by a hash of doc_id. In a round, each block sends
-every key once, whatever number of its documents have it, and gets one answer per key; so a string that
-a third of all documents share costs one key a block. The text is shuffled once: all rounds read the same
-exchange.
+Suffixes only have to be told apart to the depth of the string length (50). Documents are dealt once into
+blocks of about BLOCK_BYTES by a hash of doc_id, and most suffixes are settled by their first bucket:
+
+  round 1  Each 50-byte window has one anchor, its 24-gram of least hash; equal windows have equal anchors. The
+           anchors' 24-gram buckets are counted over all blocks. What starts at an anchor whose bucket holds one
+           document is unique: such a bucket is final, as in any bucket sort.
+  round 2  A run of windows with one anchor is a span (76 bytes at most). A span that a smaller document also has goes
+           whole; of each distinct span only the least document remains, where its bucket holds several spans.
+  round 3  The suffixes in what remains are sorted within their block by bucket-pointer refinement: buckets of 8
+           bytes, refined by sorting on the pair of a suffix's own bucket and the bucket at the later offset that
+           its depth reaches, each time with the buckets that the step before has refined (8, 16, 32, 50). Each
+           bucket of depth 50 then takes one name, a 64-bit hash of its string, and meets the other blocks'.
+
+In a round a block sends a key once, whatever number of its documents have it, and gets one bit for it; so a
+string that a third of all documents share costs one key a block. Keys are dealt by their own hash, so that no
+part collects the spans around one very common string. A row holds all keys of a block for a part, as a segment
+of a shuffle does: total / BLOCK_BYTES times total / PART_BYTES rows. The text is shuffled once: all rounds read
+the same exchange.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,12 +31,17 @@ from ..session import ship_package
 from .common import text_of
 from .shingles import U, mix, utf8
 
-#: Depth of the first buckets, and bytes of text to a block.
-Q, BLOCK_BYTES = 24, 4_000_000
+#: Depth of the first buckets; bytes of text to a block, and to a part of the keys.
+Q, BLOCK_BYTES, PART_BYTES = 24, 12_000_000, 48_000_000
+#: Depth of the first buckets in the blocks' suffix sort.
+SHORT_Q = 8
 #: Window starts that are handled at once.
 STRETCH = 1 << 19
+#: Kinds of keys: anchors' buckets, spans, the spans' buckets, windows.
+ANCHOR, SPAN, BUCKET, WINDOW = 1, 2, 3, 4
 
-REPLY = "block long, kind int, part long, a binary, b binary"
+REPLY = "block long, kind int, part long, bits binary, n long"
+SENT = "kind int, part long, block long, x binary, y binary, d binary"
 
 
 def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -48,27 +53,54 @@ def _q_bucket(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(mix(_eight(data, at), _eight(data, at + 8)), _eight(data, at + 16))
 
 
-def _refined(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Depth-length bucket identifiers, from the q-gram buckets at later offsets; Q <= length <= 3 * Q."""
+def _name(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the length bytes from each position; Q <= length <= 3 * Q."""
     far = _q_bucket(data, at + (length - Q))
     return mix(mix(_q_bucket(data, at), _q_bucket(data, at + min(Q, length - Q))), far)
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones, in sorted order."""
+    order = np.argsort(keys, kind="stable")
+    new = np.zeros(len(keys), np.uint64)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def suffix_buckets(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of the suffix at each start among all, told apart to the given depth, by bucket-pointer refinement.
+
+    text holds depth bytes from each start. A bucket's rank follows the byte order of its strings.
+    """
+    reach = SHORT_Q
+    padded = np.append(text, np.zeros(depth + SHORT_Q, np.uint8))
+    first = np.lib.stride_tricks.sliding_window_view(padded, SHORT_Q)[: len(text)]
+    bucket = _ranks(np.ascontiguousarray(first).view(">u8").ravel().astype(np.uint64))
+    while reach < depth:
+        step = min(reach, depth - reach)
+        later = np.append(bucket[step:], np.zeros(step, np.uint64))
+        if reach + step >= depth:
+            return _ranks((bucket << U(32) | later)[starts])
+        bucket = _ranks(bucket << U(32) | later)
+        reach += step
+    return _ranks(bucket[starts])
+
+
 def _anchors(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The anchor, first and last window start of each span. offsets bound the rows; only wanted rows count."""
-    sizes = np.diff(offsets)
-    use = np.flatnonzero((sizes >= length) & wanted)
+    use = np.flatnonzero((np.diff(offsets) >= length) & wanted)
     edge = np.zeros(len(data) + 1, np.int8)
     edge[offsets[:-1][use]] = 1
     edge[offsets[1:][use] - length + 1] -= 1
-    starts = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
-    if not len(starts):
-        return (np.zeros(0, np.int64),) * 3
+    valid = np.cumsum(edge[:-1], dtype=np.int8)
     width = length - Q + 1
-    chosen = np.empty(len(starts), np.int64)
+    anchors, firsts, lasts = [], [], []
+    before, of_before = -2, -1
     for a in range(0, len(data), STRETCH):
-        i, j = np.searchsorted(starts, (a, a + STRETCH))
-        if i == j:
+        s = np.flatnonzero(valid[a : a + STRETCH])
+        if not len(s):
             continue
         x = data[a : min(len(data), a + STRETCH + length)].astype(np.uint64)
         x = x[:-1] | x[1:] << U(8)
@@ -82,22 +114,39 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, length:
             step = min(done, width - done)
             h = np.minimum(h[:-step], h[step:])
             done += step
-        chosen[i:j] = (h[starts[i:j] - a] & U((1 << 24) - 1)).astype(np.int64) + a
-    new = np.ones(len(starts), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return chosen[first], starts[first], starts[last]
+        chosen = (h[s] & U((1 << 24) - 1)).astype(np.int64) + a
+        s = s + a
+        new = np.ones(len(s), bool)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (s[1:] != s[:-1] + 1)
+        new[0] = s[0] != before + 1 or chosen[0] != of_before
+        first = np.flatnonzero(new)
+        ends = np.where(first > 0, s[first - 1], before)
+        lasts.append(ends if firsts else ends[1:])
+        firsts.append(s[first])
+        anchors.append(chosen[first])
+        before, of_before = int(s[-1]), int(chosen[-1])
+    if not firsts:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(anchors), np.concatenate(firsts), np.append(np.concatenate(lasts), before)
+
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the order that sorts all keys, and where each run of equal ones begins in it."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    at = np.flatnonzero(first)
+    return s[at], order, at
 
-def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts by keys (first key first), and in that order the number of its equal group."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.cumsum(new)
+
+def _classes(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the least document of each, and each row's class."""
+    distinct, order, at = _runs(keys)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(keys))))
+    least = np.minimum.reduceat(doc[order], at) if len(at) else np.zeros(0, np.int64)
+    return distinct, least, of
 
 
 class Block:
@@ -110,96 +159,110 @@ class Block:
         ids = t.column("d")
         self.known = ~ids.is_null().to_numpy()
         self.d = ids.fill_null(0).to_numpy().astype(np.int64)
-        self.parts, self.length = U(parts), length
-        anchor, self.s1, self.s2 = _anchors(self.data, self.offsets, self.known, length)
-        self.p = anchor
-        self.g = _q_bucket(self.data, anchor)
-        self.doc = self.d[np.searchsorted(self.offsets, self.s1, "right") - 1] if len(anchor) else np.zeros(0, np.int64)
+        self.parts, self.length = parts, length
+        self.p, self.s1, self.s2 = _anchors(self.data, self.offsets, self.known, length)
+        self.g = _q_bucket(self.data, self.p)
+        self.doc = self.d[np.searchsorted(self.offsets, self.s1, "right") - 1] if len(self.p) else np.zeros(0, np.int64)
 
-    def code(self, g: np.ndarray) -> np.ndarray:
-        return (g % self.parts) << U(32) | g >> U(32)
+    def code(self) -> np.ndarray:
+        """The anchors' buckets as part and 32 bits. Buckets that agree in these are kept together, no more."""
+        return part_of(self.g, self.parts) << U(32) | (self.g & U(0xFFFFFFFF))
 
     def keep(self, which: np.ndarray) -> None:
         self.p, self.s1, self.s2, self.g, self.doc = (x[which] for x in (self.p, self.s1, self.s2, self.g, self.doc))
 
-    def recurring(self, told: np.ndarray) -> None:
+    def recurring(self, told: dict[int, np.ndarray]) -> None:
         """Keeps the anchors that another block has, or another document of this one."""
-        code = self.code(self.g)
-        found = np.zeros(len(code), bool)
-        if len(told):
-            found = told[np.minimum(np.searchsorted(told, code), len(told) - 1)] == code
-        order, group = _grouped([code, self.doc.view(np.uint64)])
-        c = code[order]
-        same = (c[1:] == c[:-1]) & (group[1:] != group[:-1])
-        shared = np.unique(c[1:][same])
-        if len(shared):
-            found |= shared[np.minimum(np.searchsorted(shared, code), len(shared) - 1)] == code
-        self.keep(found)
-
-    def classes(self, x: np.ndarray, y: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (x, y) by part, their least document, and each row's class."""
-        order, group = _grouped([x % self.parts, x, y, doc.view(np.uint64) ^ U(1 << 63)])
-        xs, ys, ds = x[order], y[order], doc[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(first) - 1
-        return xs[first], ys[first], ds[first], of
-
-    def spans(self) -> np.ndarray:
+        code = self.code()
+        distinct, order, at = _runs(code)
+        found = told[ANCHOR]
+        if len(at):
+            d = self.doc[order]
+            found = found | (np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at))
+        which = np.empty(len(code), bool)
+        which[order] = np.repeat(found, np.diff(np.append(at, len(code))))
+        self.keep(which)
+
+    def span_names(self) -> np.ndarray:
         shape = (self.s2 - self.s1).astype(np.uint64) << U(8) | (self.p - self.s1).astype(np.uint64)
-        return mix(mix(_refined(self.data, self.s1, self.length), _refined(self.data, self.s2, self.length)), shape)
+        return mix(mix(_name(self.data, self.s1, self.length), _name(self.data, self.s2, self.length)), shape)
+
+    def settle_spans(self, told: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the spans that go whole; those whose windows are still in question are kept."""
+        names = self.span_names()
+        _, least, of = _classes(names, self.doc)
+        goes = told[SPAN][of] | (self.doc > least[of])
+        _, _, bucket = _classes(self.g, self.doc)
+        s1, s2 = self.s1[goes], self.s2[goes]
+        self.keep(~goes & told[BUCKET][bucket])
+        return s1, s2
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, q-gram bucket, depth-length identifier and document of each window of the kept spans."""
+        """Start and class of each window of the kept spans; the classes' names and least documents, by name."""
         n = self.s2 - self.s1 + 1
-        s = np.repeat(self.s1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return s, np.repeat(self.g, n), _refined(self.data, s, self.length), np.repeat(self.doc, n)
-
-
-def _by_part(part: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
+        starts = np.repeat(self.s1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        doc = np.repeat(self.doc, n)
+        if not len(starts):
+            return starts, starts, np.zeros(0, np.uint64), doc
+        edge = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(edge, self.s1, 1)
+        np.add.at(edge, self.s2 + self.length, -1)
+        inside = np.cumsum(edge[:-1]) > 0
+        place = np.cumsum(inside) - 1
+        rank = suffix_buckets(self.data[inside], place[starts], self.length)
+        distinct, least, of = _classes(rank, doc)
+        one = np.empty(len(distinct), np.int64)
+        one[of] = starts
+        names = _name(self.data, one, self.length)
+        # two strings of one name would be one class in every block
+        named, least_named, of_named = _classes(names, least)
+        return starts, of_named[of], named, least_named
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key; it grows with the key."""
+    return (keys >> U(32)) * U(parts) >> U(32)
+
+
+def _sent(kind: int, block: int, part: np.ndarray, columns: dict[str, np.ndarray]) -> list[dict]:
+    """A row for each part: part is sorted."""
     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
-        yield int(part[a]), {k: v[a:b].tobytes() for k, v in columns.items()}
-
-
-def _sent(block: int, x, y, d, parts) -> pa.Table:
-    rows = list(_by_part(x % parts, {"x": x, "y": y, "d": d}))
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), **{k: pa.array([r[1][k] for r in rows], pa.binary()) for k in "xyd"}})
-
-
-def _told(table: pa.Table, kind: int) -> list[tuple[int, bytes, bytes]]:
-    rows = zip(*(table.column(c).to_pylist() for c in ("kind", "part", "a", "b")), strict=True)
-    return sorted((r[1:] for r in rows if r[0] == kind), key=lambda r: r[0])
-
-
-def _reply(blocks, kind: int, part: int, a: list[bytes], b: list[bytes]) -> pa.Table:
-    n = len(blocks)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "part": pa.array([part] * n, pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def _cat(column, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All rows' numbers, and how many each row has."""
-    rows = [np.frombuffer(x, dtype) for x in column.to_pylist()]
-    return (np.concatenate(rows) if rows else np.zeros(0, dtype)), np.array([len(r) for r in rows], np.int64)
-
-
-def _least(table: pa.Table, kind: int) -> pa.Table:
-    """Answers a part's keys (x, y): the least document of all blocks, and whether x has several y."""
-    (x, n), (y, _), (d, _) = _cat(table.column("x"), np.uint64), _cat(table.column("y"), np.uint64), _cat(table.column("d"), np.int64)
-    order = np.lexsort((d, y, x))
-    xs, ys = x[order], y[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])
-    group = np.cumsum(first) - 1
-    least, several = np.empty_like(d), np.zeros(len(d), np.uint8)
-    least[order] = d[order][first][group]
-    new = np.ones(int(first.sum()), bool)
-    new[1:] = xs[first][1:] != xs[first][:-1]
-    of_x = np.cumsum(new) - 1
-    several[order] = (np.bincount(of_x)[of_x] > 1)[group] if len(d) else several
-    cut = np.cumsum(n)[:-1]
-    return _reply(table.column("block").to_pylist(), kind, table.column("part")[0].as_py(), [v.tobytes() for v in np.split(least, cut)], [v.tobytes() for v in np.split(several, cut)])
+    ends = np.append(cut[1:], len(part))
+    return [{"kind": kind, "part": int(part[a]), "block": block, **{k: v[a:b].tobytes() for k, v in columns.items()}} for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+
+
+SENT_TYPE = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("d", pa.binary())])
+REPLY_TYPE = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("bits", pa.binary()), ("n", pa.int64())])
+
+
+def _told(table: pa.Table) -> dict[int, np.ndarray]:
+    """The answers of each kind, in the order of the keys."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "bits", "n")), strict=True))
+    return {k: np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for kind, _, b, n in rows if kind == k]]) for k in (ANCHOR, SPAN, BUCKET, WINDOW)}
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """A bit for each key that the blocks sent to a part: whether another block has the anchor's bucket, whether a
+    smaller document of another block has the span or window, whether the bucket holds several spans."""
+    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+    cat = lambda c, t: np.concatenate([np.frombuffer(x or b"", t) for x in table.column(c).to_pylist()])
+    keys = cat("x", np.uint32 if kind == ANCHOR else np.uint64)
+    width = 4 if kind == ANCHOR else 8
+    n = [len(x) // width for x in table.column("x").to_pylist()]
+    _, order, at = _runs(keys)
+    size = np.diff(np.append(at, len(keys)))
+    bits = np.empty(len(keys), bool)
+    if kind == ANCHOR:
+        bits[order] = np.repeat(size > 1, size)
+    elif kind == BUCKET:
+        low, high = cat("y", np.uint64)[order], cat("d", np.uint64)[order]
+        bits[order] = np.repeat(np.minimum.reduceat(low, at) != np.maximum.reduceat(high, at), size)
+    else:
+        doc = cat("d", np.int64)[order]
+        bits[order] = np.repeat(np.minimum.reduceat(doc, at), size) < doc
+    cut = np.append(0, np.cumsum(n))
+    each = [np.packbits(bits[a:b]).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return pa.table([table.column("block").combine_chunks(), pa.array([kind] * len(n), pa.int32()), pa.array([part] * len(n), pa.int64()), pa.array(each, pa.binary()), pa.array(n, pa.int64())], schema=REPLY_TYPE)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -216,71 +279,47 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     ship_package(docs.sparkSession)
     base = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), text_of().alias("t"))
     total = base.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
-    parts = max(16, -(-total // BLOCK_BYTES))
-    base = base.withColumn("block", F.pmod(F.xxhash64(F.coalesce("d", "th")), F.lit(parts)))
+    n_blocks, parts = max(16, -(-total // BLOCK_BYTES)), max(16, -(-total // PART_BYTES))
+    base = base.withColumn("block", F.pmod(F.xxhash64(F.coalesce("d", "th")), F.lit(n_blocks)))
     blocks = base.groupBy("block")
 
-    def told_1(right: pa.Table) -> np.ndarray:
-        parts_told = [np.frombuffer(a, np.uint32).astype(np.uint64) | U(part) << U(32) for part, a, _ in _told(right, 1)]
-        return np.concatenate(parts_told) if parts_told else np.zeros(0, np.uint64)
+    def number(left: pa.Table) -> int:
+        return left.column("block")[0].as_py()
 
-    def after_1(left: pa.Table, right: pa.Table) -> Block:
-        b = Block(left, parts, length)
-        b.recurring(told_1(right))
-        return b
-
-    def after_2(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
-        """The block with the spans in question kept; starts and ends of those that go whole."""
-        b = after_1(left, right)
-        x, _, _, of = b.classes(b.g, b.spans(), b.doc)
-        told = _told(right, 2)
-        least = np.concatenate([np.frombuffer(r[1], np.int64) for r in told] or [np.zeros(0, np.int64)])
-        several = np.concatenate([np.frombuffer(r[2], np.uint8) for r in told] or [np.zeros(0, np.uint8)])
-        assert len(least) == len(x), "a block changed between rounds"
-        goes = least[of] < b.doc
-        s1, s2 = b.s1[goes], b.s2[goes]
-        b.keep(~goes & (several[of] > 0))
-        return b, s1, s2
-
-    def send_1(table: pa.Table) -> pa.Table:
-        b = Block(table, parts, length)
-        code = np.unique(b.code(b.g))
-        rows = list(_by_part(code >> U(32), {"k": code.astype(np.uint32)}))
-        n = len(rows)
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * n, pa.int64()), "k": pa.array([r[1]["k"] for r in rows], pa.binary())})
-
-    def answer_1(table: pa.Table) -> pa.Table:
-        k, n = _cat(table.column("k"), np.uint32)
-        keys = np.sort(k)
-        twice = np.unique(keys[1:][keys[1:] == keys[:-1]])
-        found = twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k if len(twice) else np.zeros(len(k), bool)
-        own = [v[f].tobytes() for v, f in zip(np.split(k, np.cumsum(n)[:-1]), np.split(found, np.cumsum(n)[:-1]), strict=True)]
-        some = [i for i, v in enumerate(own) if v]
-        block = table.column("block").to_pylist()
-        return _reply([block[i] for i in some], 1, table.column("part")[0].as_py(), [own[i] for i in some], [b""] * len(some))
+    def send_1(left: pa.Table) -> pa.Table:
+        code = _runs(Block(left, parts, length).code())[0]
+        return pa.Table.from_pylist(_sent(ANCHOR, number(left), code >> U(32), {"x": code.astype(np.uint32)}), SENT_TYPE)
 
     def send_2(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return empty
-        b = after_1(left, right)
-        x, y, d, _ = b.classes(b.g, b.spans(), b.doc)
-        return _sent(left.column("block")[0].as_py(), x, y, d, b.parts)
+            return SENT_TYPE.empty_table()
+        b = Block(left, parts, length)
+        b.recurring(_told(right))
+        names = b.span_names()
+        x, least, _ = _classes(names, b.doc)
+        g, order, at = _runs(b.g)
+        low, high = (f.reduceat(names[order], at) if len(at) else names for f in (np.minimum, np.maximum))
+        rows = _sent(SPAN, number(left), part_of(x, parts), {"x": x, "d": least})
+        return pa.Table.from_pylist(rows + _sent(BUCKET, number(left), part_of(g, parts), {"x": g, "y": low, "d": high}), SENT_TYPE)
 
     def send_3(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return empty
-        b, _, _ = after_2(left, right)
-        _, g, w, doc = b.windows()
-        x, y, d, _ = b.classes(g, w, doc)
-        return _sent(left.column("block")[0].as_py(), x, y, d, b.parts)
+            return SENT_TYPE.empty_table()
+        b, told = Block(left, parts, length), _told(right)
+        b.recurring(told)
+        b.settle_spans(told)
+        _, _, names, least = b.windows()
+        return pa.Table.from_pylist(_sent(WINDOW, number(left), part_of(names, parts), {"x": names, "d": least}), SENT_TYPE)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, s1, s2 = after_2(left, right)
-        s, g, w, doc = b.windows()
-        x, _, _, of = b.classes(g, w, doc)
-        least = np.concatenate([np.frombuffer(r[1], np.int64) for r in _told(right, 3)] or [np.zeros(0, np.int64)])
-        assert len(least) == len(x), "a block changed between rounds"
-        s = s[least[of] < doc]
+        b, told = Block(left, parts, length), _told(right)
+        b.recurring(told)
+        s1, s2 = b.settle_spans(told)
+        doc = np.repeat(b.doc, b.s2 - b.s1 + 1)
+        s, of, names, least = b.windows()
+        if len(told[WINDOW]) != len(names):
+            raise AssertionError("a block changed between rounds")
+        s = s[told[WINDOW][of] | (doc > least[of])] if len(s) else s
         size = len(b.data) + 1
         depth = np.bincount(np.concatenate([s1, s]), minlength=size) - np.bincount(np.concatenate([s2, s]) + length, minlength=size)
         gone = np.cumsum(depth[:-1]) > 0
@@ -296,11 +335,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(rest)])
         return pa.table({"doc_id": left.column("d"), "th": left.column("th"), "n_bytes": pa.array(np.diff(b.offsets)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept": kept.cast(pa.binary())})
 
-    keys = "part long, block long, x binary, y binary, d binary"
-    empty = pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in "xyd"}})
-    r1 = blocks.applyInArrow(send_1, "part long, block long, k binary").groupBy("part").applyInArrow(answer_1, REPLY)
-    sent_2 = blocks.cogroup(r1.groupBy("block")).applyInArrow(send_2, keys)
-    r2 = r1.union(sent_2.groupBy("part").applyInArrow(lambda t: _least(t, 2), REPLY))
-    sent_3 = blocks.cogroup(r2.groupBy("block")).applyInArrow(send_3, keys)
-    r3 = r2.union(sent_3.groupBy("part").applyInArrow(lambda t: _least(t, 3), REPLY))
+    answered = lambda sent: sent.groupBy("kind", "part").applyInArrow(answer, REPLY)
+    r1 = answered(blocks.applyInArrow(send_1, SENT))
+    r2 = r1.union(answered(blocks.cogroup(r1.groupBy("block")).applyInArrow(send_2, SENT)))
+    r3 = r2.union(answered(blocks.cogroup(r2.groupBy("block")).applyInArrow(send_3, SENT)))
     return blocks.cogroup(r3.groupBy("block")).applyInArrow(finish, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary")

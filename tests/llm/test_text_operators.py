@@ -1,8 +1,10 @@
 """Operators on whole texts against plain Python."""
 
+import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,8 +47,8 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.drop_common_lines(none).count() == 0
 
 
-def test_suffix_dedup(docs, rows, none):
-    texts = [(r[0], (r[1] or "").encode()) for r in rows]
+def brute_repeats(texts):
+    """Per document: bytes, removed bytes, runs and hash of the rest, from every 50-byte window."""
     least = {}
     for d, b in texts:
         if d is not None:
@@ -61,12 +63,48 @@ def test_suffix_dedup(docs, rows, none):
                 gone[i : i + 50] = b"\1" * 50
         spans = sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(b)))
         want.append((d, len(b), sum(gone), spans, D.sha(bytes(x for x, g in zip(b, gone) if not g))))
-    got = suffix_dedup.remove_repeats(docs).withColumn("h", F.sha2("kept", 256))
-    assert D.as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == sorted(want, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
+    return sorted(want, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
+
+
+def removed(docs):
+    return D.as_rows(suffix_dedup.remove_repeats(docs).withColumn("h", F.sha2("kept", 256)), "doc_id", "n_bytes", "n_removed", "n_spans", "h")
+
+
+def test_suffix_dedup(docs, rows, none):
+    want = brute_repeats([(r[0], (r[1] or "").encode()) for r in rows])
+    assert removed(docs) == want
     assert sum(w[2] for w in want) > 1000
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_shifted_passages(spark):
+    """Parts of few different passages, cut at any byte, so that spans, buckets and windows differ by a byte or two."""
+    r = random.Random(8)
+    passages = ["".join(r.choices("ab cé", k=300)) for _ in range(4)] + ["ab" * 100, "x" * 150]
+    rows = []
+    for d in range(150):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            t = r.choice(passages)
+            a = r.randrange(len(t))
+            parts.append(t[a : a + r.randint(30, 120)] + r.choice(["", "!", "q"]))
+        rows.append((d - 20, "".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_repeats([(d, t.encode()) for d, t in rows])
+    assert removed(docs) == want and sum(w[2] for w in want) > 5000
+
+
+def test_suffix_buckets_follow_the_order_of_the_suffixes():
+    r = np.random.default_rng(3)
+    for depth in (8, 16, 24, 33, 50, 72):
+        text = r.integers(97, 99, 400).astype(np.uint8)
+        text[100:200] = text[:100]
+        starts = np.sort(r.choice(400 - depth, 200, replace=False))
+        strings = [text[s : s + depth].tobytes() for s in starts]
+        order = {s: k for k, s in enumerate(sorted(set(strings)))}
+        assert [order[s] for s in strings] == suffix_dedup.suffix_buckets(text, starts, depth).tolist()
+
+
 def test_sentencepiece(docs, rows, none):
     import sentencepiece
 
@@ -83,8 +121,6 @@ def test_sentencepiece(docs, rows, none):
 
 
 def test_codec_on_random_pieces():
-    import random
-
     import sentencepiece
 
     with open(model_path(), "rb") as f:
@@ -159,11 +195,42 @@ def test_mixing(docs, rows, none):
         assert abs(sum(g.taken for g in mine) - goal[s]) <= 16
     again = mixing.mix_plan(docs.repartition(5), block_words=8)
     assert D.as_rows(again, "doc_id", "size", "taken") == sorted([(g.doc_id, g.size, g.taken) for g in got], key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
+    other = mixing.mix_plan(docs, block_words=8, shards=32).select("doc_id", "taken")
+    assert D.as_rows(other, "doc_id", "taken") != D.as_rows(again, "doc_id", "taken")
     assert mixing.mix_plan(none).count() == 0
     whole = mixing.repeat_taken(docs)
     assert whole.columns == docs.columns and whole.count() > 0
 
 
+def test_draws_are_multinomial_and_permuted(spark):
+    t = spark.createDataFrame([("a", 320_000, 400_000.0), ("b", 33, 66.0)], "sk string, source_size long, target double")
+    got = {s: mixing.draws(t, 32, s, 20).collect() for s in (1, 16)}
+    for rows in got.values():
+        a = [r for r in rows if r.sk == "a"]
+        assert sorted(r.slot for r in a) == list(range(12_500)) and set(r.block for r in a if r.slot < 10_000) == set(range(10_000))
+        again = [r.block for r in a if r.slot >= 10_000]
+        assert len(set(again)) == 2_500 and 4_500 < np.mean(again) < 5_500
+        assert sorted(r.block for r in rows if r.sk == "b") == [0, 0, 1, 1]
+    shards = np.bincount([r.shard for r in got[16] if r.sk == "a"], minlength=16)
+    # chi-square with 15 degrees of freedom: neither far off nor dealt out evenly
+    assert 3 < ((shards - 12_500 / 16) ** 2 / (12_500 / 16)).sum() < 45
+    place = {s: {r.slot: r.block for r in rows if r.sk == "a"} for s, rows in got.items()}
+    assert sum(place[1][k] == place[16][k] for k in place[1]) < 50
+    with pytest.raises(ValueError):
+        mixing.draws(t, 32, 12, 20)
+
+
+def test_mixed_blocks(docs, rows, none):
+    """Every drawn block holds whole words of its source, and a document's words come as often as the plan takes them."""
+    got = mixing.mixed_blocks(docs, block_words=8, shards=4).collect()
+    assert {g.shard for g in got} == {0, 1, 2, 3} and all(0 < len(g.text.split(" ")) <= 8 for g in got if "\x00" not in g.text)
+    plan = mixing.mix_plan(docs.dropDuplicates(["doc_id", "text"]), block_words=8, shards=4).collect()
+    whole = mixing.mixed_blocks(docs.dropDuplicates(["doc_id", "text"]), block_words=8, shards=4).collect()
+    for s in {r.source for r in plan}:
+        assert sum(len(D.WORD.findall(g.text)) for g in whole if g.source == s) == sum(r.taken for r in plan if r.source == s)
+    assert mixing.mixed_blocks(none).count() == 0
+
+
 def test_mixing_of_short_sources(spark):
     """A source capped at twice its size takes every word twice, however short its last block."""
     sizes = {"a": 7, "b": 20, "c": 33, "d": 0, "z": 4000}
