@@ -1,37 +1,40 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages are dealt by ranges of (host, URL path), so that a large host is many tasks and a page's neighbours in
-URL order are in its task; the first and last page of a range are settled afterwards, together with the
-ranges beside it. Each page is cut into text lines, one per block. It is paired with the
-neighbour on its host whose path shares the longer run of leading segments (of equal ones the one before);
-the two pages' lines are aligned by longest common subsequence, and the shared lines go as boilerplate.
-
-Lines in a declared main part (<article>, <main>, role=main) are the page's own and stay even where a
-neighbour repeats them, so on a page that declares one the markup alone decides. What the alignment leaves is checked against the markup: lines in menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments go, and so does what is outside the main
-part of a page that declares one.
+URL order are in its task; the first and last page of a range are settled apart, together with the ranges
+beside it. Each page is cut into text lines, one per block. It is paired with the neighbour on its host whose
+path shares the longer run of leading segments (of equal ones the one before); the two pages' lines are aligned
+by longest common subsequence, and the shared lines go as boilerplate.
+
+Two kinds of lines aren't left to the differencing, as the markup says what they are: lines of a declared main
+part (<article>, <main>, role=main) are the page's own, however many pages repeat them; lines in menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments go, shared or not. All other lines, on pages
+with a declared main part or without, stay unless the paired page shares them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
-from .common import packed, text_of, unpacked
+from ..session import ship_package
+from .common import packed, slices, text_of, unpacked
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: HTML's elements by what they do to text, and the names by which noise is known.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html option caption tbody td tfoot th thead tr".split())
 NOISE_TAGS = frozenset("aside audio button canvas dialog footer form head header iframe input math menu nav noscript object option script select style svg template textarea title video".split())
@@ -39,6 +42,52 @@ NOISE_NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb b
 NOISE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 
+def tokens(source: str) -> Iterator[tuple[str | None, bool, str, int]]:
+    """(tag, closing, attributes, end) of each tag, and (None, False, text, end) of each run of text. send(position)
+    goes on from there. Comments and declarations are left out. Linear: what isn't found once isn't looked for again.
+    """
+    at, end = 0, len(source)
+    absent: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if what in absent:
+            return -1
+        got = source.find(what, start)
+        if got < 0:
+            absent.add(what)
+        return got
+
+    while at < end:
+        if source[at] != "<":
+            stop = source.find("<", at)
+            stop = end if stop < 0 else stop
+            at = (yield None, False, source[at:stop], stop) or stop
+            continue
+        if source.startswith("<!--", at):
+            stop = find("-->", at + 4)
+            at = end if stop < 0 else stop + 3
+            continue
+        if source.startswith(("<!", "<?"), at):
+            stop = find(">", at)
+            at = end if stop < 0 else stop + 1
+            continue
+        m = NAME.match(source, at + 1)
+        k = m.end() if m else -1
+        while k >= 0:
+            k = PLAIN.match(source, k).end() if find(">", k) >= 0 else end
+            if k >= end:
+                k = -1  # the tag never ends: a bare "<"
+            elif source[k] == ">":
+                break
+            else:
+                shut = find(source[k], k + 1)
+                k = shut + 1 if shut >= 0 else -1
+        if k < 0:
+            at = (yield None, False, "<", at + 1) or at + 1
+        else:
+            at = (yield m[2].lower(), bool(m[1]), source[m.end() : k], k + 1) or k + 1
+
+
 class Line(NamedTuple):
     text: str
     main: bool
@@ -49,6 +98,7 @@ def page_lines(source: str) -> list[Line]:
     """The page's non-empty text lines, one per block, white space runs as one space."""
     lines: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in main, in noise
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     main = noise = False
 
@@ -58,47 +108,49 @@ def page_lines(source: str) -> list[Line]:
         if text:
             lines.append(Line(text, main, noise))
 
-    at, end = 0, len(source)
-    while at < end:
-        m = TOKEN.match(source, at)
-        at = m.end()
-        tag = m[2]
+    def close(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
+    found, resume = tokens(source), None
+    while True:
+        try:
+            tag, closing, inner, at = found.send(resume)
+        except StopIteration:
+            break
+        resume = None
         if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                parts.append(m[0])
+            parts.append(inner)
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag in BLOCKS or tag in NOISE_TAGS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            main, noise = stack[-1][1:] if stack else (False, False)
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+                main, noise = stack[-1][1:] if stack else (False, False)
             continue
         if tag in BLOCKS or tag in NOISE_TAGS:
             flush()
         elif tag in ("br", "img", "wbr") and tag != "wbr":
             parts.append(" ")
-        if tag in CLOSES_P or tag == "li":
+        if tag in CLOSES_P and opened["li" if tag == "li" else "p"] > 0:
             shut = "li" if tag == "li" else "p"
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == shut:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in BLOCKS and stack[k][0] != "p":
                     break
             main, noise = stack[-1][1:] if stack else (False, False)
         if tag in RAW:
-            shut = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = shut.end() if shut else end
+            shut = RAW[tag].search(source, at)
+            resume = shut.end() if shut else len(source)
             continue
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in VOID or inner.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         own_main, own_noise = main, noise or tag in NOISE_TAGS
-        if m[3]:
-            for name, *values in ATTRIBUTE.findall(m[3]):
+        if inner:
+            for name, *values in ATTRIBUTE.findall(inner):
                 value = "".join(values).lower()
                 if name.lower() in ("class", "id"):
                     own_noise |= not NOISE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)) and tag not in ("body", "html")
@@ -109,26 +161,63 @@ def page_lines(source: str) -> list[Line]:
                     own_noise |= bool(re.search(r"display\s*:\s*none", value))
                 elif name.lower() == "aria-hidden":
                     own_noise |= value == "true"
-            own_noise |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3]))
+            own_noise |= bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", inner))
         own_main |= tag in ("article", "main")
         stack.append((tag, own_main, own_noise))
+        opened[tag] += 1
         main, noise = own_main, own_noise
     flush()
     return lines
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of one longest common subsequence with b: bit-parallel, a row of bits per line of a."""
-    where: dict[str, int] = {}
+#: Bytes of html that are cut at once.
+SLICE_BYTES = 1 << 21
+#: Most bits that the rows of one alignment hold; beyond, it is cut in halves.
+MOST_BITS = 1 << 26
+
+
+def _row(a: list[int], where: dict[int, int], full: int) -> int:
+    """The last row of the bit-parallel table: unset bits mark where the common subsequence grows along b."""
+    row = full
+    for x in a:
+        u = row & where.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+    return row
+
+
+def _places(b: list[int]) -> dict[int, int]:
+    where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
+    return where
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """The length of the common subsequence with each prefix of b."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def _aligned(a: list[int], b: list[int], at: int, found: set[int]) -> None:
+    """Adds the positions (from at on) of a in one longest common subsequence with b. In linear space: a long a is
+    halved where the halves' tables meet best."""
+    if not a or not b:
+        return
+    if len(a) * len(b) > MOST_BITS and len(a) > 1:
+        half, full = len(a) // 2, (1 << len(b)) - 1
+        ahead = _lengths(_row(a[:half], _places(b), full), len(b))
+        back = _lengths(_row(a[half:][::-1], _places(b[::-1]), full), len(b))[::-1]
+        cut = int(np.argmax(ahead + back))
+        _aligned(a[:half], b[:cut], at, found)
+        _aligned(a[half:], b[cut:], at + half, found)
+        return
+    where, full = _places(b), (1 << len(b)) - 1
     row, rows = full, []
     for x in a:
         u = row & where.get(x, 0)
         row = ((row + u) | (row - u)) & full
         rows.append(row)
-    found, i, j = set(), len(a), len(b)
+    i, j = len(a), len(b)
     while i and j:
         bit = 1 << (j - 1)
         if rows[i - 1] & bit:
@@ -138,16 +227,26 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
         else:
             i -= 1
             j -= 1
-            found.add(i)
-    return found
+            found.add(at + i)
+
+
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions in a of one longest common subsequence with b. Lines that the other list lacks, and equal lines at both
+    ends, are set apart first."""
+    both = {x: k for k, x in enumerate(set(a) & set(b))}
+    ia, ib = [k for k, x in enumerate(a) if x in both], [x for x in b if x in both]
+    n = min(len(ia), len(ib))
+    top = next((k for k in range(n) if a[ia[k]] != ib[k]), n)
+    low = next((k for k in range(n - top) if a[ia[-1 - k]] != ib[-1 - k]), n - top)
+    found: set[int] = set()
+    _aligned([both[a[k]] for k in ia[top : len(ia) - low]], [both[x] for x in ib[top : len(ib) - low]], 0, found)
+    return {ia[k] for k in range(top)} | {ia[len(ia) - 1 - k] for k in range(low)} | {ia[top + k] for k in found}
 
 
 def own_text(lines: list[Line], other: list[Line] | None) -> str:
-    """The page's text without the lines that the paired page shares and without marked noise."""
+    """The page's text: what the markup declares main, and what else the paired page doesn't share, without marked noise."""
     shared = common_lines([x.text for x in lines], [x.text for x in other]) if other else set()
-    left = [x for k, x in enumerate(lines) if x.main or k not in shared]
-    declared = any(x.main and not x.noise for x in lines)
-    return "\n".join(x.text for x in left if not x.noise and (x.main or not declared))
+    return "\n".join(x.text for k, x in enumerate(lines) if not x.noise and (x.main or k not in shared))
 
 
 def nearness(a: str, b: str) -> int:
@@ -160,14 +259,18 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
-class Page(NamedTuple):
-    """A page and its repeated rows."""
+class Page:
+    """A page and its repeated rows; its lines are cut when they are first asked for."""
 
-    rows: list[pa.Array]
-    host: str
-    path: str
-    source: str
-    lines: list[Line]
+    def __init__(self, rows: list[pa.Array], host: str, path: str, source: str):
+        self.rows, self.host, self.path, self.source = rows, host, path, source
+        self._lines: list[Line] | None = None
+
+    @property
+    def lines(self) -> list[Line]:
+        if self._lines is None:
+            self._lines = page_lines(self.source)
+        return self._lines
 
 
 def paired_text(page: Page, before: Page | None, after: Page | None) -> str:
@@ -176,77 +279,111 @@ def paired_text(page: Page, before: Page | None, after: Page | None) -> str:
     return own_text(page.lines, max(near, key=lambda p: nearness(p.path, page.path)).lines if near else None)
 
 
-#: What the first and last page of a range keep until the ranges beside it are known: the range, whether the
-#: page is its first and its last, the page, and its neighbour within the range.
-EDGE = "struct<part:int,first:boolean,last:boolean,host:string,path:string,h:string,inner_host:string,inner_path:string,inner_h:string>"
-
-
-def settle_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and text of the pages of a range; the first and last have edge in place of their text."""
-    part = TaskContext.get().partitionId()
-    edge_type = pa.struct([("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), *[(c, pa.string()) for c in ("host", "path", "h", "inner_host", "inner_path", "inner_h")]])
-    before = here = key = None
-    done = []
-
-    def finish(after):
-        text = edge = None
-        if before is not None and after is not None:
-            text = paired_text(here, before, after)
-        else:
-            inner = before or after
-            edge = dict(zip(("host", "path", "h", "inner_host", "inner_path", "inner_h"), (*here[1:4], *(inner[1:4] if inner else (None,) * 3)), strict=True))
-            edge |= {"part": part, "first": before is None, "last": after is None}
-        done.extend((row, text, edge) for row in here.rows)
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([d[0] for d in done]), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], edge_type)], ["row", "text", "edge"])
-
-    for b in batches:
+def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:
+    """The pages of a range in order: rows of one page (equal html and page_id at one URL) come together."""
+    page = key = None
+    for b in slices(batches, 3, SLICE_BYTES):
         for k, (host, path, h, tie) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
-            if key == (host, path, tie):
-                here.rows.append(b.column(0).slice(k, 1))
+            row = b.column(0).slice(k, 1)
+            if page is not None and key == (host, path, tie):
+                page.rows.append(row)
                 continue
-            page = Page([b.column(0).slice(k, 1)], host, path, h, page_lines(h))
-            if here is not None:
-                finish(page)
-            before, here, key = here, page, (host, path, tie)
-            if len(done) >= 500:
-                yield out()
-                done.clear()
-    if here is not None:
-        finish(None)
-    if done:
-        yield out()
+            if page is not None:
+                yield page
+            page, key = Page([row], host, path, h), (host, path, tie)
+    if page is not None:
+        yield page
 
 
-def settle_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and text of the first and last pages of all ranges, in order: at most two pages per range. The page
-    before a range's first is the last of the range before, and the other way round."""
-    pages, edges = [], []
-    for b in batches:
-        for k, e in enumerate(b.column(1).to_pylist()):
-            if edges and (edges[-1]["part"], edges[-1]["last"]) == (e["part"], e["last"]):
-                pages[-1].rows.append(b.column(0).slice(k, 1))
-                continue
-            edges.append(e)
-            pages.append(Page([b.column(0).slice(k, 1)], e["host"], e["path"], e["h"], page_lines(e["h"])))
-    done = []
-    for k, (page, e) in enumerate(zip(pages, edges, strict=True)):
-        inner = None if e["inner_h"] is None else Page([], e["inner_host"], e["inner_path"], e["inner_h"], page_lines(e["inner_h"]))
-        before = inner if not e["first"] else pages[k - 1] if k else None
-        after = inner if not e["last"] else pages[k + 1] if k + 1 < len(pages) else None
-        text = paired_text(page, before, after)
+def settled(found: Iterator[tuple[Page, str]]) -> Iterator[pa.RecordBatch]:
+    """row and text of the pages, with their repeated rows."""
+    done: list[tuple[pa.Array, str]] = []
+    for page, text in found:
         done.extend((row, text) for row in page.rows)
+        if len(done) >= 500:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([d[0] for d in done]), pa.array([d[1] for d in done], pa.string())], ["row", "text"])
+            done.clear()
     if done:
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([d[0] for d in done]), pa.array([d[1] for d in done], pa.string())], ["row", "text"])
 
 
+def settle_inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pages of a range but its first and last."""
+
+    def texts():
+        before = here = None
+        for after in ranged(batches):
+            if before is not None:
+                yield here, paired_text(here, before, after)
+            before, here = here, after
+
+    return settled(texts())
+
+
+#: What is known of the first and last page of a range: the range, whether the page is its first and its last, the
+#: page, and its neighbour within the range.
+EDGE_PAGE = ("host", "path", "h", "inner_host", "inner_path", "inner_h")
+EDGE = f"struct<part:int,first:boolean,last:boolean,{','.join(f'{c}:string' for c in EDGE_PAGE)}>"
+EDGE_TYPE = pa.struct([("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), *[(c, pa.string()) for c in EDGE_PAGE]])
+
+
+def range_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row and edge of a range's first and last page."""
+    part = TaskContext.get().partitionId()
+    first = second = before = last = None
+    for page in ranged(batches):
+        first, second = first or page, second or (page if first else None)
+        before, last = last, page
+    for page, inner, is_first, is_last in ((first, second, True, second is None), (last if second else None, before, False, True)):
+        if page is not None:
+            known = (page.host, page.path, page.source, *((inner.host, inner.path, inner.source) if inner else (None,) * 3))
+            edge = {"part": part, "first": is_first, "last": is_last, **dict(zip(EDGE_PAGE, known, strict=True))}
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(page.rows), pa.array([edge] * len(page.rows), EDGE_TYPE)], ["row", "edge"])
+
+
+def settle_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and last pages of all ranges, in order. The page before a range's first is the last of the range before,
+    and the other way round. Three pages are held at a time."""
+
+    def edges():
+        page = edge = None
+        for b in batches:
+            for k in range(b.num_rows):
+                e = b.column(1)[k].as_py()
+                if edge is not None and (edge["part"], edge["last"]) == (e["part"], e["last"]):
+                    page.rows.append(b.column(0).slice(k, 1))
+                    continue
+                if page is not None:
+                    yield page, edge
+                page, edge = Page([b.column(0).slice(k, 1)], e["host"], e["path"], e["h"]), e
+        if page is not None:
+            yield page, edge
+
+    def text(before, here, after):
+        page, e = here
+        inner = None if e["inner_h"] is None else Page([], e["inner_host"], e["inner_path"], e["inner_h"])
+        return paired_text(page, (before and before[0]) if e["first"] else inner, (after and after[0]) if e["last"] else inner)
+
+    def texts():
+        before = here = None
+        for after in edges():
+            if here is not None:
+                yield here[0], text(before, here, after)
+            before, here = here, after
+        if here is not None:
+            yield here[0], text(before, here, None)
+
+    return settled(texts())
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """pages with text (main text, empty if none) and n_chars in place of html; other columns stay.
 
     Null html is an empty page. Pages without a url, or alone on their host, have no partner and are judged
-    by their markup. Repeated rows are each returned and don't pair; pages with equal paths may pair. The pages at the ends
-    of the ranges are few, so one task settles them. An empty table gives an empty table.
+    by their markup. Repeated rows are each returned and don't pair; pages with equal paths may pair. The pages
+    are shuffled once: both passes, over the inner pages and over the ranges' ends, read the same exchange. The
+    ends, at most four pages a range, go through one task, which holds three at a time. An empty table gives an
+    empty table.
     """
     ship_package(pages.sparkSession)
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -256,8 +393,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     dealt = base.repartitionByRange(n, "host", "path", "tie").sortWithinPartitions("host", "path", "tie")
     rest = [c for c in pages.columns if c.lower() != "html"]
     slim = dealt.select(F.struct(*[F.col(f"row.`{c}`") for c in rest]).alias("row"), "host", "path", text_of("row.html").alias("h"), "tie")
-    shape = slim.select("row", F.lit(None).cast("string").alias("text"))
-    got = materialize(slim.mapInArrow(settle_ranges, shape.withColumn("edge", F.lit(None).cast(EDGE)).schema))
-    ends = got.where("edge IS NOT NULL").select("row", "edge").coalesce(1).sortWithinPartitions("edge.part", "edge.last")
-    whole = got.where("edge IS NULL").select("row", "text").unionByName(ends.mapInArrow(settle_edges, shape.schema))
+    shape = slim.select("row", F.lit(None).cast("string").alias("text")).schema
+    ends = slim.mapInArrow(range_ends, slim.select("row", F.lit(None).cast(EDGE).alias("edge")).schema).repartition(1).sortWithinPartitions("edge.part", "edge.last")
+    whole = slim.mapInArrow(settle_inner, shape).unionByName(ends.mapInArrow(settle_edges, shape))
     return unpacked(whole, rest, {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")})

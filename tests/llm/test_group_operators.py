@@ -157,6 +157,68 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert len(got) == best[-1][-1] and all(a[i] in it for i in got)
 
 
+def test_common_lines_in_linear_space(monkeypatch):
+    monkeypatch.setattr(html_diff, "MOST_BITS", 6)
+    test_common_lines_is_a_longest_common_subsequence()
+
+
+def brute_pages(rows):
+    """Each page's text, with its partner found by looking at all pages."""
+    import re
+
+    def place(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", re.match(r"[^?#]*", url or "")[0])
+
+    order = sorted(range(len(rows)), key=lambda k: (*place(rows[k][1]), k))
+    out = {}
+    for at, k in enumerate(order):
+        host, path = place(rows[k][1])
+        near = [order[x] for x in (at - 1, at + 1) if 0 <= x < len(order) and place(rows[order[x]][1])[0] == host and host]
+        lines = html_diff.page_lines(rows[k][2] or "")
+        shared = set()
+        if near:
+            same = lambda p: sum(1 for _ in iter_same(path.split("/"), place(rows[p][1])[1].split("/")))
+            shared = html_diff.common_lines([x.text for x in lines], [x.text for x in html_diff.page_lines(rows[max(near, key=same)][2] or "")])
+        out[rows[k][0]] = "\n".join(x.text for n, x in enumerate(lines) if not x.noise and (x.main or n not in shared))
+    return out
+
+
+def iter_same(a, b):
+    for x, y in zip(a, b):
+        if x != y:
+            return
+        yield x
+
+
+def test_html_against_all_pairs(spark):
+    """Pages with and without a declared main part; the alignment decides on both kinds."""
+    r = random.Random(11)
+    line = lambda: " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=r.randint(1, 2)))
+    rows = []
+    for k in range(80):
+        body = "".join(f"<div>{line()}</div>" for _ in range(r.randint(0, 6)))
+        if k % 3:
+            body += f"<main><p>{line()}</p><p>own {k}</p></main><div>{line()}</div>"
+        rows.append((k, f"http://h{k % 3}.org/{r.randrange(4)}/{r.randrange(3)}/{k:02}?q", f"<nav>x</nav>{body}<footer>y</footer>"))
+    rows += [(90, None, "<p>a"), (91, "HTTP://H0.org", None)]
+    got = {g.page_id: g.text for g in html_diff.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == brute_pages(rows)
+    alone = {k: "\n".join(x.text for x in html_diff.page_lines(h or "") if not x.noise) for k, _, h in rows}
+    assert sum(got[k] != alone[k] for k in range(80) if k % 3) > 10 and sum(got[k] != alone[k] for k in range(80) if not k % 3) > 3
+
+
+def test_html_tokens_are_linear():
+    import time
+
+    began = time.time()
+    for part in ('<a b="x ', "<a ", "<a b='x \" ", "<!x ", "<b>", "<b></i>", "<!-- "):
+        html_diff.page_lines(part * 100_000)
+    assert time.time() - began < 20
+    many = [str(k % 997) for k in range(30_000)]
+    assert len(html_diff.common_lines(many, many[5000:] + many[:5000])) >= 25_000
+
+
 def test_html_pairs_across_ranges(spark):
     """However many ranges the pages are dealt to, each has the neighbour that it has in one range."""
     page = "<div>Site {0}</div><p>Part {1}</p><p>Own {2}</p>"
