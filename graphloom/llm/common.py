@@ -15,8 +15,8 @@ from ..session import materialize
 #: The white space that ends a word, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Most rows of a table that is broadcast (of a few numbers each, under 32 MB), and parts of a hot key beyond that.
-BROADCAST_ROWS, SALTS = 1 << 19, 16
+#: Most rows of a table that is broadcast (of a few numbers each, under 32 MB); rows that make a key hot beyond that.
+BROADCAST_ROWS, HOT_ROWS = 1 << 19, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,18 +48,21 @@ def unpacked(df: DataFrame, columns: list[str], replaced: dict[str, Column]) ->
     return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() not in new], *[v.alias(k) for k, v in replaced.items()])
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """left joined to right, a narrow table with one row per key, so that a hot key's left rows never meet in one task.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", weight: str | None = None) -> DataFrame:
+    """left joined to right, a narrow table with few rows per key, so that a hot key's left rows don't meet in one task.
 
-    right is written and counted: up to BROADCAST_ROWS rows are broadcast; a larger one comes once for each of
-    SALTS parts, over which left is dealt by a hash of the columns by. The result is the same either way.
+    right is written and counted: up to BROADCAST_ROWS rows are broadcast. Of a larger one, the rows whose weight (the
+    number of left rows of the key) is HOT_ROWS or more are broadcast, at most one for so many left rows; the others
+    are shuffled. The result is the same either way.
     """
     right = materialize(right)
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
-    parts = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = left.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    return salted.join(parts, [*keys, "salt"], how).drop("salt")
+    if weight is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(right.where(F.col(weight) >= HOT_ROWS))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(weight) < HOT_ROWS), keys, how)
+    return left.join(hot, keys).unionByName(rest)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -72,3 +75,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int, most_r
             end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
             yield b.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()

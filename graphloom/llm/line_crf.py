@@ -3,10 +3,13 @@
 Every line has a state, good or bad. Its features describe the line and its two neighbours; transition
 weights tie the states of consecutive lines. Training maximises the conditional likelihood of the state
 sequences, where each line of a labelled document takes the document's label. It runs on a bounded sample
-of labelled rows: SAMPLE_DOCS documents (least hashes of doc_id) of at most SAMPLE_LINES lines each; their
-features are computed by tasks, and only those reach the driver. Scoring runs on every whole text, in
-place: forward-backward gives each line's marginal, and the marginals, weighted by the lines' lengths,
-add up to the document's score.
+of labelled rows: at most SAMPLE_DOCS documents (in order of a hash of doc_id) of at most SAMPLE_LINES lines each,
+and of these the first whose lines add up to SAMPLE_TOTAL; their features are computed by tasks, and only those
+reach the driver. Scoring runs on every whole text, in place: forward-backward gives each line's marginal, and the
+marginals, weighted by the lines' lengths, add up to the document's score.
+
+Lines are handled in stretches of bounded memory, and a long chain is cut into segments whose transfer matrices are
+found together and then multiplied along the chain, so that a text of millions of lines is scored like any other.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import packed, text_of, unpacked
+from .common import packed, slices, text_of, unpacked
 from .shingles import utf8, word_hashes
 
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 2000
+#: Bounds of the training sample. SAMPLE_TOTAL lines are 40 MB of features.
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_TOTAL = 4000, 2000, 200_000
+#: Most bytes of text whose lines are described at once, and lines of a chain's segment.
+SLICE_BYTES, SEGMENT = 1 << 19, 1024
 STEPS, RATE, DECAY = 250, 0.05, 1e-3
 NAMES = ("chars", "words", "symbols", "punctuation", "capitals", "digits", "spaces", "word_length", "repeats", "single", "empty", "copied", "some_symbols", "much_punctuation", "most_capitals", "many_repeats")
 WIDTH = 3 * len(NAMES) + 1
@@ -38,7 +44,7 @@ def _classes() -> np.ndarray:
 
 
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of each line with its neighbours, each line's length, and the bounds of each row's lines."""
+    """Features of each line by itself, each line's length, and the bounds of each row's lines."""
     data, offsets = utf8(column)
     rows = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
@@ -98,42 +104,96 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         np.log1p(chars), np.log1p(words), symbols / n, other / n, upper, digits / n, spaces / n, (chars - spaces) / w / 10, repeats * (words > 0), (c1[ends] - c1[starts]) / w,
         words == 0, copied, symbols / n > 0.03, other / n > 0.12, upper > 0.5, repeats * (words > 0) > 0.5,
     ]).astype(np.float64)
+    return x, chars, bounds
+
+
+def with_neighbours(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One, the line's features, and those of the lines before and after it in its row (0 where there is none)."""
     before, after = np.zeros_like(x), np.zeros_like(x)
     if len(x):
         before[1:], after[:-1] = x[:-1], x[1:]
         before[bounds[:-1]], after[bounds[1:] - 1] = 0, 0
-    return np.column_stack([np.ones(len(x)), x, before, after]), chars, bounds
+    return np.column_stack([np.ones(len(x)), x, before, after])
 
 
-def forward_backward(z: np.ndarray, t: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 for each line, and the expected transition counts (2 x 2) over all rows.
+def log_odds(x: np.ndarray, bounds: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+    """Each line's log odds of being good before its neighbours' states count: with_neighbours(x) @ w, without that table."""
+    k, w = x.shape[1], model["w"]
+    z = x @ w[1 : k + 1] + (w[0] + model["shift"][0])
+    if len(x):
+        before, after = x[:-1] @ w[k + 1 : 2 * k + 1], x[1:] @ w[2 * k + 1 :]
+        z[1:] += before
+        z[:-1] += after
+        first = bounds[:-1][bounds[:-1] > 0]
+        z[first] -= before[first - 1]
+        z[first - 1] -= after[first - 1]
+    return z
 
-    z: log odds of state 1 by line; t[i, j]: weight of going from i to j. The rows advance together.
-    """
+
+def _chains(z: np.ndarray, t: np.ndarray, bounds: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log weights of both states of each line, advancing all rows together. begin and end are each
+    row's log weights of the state of its first line (before its own emission) and of its last line's successors."""
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
     start, n = bounds[:-1][order], n[order]
-    lines = len(z)
-    emit = np.column_stack([np.zeros(lines), z])
-    a, b = np.zeros((lines, 2)), np.zeros((lines, 2))
+    emit = np.column_stack([np.zeros(len(z)), z])
+    a, b = np.zeros((len(z), 2)), np.zeros((len(z), 2))
     longest = int(n[0]) if len(n) else 0
     active = [int(np.searchsorted(-n, -k, "left")) for k in range(longest)]  # rows of more than k lines
-    for k in range(longest):
+    if longest:
+        a[start] = emit[start] + begin[order]
+        b[start + n - 1] = end[order]
+    for k in range(1, longest):
         at = start[: active[k]] + k
-        if k == 0:
-            a[at] = emit[at]
-        else:
-            p = a[at - 1]
-            a[at] = emit[at] + np.column_stack([np.logaddexp(p[:, 0] + t[0, j], p[:, 1] + t[1, j]) for j in (0, 1)])
-    pairs = np.zeros((2, 2))
+        p = a[at - 1]
+        a[at] = emit[at] + np.column_stack([np.logaddexp(p[:, 0] + t[0, j], p[:, 1] + t[1, j]) for j in (0, 1)])
     for k in range(longest - 2, -1, -1):
         at = start[: active[k + 1]] + k
         q = b[at + 1] + emit[at + 1]
         b[at] = np.column_stack([np.logaddexp(q[:, 0] + t[i, 0], q[:, 1] + t[i, 1]) for i in (0, 1)])
+    return a, b
+
+
+def forward_backward(z: np.ndarray, t: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 for each line, and the expected transition counts (2 x 2) over all rows.
+
+    z: log odds of state 1 by line; t[i, j]: weight of going from i to j. Rows of more than SEGMENT lines are cut into
+    segments: each segment's weights are found for either state at its start, chained along the row forwards and
+    backwards, and then give every segment its true ends.
+    """
+    n = np.diff(bounds)
+    pieces = np.maximum(-(-n // SEGMENT), 1)
+    row = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    cuts = np.append(bounds[:-1][row] + nth * SEGMENT, bounds[-1] if len(bounds) else 0)
+    begin, end = np.zeros((len(row), 2)), np.zeros((len(row), 2))
+    several = np.flatnonzero(pieces > 1)
+    if len(several):
+        inner = np.flatnonzero((pieces[row] > 1) & (np.diff(cuts) > 0))
+        last = cuts[inner + 1] - 1
+        through = np.empty((len(row), 2, 2))  # log weight from the state of a segment's first line to that of its last
+        for i in (0, 1):
+            only = np.full((len(row), 2), -np.inf)
+            only[:, i] = 0
+            with np.errstate(invalid="ignore"):
+                through[inner, i] = _chains(z, t, cuts, only, end)[0][last]
+        for r in several:
+            k0 = int(np.cumsum(pieces)[r] - pieces[r])
+            for k in range(k0 + 1, k0 + int(pieces[r])):
+                out = np.logaddexp(begin[k - 1, 0] + through[k - 1, 0], begin[k - 1, 1] + through[k - 1, 1])
+                begin[k] = np.logaddexp(out[0] + t[0], out[1] + t[1])
+            for k in range(k0 + int(pieces[r]) - 2, k0 - 1, -1):
+                # the successors of a segment's last line: into the next segment's first line and on to its end
+                beyond = np.logaddexp(through[k + 1, :, 0] + end[k + 1, 0], through[k + 1, :, 1] + end[k + 1, 1])
+                end[k] = np.logaddexp(t[:, 0] + beyond[0], t[:, 1] + beyond[1])
+    a, b = _chains(z, t, cuts, begin, end)
+    emit = np.column_stack([np.zeros(len(z)), z])
     total = np.logaddexp(a[:, 0] + b[:, 0], a[:, 1] + b[:, 1])
-    second = np.ones(lines, bool)
-    second[bounds[:-1][np.diff(bounds) > 0]] = False
+    second = np.ones(len(z), bool)
+    second[bounds[:-1][n > 0]] = False
     at = np.flatnonzero(second)
+    pairs = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
             pairs[i, j] = np.exp(a[at - 1, i] + t[i, j] + emit[at, j] + b[at, j] - total[at]).sum()
@@ -166,7 +226,7 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> dict[str, np.ndarra
 
 
 def document_scores(x: np.ndarray, chars: np.ndarray, bounds: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
-    p, _ = forward_backward(x @ model["w"] + model["shift"], model["t"], bounds)
+    p, _ = forward_backward(log_odds(x, bounds, model), model["t"], bounds)
     weight = chars + 1
     top, below = np.append(0, np.cumsum(p * weight)), np.append(0, np.cumsum(weight))
     return np.clip((top[bounds[1:]] - top[bounds[:-1]]) / np.maximum(below[bounds[1:]] - below[bounds[:-1]], 1e-9), 0, 1)
@@ -184,22 +244,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", seed: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(SAMPLE_DOCS)
     texts = docs.select("doc_id", F.col("text").alias("t")).where("t IS NOT NULL")
-    some = texts.join(F.broadcast(known), "doc_id").where(F.length("t") - F.length(F.translate("t", "\n", "")) < SAMPLE_LINES).select("doc_id", "t", "y")
+    lines = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1
+    some = texts.join(F.broadcast(known), "doc_id").withColumn("lines", lines).where(F.col("lines") <= SAMPLE_LINES)
+    # at most SAMPLE_DOCS documents and their repeated rows: the first of each, up to the total
+    some = some.groupBy("doc_id").agg(F.min(F.struct("lines", "t", "y")).alias("x")).select("doc_id", "x.*")
+    upto = F.sum("lines").over(Window.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
+    some = some.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_TOTAL).select("doc_id", "t", "y").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                x, _, bounds = line_features(part.column(1))
-                each = [x[i:j].astype(np.float32).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(each, pa.binary())], ["doc_id", "y", "x"])
-
-    got = some.mapInArrow(describe, "doc_id long, y int, x binary").orderBy("doc_id", "x").toArrow()
-    rows = [np.frombuffer(v, np.float32).reshape(-1, WIDTH) for v in got.column("x").to_pylist()]
+        for part in slices(batches, 1, SLICE_BYTES):
+            x, _, bounds = line_features(part.column(1))
+            each = [x[i:j].astype(np.float32).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(each, pa.binary())], ["doc_id", "y", "x"])
+
+    got = some.mapInArrow(describe, "doc_id long, y int, x binary").orderBy("doc_id").toArrow()
+    rows = [np.frombuffer(v, np.float32).reshape(-1, len(NAMES)) for v in got.column("x").to_pylist()]
     y = np.array(got.column("y").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         return {"w": np.zeros(WIDTH), "shift": np.zeros(1), "t": np.zeros((2, 2))}
-    return fit(np.concatenate(rows).astype(np.float64), np.append(0, np.cumsum([len(r) for r in rows])), y)
+    bounds = np.append(0, np.cumsum([len(r) for r in rows]))
+    return fit(with_neighbours(np.concatenate(rows).astype(np.float64), bounds), bounds, y)
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -210,10 +274,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     base = packed(docs).withColumn("t", text_of("row.text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(document_scores(*line_features(part.column(1)), told.value))], ["row", "score"])
+        for part in slices(batches, 1, SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(document_scores(*line_features(part.column(1)), told.value))], ["row", "score"])
 
     out = base.mapInArrow(run, base.select("row", F.lit(0.0).alias("score")).schema)
     return unpacked(out, docs.columns, {"score": F.col("score"), "predicted": (F.col("score") >= 0.5).cast("int")})

@@ -2,7 +2,7 @@
 
 Lines are exploded with their positions, keys are hashed to 128 bits, distinct documents are counted
 per hash with partial aggregation, and only the positions to drop travel back to the documents. The
-common hashes are counted: a small table of them is broadcast, a large one met in parts, so that a very
+common hashes are counted: a small table of them is broadcast, and of a large one the hottest, so that a very
 common line's places aren't one task.
 """
 
@@ -39,10 +39,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
         lines.groupBy("h1", "h2")
         .agg(F.countDistinct(F.coalesce("d", F.lit(-(2**63)))).alias("n"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2")
     )
     drops = (
-        spread_join(lines, common, ["h1", "h2"], ["d", "th"])
+        spread_join(lines, common, ["h1", "h2"], weight="n")
         .groupBy(F.coalesce("d", F.lit(-(2**63))).alias("dk"), "th")
         .agg(F.collect_set("pos").alias("drop"))
     )

@@ -63,7 +63,7 @@ def sized(docs: DataFrame) -> DataFrame:
     parts = parts.select("sk", "part", F.coalesce(F.sum("n").over(lead), F.lit(0)).alias("lead"))
     within = Window.partitionBy("sk", "part").orderBy("d", "th").rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return spread_join(base, parts, ["sk", "part"], ["d", "th"]).withColumn("start", F.col("lead") + F.col("own")).drop("part", "own", "lead")
+    return spread_join(base, parts, ["sk", "part"]).withColumn("start", F.col("lead") + F.col("own")).drop("part", "own", "lead")
 
 
 def shard_counts(n: Column, shards: int, *key: Column) -> Column:
@@ -142,7 +142,7 @@ def mix_plan(docs: DataFrame, block_words: int = 32, shards: int = 64, seed: int
     times = draws(targets, block_words, shards, seed).groupBy("sk", "block").agg(F.count("*").alias("times"))
     cover = block_words_of(base.select("sk", "start", "size"), block_words)
     taken = cover.join(times, ["sk", "block"]).groupBy("sk", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = spread_join(base, targets, ["sk"], ["d", "th"]).join(taken, ["sk", "start"], "left")
+    out = spread_join(base, targets, ["sk"]).join(taken, ["sk", "start"], "left")
     got = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
     return out.select(F.col("d").alias("doc_id"), "size", "source_size", "target", got("taken"), "source", "th")
 
@@ -163,7 +163,7 @@ def mixed_blocks(docs: DataFrame, block_words: int = 32, shards: int = 64, seed:
     same = cover["d"].eqNullSafe(texts["d"]) & (cover["th"] == texts["th"]) & (cover["sk"] == texts["sk"])
     parts = cover.join(texts, same).select(cover["sk"], "block", "start", F.array_join(F.slice("w", F.col("first").cast("int") + 1, F.col("words").cast("int")), " ").alias("part"))
     blocks = parts.groupBy("sk", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), " ").alias("text"))
-    return spread_join(drawn.join(blocks, ["sk", "block"]), sizes.select("sk", "source"), ["sk"], ["slot"]).select("shard", "source", "slot", "block", "text")
+    return spread_join(drawn.join(blocks, ["sk", "block"]), sizes.select("sk", "source"), ["sk"]).select("shard", "source", "slot", "block", "text")
 
 
 def repeat_taken(docs: DataFrame, seed: int = 20, **kw) -> DataFrame:

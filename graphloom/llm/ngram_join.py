@@ -6,15 +6,18 @@
    first size - ceil(t * size) + 1 shingles meet. The order is by hash, but the shingles that head many
    prefixes come last; which ones do is counted over all documents and only affects the work, so the
    list of them has a fixed bound and is broadcast.
-3. Sets with the same prefix and size form one group and post their prefix once.
-4. Group pairs meet on short token lists and count their common prefix tokens. Sets whose common tokens,
+3. Sets with the same prefix and size form one group, and its head posts the prefix once.
+4. Group pairs meet on short token lists and count their common prefix tokens. Pairs whose common tokens,
    with all that may be common beyond the prefixes, can't reach the threshold are dropped exactly (count
-   and size filter). The rest is expanded to members and verified on whole texts.
-5. Long token lists (over SHORT_LIST sets: copies with edits by the thousand) aren't paired off. The sets on
-   them form components over shared tokens; a component is verified whole, in blocks of two chunks of at
-   most BLOCK_SETS sets, which return only the links that connect something new.
-
-Links are only needed up to connectivity, so what leaves a block is linear in its sets.
+   and size filter). What is left is expanded to the groups' members and verified on whole texts.
+5. Token lists with more than SHORT_LIST sets behind them (copies with edits by the thousand) aren't paired off. Their
+   groups form components over shared tokens; a component is expanded to its members and verified in chunks
+   of bounded weight. Of a component of several chunks, each is verified alone first; then only the sets outside the
+   component's largest cluster go on, against one chunk of that cluster, and what still stays outside against
+   all the rest. Groups of several members are such components too.
+
+Both ways are exact and give the same links up to connectivity; the bounds only say which does the work. Links
+are only needed up to connectivity, so what leaves a block is linear in its sets.
 """
 
 from __future__ import annotations
@@ -24,32 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize, ship_package
-from .common import packed, text_of, unpacked
+from .common import packed, slices, spread_join, text_of, unpacked
 from .shingles import K1, U, mix, shingle_sets
 
 #: A token on this many prefixes goes to the end of the order; at most so many are told to all tasks.
 COMMON, COMMON_KEPT = 48, 1 << 20
-#: A list of so many sets is paired off. Most sets of a chunk, of which two meet in a task.
-SHORT_LIST, BLOCK_SETS = 64, 2048
+#: A list of so many sets is paired off. Most sets of a chunk and most shingles of it (about 24 MB of text), of which
+#: two meet in a task; a longer set is alone.
+SHORT_LIST, BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 22
 #: Sets of ids up to this size (8 MB) are broadcast, larger ones shuffled.
 BROADCAST_IDS = 1 << 20
+#: Bytes of text whose shingles are held at once.
+SLICE_BYTES = 1 << 22
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def _batched(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def common_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
     """Sorted hashes of tokens that head many prefixes in hash order. Counts that a task sees only once
     or twice aren't sent: a token of a notable share of all documents repeats within tasks."""
@@ -62,11 +62,11 @@ def common_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(token[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], ["token", "n"])
 
-        for b in _batched(batches):
+        for b in slices(batches, 0, SLICE_BYTES):
             for s in shingle_sets(b.column(0), width):
                 if len(s):
                     seen.append(s[: prefix_sizes(len(s), percent)])
-            if sum(map(len, seen)) > 4_000_000:
+            if sum(map(len, seen)) > 1_000_000:
                 yield flush()
         yield flush()
 
@@ -89,7 +89,7 @@ def document_sets(texts: DataFrame, width: int, percent: int, common) -> DataFra
     """d, th, n (distinct shingles), f1 and f2 (fingerprint of the set), g (hash of prefix and size)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batched(batches):
+        for b in slices(batches, 2, SLICE_BYTES):
             sets = shingle_sets(b.column(2), width)
             n = np.array([len(s) for s in sets], np.int64)
             with np.errstate(over="ignore"):
@@ -105,7 +105,7 @@ def prefix_postings(texts: DataFrame, width: int, percent: int, common) -> DataF
     """token, s (the set's document) and n (its size) for every prefix token."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batched(batches):
+        for b in slices(batches, 1, SLICE_BYTES):
             sets = shingle_sets(b.column(1), width)
             heads = [_prefix(s, common.value, percent) if len(s) else s for s in sets]
             k = np.array([len(h) for h in heads], np.int64)
@@ -121,14 +121,19 @@ def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def chunks_of(sets: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1))
+
+
 def blocked(pairs: DataFrame) -> DataFrame:
-    """pairs with block: pairs of one small component of candidates share a block, so that its texts travel
-    once; the pairs of a larger one are dealt by b and, where b has many, by parts of its partners."""
+    """pairs (a, b, na, nb) with block: pairs of one small component of candidates share a block, so that its texts
+    travel once; the pairs of a larger one are dealt by b and, where b has many, by parts of its partners."""
     parts = connected_components(pairs)
-    size = parts.groupBy("component").agg(F.count("*").alias("size"))
-    homes = parts.join(size, "component").select(F.col("id").alias("b"), F.when(F.col("size") <= BLOCK_SETS, F.col("component")).alias("home"))
-    degree = pairs.groupBy("b").agg(F.count("*").alias("k")).join(homes, "b")
-    own = F.xxhash64(F.lit("b"), "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / BLOCK_SETS)))
+    sized = parts.join(pairs.select(F.col("a").alias("id"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct(), "id")
+    size = sized.groupBy("component").agg(chunks_of(F.count("*"), F.sum("n")).alias("chunks"))
+    homes = parts.join(size, "component").select(F.col("id").alias("b"), F.when(F.col("chunks") == 1, F.col("component")).alias("home"))
+    degree = pairs.groupBy("b").agg(chunks_of(F.count("*"), F.sum("na")).alias("k")).join(homes, "b")
+    own = F.xxhash64(F.lit("b"), "b", F.pmod(F.xxhash64("a"), F.col("k")))
     return pairs.join(degree, "b").select("a", "b", F.when(F.col("home").isNotNull(), F.xxhash64(F.lit("home"), "home")).otherwise(own).alias("block"))
 
 
@@ -181,20 +186,21 @@ def verify_pairs(left: pa.Table, right: pa.Table, width: int, percent: int) -> p
 
 
 def verify_chunks(table: pa.Table, width: int, percent: int) -> pa.Table:
-    """The links within a chunk, or between two (u and w differ), that connect something new. rows: d, t, side, own.
+    """The links within a chunk, or only between its two sides (across), that connect something new. rows: d, t, side,
+    own, root (sets of one root are known to be connected).
 
     A prefix join of its own, with shingles ordered by their frequency here, finds the candidates; the likeliest
     are verified first, and those that a link has meanwhile connected are left out. Pairs of which neither
     set is of the block's own size band are left to another block.
     """
     ids, side, own = (table.column(c).to_numpy() for c in ("d", "side", "own"))
-    across = table.column("u")[0].as_py() != table.column("w")[0].as_py()
+    across = table.column("across")[0].as_py()
+    known = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
     sets = shingle_sets(_column(table, "t"), width)
     n = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((ids, n))
-    ids, side, own, n, sets = ids[order], side[order], own[order], n[order], [sets[i] for i in order.tolist()]
-    some = n > 0
-    ids, side, own, n, sets = ids[some], side[some], own[some], n[some], [s for s in sets if len(s)]
+    order = order[n[order] > 0]
+    ids, side, own, known, n, sets = ids[order], side[order], own[order], known[order], n[order], [sets[i] for i in order.tolist()]
     if not len(n):
         return _links([])
     _, entry = np.unique(np.concatenate(sets), return_inverse=True)
@@ -207,7 +213,7 @@ def verify_chunks(table: pa.Table, width: int, percent: int) -> pa.Table:
     owner = np.repeat(np.arange(len(n)), head)
     by_token = np.argsort(heads, kind="stable")
     lists, bounds = owner[by_token], np.append(0, np.cumsum(np.bincount(heads, minlength=int(entry.max()) + 1)))
-    root, mark, out = np.arange(len(n)), np.zeros(len(bounds), np.int64), []
+    root, mark, out = known, np.zeros(len(bounds), np.int64), []
     for i in range(len(n)):
         tokens = heads[first[i] : first[i] + head[i]]
         c = np.bincount(np.concatenate([lists[bounds[k] : bounds[k + 1]] for k in tokens.tolist()]), minlength=len(n))[:i]
@@ -246,27 +252,77 @@ def short_list_pairs(short: DataFrame, long: DataFrame, percent: int) -> DataFra
     pairs = pairs.join(many.withColumnsRenamed({"s": "a", "h": "ha"}), "a", "left").join(many.withColumnsRenamed({"s": "b", "h": "hb"}), "b", "left").na.fill(0, ["ha", "hb"])
     beyond = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1  # noqa: E731  size less prefix
     most = F.col("c") + F.least("ha", "hb") + F.greatest(beyond("na"), beyond("nb"))
-    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "na", "nb")
 
 
-def long_list_chunks(long: DataFrame, percent: int) -> DataFrame:
-    """(block, d, side, own, u, w): the sets of each component over long lists, dealt to all pairs of its chunks.
+def long_list_members(long: DataFrame, inside: DataFrame, percent: int) -> DataFrame:
+    """(component, d, n, own): the members of the groups of each component over long lists.
 
     Sizes fall into bands such that links stay within a band or join neighbours. A band's sets (own) meet each
     other and those of the band below; a list counts once per band, so that components don't run through
     sizes that can't link.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + F.lit(1e-9))
-    listed = long.select("s", "token", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x")).select("s", "token", "x.*")
-    first = listed.groupBy("token", "band").agg(F.min("s").alias("b"), F.bool_or("own").alias("some")).where("some").drop("some")
-    edges = listed.join(first, ["token", "band"]).select("band", "own", F.struct("band", "s").alias("a"), F.struct("band", F.col("b").alias("s")).alias("b"))
-    parts = connected_components(edges)
-    size = parts.groupBy("component").agg(F.count("*").alias("size"))
-    each = parts.join(size, "component").withColumn("chunks", F.ceil(F.col("size") / BLOCK_SETS))
-    bands = listed.select(F.struct("band", "s").alias("id"), "own").distinct()
-    each = each.join(bands, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    u, w = F.least("side", "other"), F.greatest("side", "other")
-    return each.select(F.xxhash64("component", u, w).alias("block"), F.col("id.s").alias("d"), "side", "own", u.alias("u"), w.alias("w"))
+    listed = long.select("s", "n", "token", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x")).select("s", "n", "token", "x.*")
+    first = listed.groupBy("token", "band").agg(F.min("s").alias("b"), F.bool_or("own").alias("some"), F.count("*").alias("k")).where("some").drop("some")
+    edges = spread_join(listed, first, ["token", "band"], weight="k").select("band", "own", "n", "s", F.struct("band", "s").alias("a"), F.struct("band", F.col("b").alias("s")).alias("b"))
+    edges = materialize(edges)
+    heads = edges.select(F.col("a").alias("id"), "own", "n").distinct()
+    parts = heads.join(connected_components(edges.select("a", "b")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = parts.select("component", F.col("id.s").alias("head"), "own", "n")
+    members = heads.join(inside.select("head", "s"), "head", "left")
+    return members.select("component", F.coalesce("s", "head").alias("d"), "n", "own")
+
+
+def verified(blocks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links of blocks (block, d, side, own, root, across)."""
+    return with_texts(blocks, texts).groupBy("block").applyInArrow(lambda t: verify_chunks(t, width, percent), "a long, b long")
+
+
+def long_list_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links of all components' members (component, d, n, own), up to connectivity.
+
+    Components of one chunk are one block. Of others, chunks are verified alone; the largest cluster that links make is
+    the component's main one. The sets outside are verified against one chunk of it, and those that are outside
+    still against each other and the other chunks: sets that are connected already are never compared.
+    """
+    members = materialize(members)
+    size = members.groupBy("component").agg(chunks_of(F.count("*"), F.sum("n")).alias("chunks"), F.count("*").alias("k"))
+    dealt = materialize(spread_join(members, size, ["component"], weight="k").withColumn("side", F.pmod(F.xxhash64("d"), F.col("chunks"))))
+    alone = dealt.select(F.xxhash64("component", F.lit("alone"), "side").alias("block"), "d", "side", "own", F.col("d").alias("root"), F.lit(False).alias("across"))
+    links = materialize(verified(materialize(alone), texts, width, percent))
+    large = materialize(dealt.where("chunks > 1").select("component", "d", "n", "own"))
+    if large.isEmpty():
+        return links
+
+    def clustered(links: DataFrame) -> DataFrame:
+        """large with root, main (whether it is in its component's main cluster) and chunk, within its kind."""
+        roots = large.join(connected_components(links).withColumnsRenamed({"id": "d", "component": "root"}), "d", "left").withColumn("root", F.coalesce("root", "d"))
+        most = roots.groupBy("component", "root").agg(F.count("*").alias("k")).groupBy("component").agg(F.max_by("root", F.struct("k", "root")).alias("top"))
+        out = spread_join(roots, most, ["component"]).withColumn("main", F.col("root") == F.col("top")).drop("top")
+        count = out.groupBy("component", "main").agg(chunks_of(F.count("*"), F.sum("n")).alias("chunks"))
+        return materialize(spread_join(out, count, ["component", "main"]).withColumn("chunk", F.pmod(F.xxhash64("d", F.lit("chunk")), F.col("chunks"))))
+
+    def across(rest: DataFrame, main: DataFrame, name: str) -> DataFrame:
+        """Blocks of every chunk of rest with every chunk of main."""
+        u = rest.select("component", F.col("chunk").alias("u")).distinct()
+        v = main.select("component", F.col("chunk").alias("v")).distinct()
+        block = F.xxhash64("component", F.lit(name), "u", "v").alias("block")
+        left = rest.withColumnRenamed("chunk", "u").join(v, "component").select(block, "d", F.lit(0).cast("long").alias("side"), "own", "root", F.lit(True).alias("across"))
+        right = main.withColumnRenamed("chunk", "v").join(u, "component").select(block, "d", F.lit(1).cast("long").alias("side"), "own", "root", F.lit(True).alias("across"))
+        return left.union(right)
+
+    first = clustered(links)
+    rest, main = first.where("NOT main"), first.where("main AND chunk = 0")
+    links = materialize(links.union(verified(materialize(across(rest, main, "one")), texts, width, percent)))
+    second = clustered(links)
+    rest, main = second.where("NOT main"), second.where("main")
+    if rest.isEmpty():
+        return links
+    w = rest.select("component", F.col("chunk").alias("w")).distinct()
+    low, high = F.least("chunk", "w"), F.greatest("chunk", "w")
+    inner = rest.join(w, "component").select(F.xxhash64("component", F.lit("rest"), low, high).alias("block"), "d", F.col("chunk").alias("side"), "own", "root", (F.col("chunk") != F.col("w")).alias("across"))
+    return links.union(verified(materialize(inner.union(across(rest, main, "all"))), texts, width, percent))
 
 
 def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -286,41 +342,44 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
     # the least document stands for an equal set, the least set's document for a group
     some = docs_sets.where("n > 0 AND d IS NOT NULL")
-    sets = materialize(some.groupBy("f1", "f2", "n").agg(F.min("d").alias("s"), F.first("g").alias("g")))
-    groups = sets.groupBy("g").agg(F.min("s").alias("head"), F.count("*").alias("members"))
-    heads = materialize(groups.select(F.col("head").alias("d"), "g", "members"))
-    extra = docs_sets.select("d").where("d IS NOT NULL").distinct().join(heads, "d", "left_anti")
-    extra = materialize(extra)
+    sets = materialize(some.groupBy("f1", "f2", "n").agg(F.min("d").alias("s"), F.first("g").alias("g"), F.count("*").alias("copies")))
+    heads = materialize(sets.groupBy("g").agg(F.min("s").alias("d"), F.first("n").alias("n"), F.count("*").alias("members")))
+    extra = materialize(docs_sets.select("d").where("d IS NOT NULL").distinct().join(heads, "d", "left_anti"))
+    several = heads.where("members > 1").select("g", F.col("d").alias("head"), "n", "members")
+    inside = materialize(sets.join(several.drop("n"), "g").select("head", "s", "members"))
+
+    # groups post their prefixes; lists are counted in groups (k) and in sets (m)
     posted = prefix_postings(only(texts.where("d IS NOT NULL"), extra, "d", "left_anti"), width, percent, told)
-    on_list = F.count("*").over(Window.partitionBy("token"))
-    posted = materialize(posted.withColumn("k", on_list).where("k > 1").drop("k"))
-
-    # groups expand to their members, whose whole prefixes are common: small groups are paired off, large ones are lists of their own
-    several = heads.where("members > 1").select("g", F.col("d").alias("head"), "members")
-    inside = materialize(sets.join(several, "g").select("g", "head", "s", "n", "members"))
-    posted = posted.unionByName(posted.join(inside.where("s != head").select("head", F.col("s").alias("m")), posted.s == F.col("head")).select("token", F.col("m").alias("s"), "n"))
-    posted = posted.unionByName(inside.where(F.col("members") > SHORT_LIST).select(F.col("g").alias("token"), "s", "n"))
-    kin = inside.where(F.col("members") <= SHORT_LIST).select("g", "s")
-    kin = kin.withColumnRenamed("s", "a").join(kin.withColumnRenamed("s", "b"), "g").where("a > b").select("a", "b")
-    counts = posted.groupBy("token").agg(F.count("*").alias("k"))
-    sized = materialize(posted.join(counts, "token"))
-    short, long = sized.where(F.col("k") <= SHORT_LIST).drop("k"), sized.where(F.col("k") > SHORT_LIST).drop("k")
-
-    pairs = materialize(blocked(materialize(short_list_pairs(short, long, percent).union(kin).distinct())))
+    posted = spread_join(posted, several.select(F.col("head").alias("s"), "members"), ["s"], "left").na.fill(1, ["members"])
+    counts = posted.groupBy("token").agg(F.count("*").alias("k"), F.sum("members").alias("m")).where("k > 1")
+    sized = materialize(spread_join(posted.drop("members"), counts, ["token"], weight="k").drop("k"))
+    short, long = sized.where(F.col("m") <= SHORT_LIST).drop("m"), sized.where(F.col("m") > SHORT_LIST).drop("m")
+
+    # group pairs that pass the filter are expanded to their members: at most SHORT_LIST in both groups together
+    pairs = materialize(short_list_pairs(short, long, percent))
+    of = inside.select("head", "s")
+    for side in "ab":
+        pairs = pairs.join(of.withColumnsRenamed({"head": side, "s": "m"}), side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    pairs = materialize(blocked(materialize(pairs)))
     need = materialize(pairs.select("block", F.col("a").alias("d")).union(pairs.select("block", "b")).distinct())
     found = with_texts(need, texts).groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(lambda x, y: verify_pairs(x, y, width, percent), "a long, b long")
-    members = materialize(long_list_chunks(long, percent))
-    alike = with_texts(members, texts).groupBy("block", "u", "w").applyInArrow(lambda t: verify_chunks(t, width, percent), "a long, b long")
+
+    # the groups of several members are lists of their own
+    long = long.unionByName(several.select(F.col("g").alias("token"), F.col("head").alias("s"), "n"))
+    alike = long_list_links(long_list_members(long, inside, percent), texts, width, percent)
     parts = connected_components(materialize(found.union(alike)))
 
-    named = sets.join(parts.withColumnRenamed("id", "s"), "s", "left").select("f1", "f2", "n", F.coalesce("component", "s").alias("c"))
-    out = docs_sets.join(named, ["f1", "f2", "n"], "left")
+    named = sets.join(parts.withColumnRenamed("id", "s"), "s", "left").select("f1", "f2", "n", "copies", F.coalesce("component", "s").alias("c"))
+    out = spread_join(docs_sets, named, ["f1", "f2", "n"], "left", weight="copies")
     component = F.when((F.col("n") > 0) & F.col("d").isNotNull(), F.col("c")).otherwise(F.col("d"))
     return out.select(F.col("d").alias("doc_id"), "th", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one of least id; documents alone stay, as do rows without doc_id."""
+    """docs with one document of each component, the one of least id; documents alone stay, as do rows without doc_id.
+    Null and empty texts link with nothing and stay; repeated rows of the id that stays all stay; an empty table gives
+    an empty table."""
     none = F.lit(-(2**63))
     out = linked_documents(docs, width, percent).where("doc_id IS NULL OR doc_id = component_id").select(F.coalesce("doc_id", none).alias("dk"), "th").distinct()
     base = packed(docs).withColumn("dk", F.coalesce("row.doc_id", none)).withColumn("th", F.xxhash64("row.text"))

@@ -141,13 +141,13 @@ def estimates(vec: DataFrame) -> DataFrame:
     robust = materialize(robust)
     est = cholesky(from_sums(whole).unionByName(robust.drop("n")))
     for _ in range(STEPS):
-        rows = distance(spread_join(vec, est, ["g"], list(FEATURES))).withColumn("bin", F.floor(F.log2(F.col("d2") + 1) * BINS).cast("int")).select("g", "start", "bin", *FEATURES)
+        rows = distance(spread_join(vec, est, ["g"])).withColumn("bin", F.floor(F.log2(F.col("d2") + 1) * BINS).cast("int")).select("g", "start", "bin", *FEATURES)
         along = Window.partitionBy("g", "start").orderBy("bin")
         every = Window.partitionBy("g", "start")
         hist = rows.groupBy("g", "start", "bin").agg(F.count("*").alias("k"))
         hist = hist.withColumn("upto", F.sum("k").over(along)).withColumn("h", F.sum("k").over(every) * COVERAGE)
         edge = hist.where("upto >= h").groupBy("g", "start").agg(F.min("bin").alias("edge"))
-        near = spread_join(rows, edge, ["g", "start"], list(FEATURES)).where("bin <= edge")
+        near = spread_join(rows, edge, ["g", "start"]).where("bin <= edge")
         est = cholesky(from_sums(near.groupBy("g", "start").agg(*moments())))
     best = Window.partitionBy("g").orderBy("ld", "start")
     est = est.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("g", *MEANS, *COVARIANCES)
@@ -178,7 +178,7 @@ def judged(docs: DataFrame) -> DataFrame:
     good = vectors(stats.where("not base_failed"))
     est = estimates(good.select(F.explode(F.array("g", "pool")).alias("g"), *FEATURES))
     est = cholesky(shrunk(est, good.select("g", "pool").distinct())).drop("ld", *COVARIANCES)
-    out = distance(spread_join(good, est, ["g"], ["th"])).withColumn("kept", F.col("d2") <= CUTOFF)
+    out = distance(spread_join(good, est, ["g"])).withColumn("kept", F.col("d2") <= CUTOFF)
     bad = stats.where("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "th"]
     return out.select(*names).unionByName(bad.select(*names))

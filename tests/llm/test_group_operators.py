@@ -81,7 +81,21 @@ def test_embedding_forest(spark, monkeypatch):
     assert embedding_forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_forward_backward_sums_over_all_sequences():
+def test_forward_backward_sums_over_all_sequences(monkeypatch):
+    for segment in (1, 2, 3, 1024):
+        monkeypatch.setattr(line_crf, "SEGMENT", segment)
+        forward_backward_case()
+
+
+def test_log_odds_are_those_of_the_whole_table():
+    rng = np.random.default_rng(4)
+    x, k = rng.standard_normal((9, 16)), 16
+    model = {"w": rng.standard_normal(3 * k + 1), "shift": rng.standard_normal(1)}
+    whole = line_crf.with_neighbours(x, np.array([0, 1, 4, 9]))
+    assert np.allclose(line_crf.log_odds(x, np.array([0, 1, 4, 9]), model), whole @ model["w"] + model["shift"])
+
+
+def forward_backward_case():
     rng = np.random.default_rng(1)
     bounds = np.array([0, 1, 4, 9])
     z, t = rng.standard_normal(9), rng.standard_normal((2, 2))
