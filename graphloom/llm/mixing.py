@@ -30,7 +30,7 @@ from .common import WORD, packed, source_key, spread_join, text_of, unpacked
 #: The weights, in turn.
 WEIGHTS = (5, 2, 1)
 #: Parts of a source in the prefix sum; draws of a run; rounds of the permutation.
-PARTS, RUN, ROUNDS = 1 << 14, 1 << 12, 10
+PARTS, RUN, ROUNDS = 1 << 12, 1 << 12, 10
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -107,11 +107,11 @@ def draws(targets: DataFrame, block_words: int, shards: int, seed: int) -> DataF
     b = F.ceil(F.col("source_size") / block_words)
     t = targets.where("source_size > 0").withColumn("blocks", b).withColumn("n", F.least(F.round(F.col("target") * b / F.col("source_size")).cast("long"), b * 2))
     t = t.where("n > 0").withColumn("skh", F.xxhash64("sk"))
-    # a row per 256 runs, dealt out before it becomes runs
-    rows = t.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (RUN * 256)))).alias("r"))
+    # a row per 16 runs, dealt out before it becomes runs
+    rows = t.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (RUN * 16)))).alias("r"))
     rows = rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sk", "r")
     last = F.floor((F.col("n") - 1) / RUN)
-    runs = rows.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.col("r") * 256, F.least(F.col("r") * 256 + 255, last))).alias("run"))
+    runs = rows.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.col("r") * 16, F.least(F.col("r") * 16 + 15, last))).alias("run"))
     first = F.col("run") * RUN
     runs = runs.withColumn("counts", shard_counts(F.least(F.col("n") - first, F.lit(RUN)), shards, F.lit(seed), F.col("skh"), F.col("run")))
     slots = runs.select("sk", "skh", "blocks", first.alias("slot"), F.posexplode("counts").alias("shard", "k"), "counts").where("k > 0")
@@ -141,7 +141,8 @@ def mix_plan(docs: DataFrame, block_words: int = 32, shards: int = 64, seed: int
     targets = materialize(source_targets(sizes_of(base)))
     times = draws(targets, block_words, shards, seed).groupBy("sk", "block").agg(F.count("*").alias("times"))
     cover = block_words_of(base.select("sk", "start", "size"), block_words)
-    taken = cover.join(times, ["sk", "block"]).groupBy("sk", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the draws come from a table of few rows, which mustn't be taken for their size
+    taken = cover.join(times.hint("merge"), ["sk", "block"]).groupBy("sk", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = spread_join(base, targets, ["sk"]).join(taken, ["sk", "start"], "left")
     got = lambda c: F.when(F.col("size") > 0, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
     return out.select(F.col("d").alias("doc_id"), "size", "source_size", "target", got("taken"), "source", "th")
@@ -163,7 +164,7 @@ def mixed_blocks(docs: DataFrame, block_words: int = 32, shards: int = 64, seed:
     same = cover["d"].eqNullSafe(texts["d"]) & (cover["th"] == texts["th"]) & (cover["sk"] == texts["sk"])
     parts = cover.join(texts, same).select(cover["sk"], "block", "start", F.array_join(F.slice("w", F.col("first").cast("int") + 1, F.col("words").cast("int")), " ").alias("part"))
     blocks = parts.groupBy("sk", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), " ").alias("text"))
-    return spread_join(drawn.join(blocks, ["sk", "block"]), sizes.select("sk", "source"), ["sk"]).select("shard", "source", "slot", "block", "text")
+    return spread_join(drawn.hint("merge").join(blocks, ["sk", "block"]), sizes.select("sk", "source"), ["sk"]).select("shard", "source", "slot", "block", "text")
 
 
 def repeat_taken(docs: DataFrame, seed: int = 20, **kw) -> DataFrame:
