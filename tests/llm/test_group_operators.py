@@ -48,8 +48,11 @@ def test_ngram_join_large_group(spark, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 60
 
 
-def test_embedding_forest(spark, monkeypatch):
-    monkeypatch.setattr(embedding_forest, "LEAF", 64)
+@pytest.mark.parametrize("leaf, sample", [(64, 16_384), (10_000, 16_384), (64, 40)])
+def test_embedding_forest(spark, monkeypatch, leaf, sample):
+    """With leaves from the sample, with all leaves split on in rounds, and with both."""
+    monkeypatch.setattr(embedding_forest, "LEAF", leaf)
+    monkeypatch.setattr(embedding_forest, "SAMPLE", sample)
     monkeypatch.setattr(embedding_forest, "LEAF_CAP", 40)
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((60, 16))
