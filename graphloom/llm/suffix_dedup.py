@@ -32,7 +32,7 @@ from .common import text_of
 from .shingles import U, mix, utf8
 
 #: Depth of the first buckets; bytes of text to a block, and to a part of the keys.
-Q, BLOCK_BYTES, PART_BYTES = 24, 12_000_000, 48_000_000
+Q, BLOCK_BYTES, PART_BYTES = 24, 5_000_000, 20_000_000
 #: Depth of the first buckets in the blocks' suffix sort.
 SHORT_Q = 8
 #: Window starts that are handled at once.
@@ -204,10 +204,8 @@ class Block:
         doc = np.repeat(self.doc, n)
         if not len(starts):
             return starts, starts, np.zeros(0, np.uint64), doc
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(edge, self.s1, 1)
-        np.add.at(edge, self.s2 + self.length, -1)
-        inside = np.cumsum(edge[:-1]) > 0
+        size = len(self.data) + 1
+        inside = np.cumsum((np.bincount(self.s1, minlength=size) - np.bincount(self.s2 + self.length, minlength=size))[:-1]) > 0
         place = np.cumsum(inside) - 1
         rank = suffix_buckets(self.data[inside], place[starts], self.length)
         distinct, least, of = _classes(rank, doc)
