@@ -38,7 +38,7 @@ def under(file: Column, path: str) -> Column:
 def in_package(namespace: Column, package: Column) -> Column:
     """Equal, below, or matching where the package holds a star."""
     return (namespace == package) | namespace.startswith(F.concat(package, F.lit("."))) | (
-        F.contains(package, F.lit("*")) & namespace.ilike(F.replace(F.replace(package, F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%"))))
+        F.contains(package, F.lit("*")) & F.ilike(namespace, F.replace(F.replace(package, F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%"))))
 
 
 def stem(word: Column) -> Column:

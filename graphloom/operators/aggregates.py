@@ -36,10 +36,11 @@ def layer_files(files: DataFrame) -> DataFrame:
     return files.groupBy(F.coalesce("layer", F.lit("(none)")).alias("layer")).agg(F.countDistinct("file").alias("files"))
 
 
-def layer_dependencies(edges: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Edges between layers (from_layer, to_layer) counted, with whether the allow list has the pair. A layer
-    that the list doesn't name at all may use any."""
-    counts = edges.where("from_layer IS NOT NULL AND to_layer IS NOT NULL AND from_layer != to_layer").groupBy("from_layer", "to_layer").agg(F.count("*").alias("edges"))
+def layer_dependencies(edges: DataFrame, allowed: DataFrame, weight: str | None = None) -> DataFrame:
+    """Edges between layers (from_layer, to_layer) counted, a row for as many as its weight, with whether the allow list
+    has the pair. A layer that the list doesn't name at all may use any."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = edges.where("from_layer IS NOT NULL AND to_layer IS NOT NULL AND from_layer != to_layer").groupBy("from_layer", "to_layer").agg(n.alias("edges"))
     pairs = allowed.select("from_layer", F.explode_outer("may").alias("to_layer")).withColumn("ok", F.lit(True))
     named = allowed.select("from_layer").distinct().withColumn("named", F.lit(True))
     out = counts.join(F.broadcast(pairs), ["from_layer", "to_layer"], "left").join(F.broadcast(named), "from_layer", "left")
@@ -191,3 +192,76 @@ def search_index(tables: dict[str, DataFrame]) -> DataFrame:
         rows = df.select(F.lit(kind).alias("kind"), F.col("name").cast("string").alias("name"), F.col("ref").cast("string").alias("ref"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def used_by(edges: DataFrame) -> DataFrame:
+    """(id, used_by): distinct other users of a component."""
+    return edges.where("from_id != to_id").groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("from_id").alias("used_by"))
+
+
+def technologies(packages: DataFrame) -> DataFrame:
+    """(label, version): each package's version in the first row (package, label, version, ord); one row per label."""
+    first = packages.groupBy("package").agg(F.min_by(F.struct("label", "version"), "ord").alias("x"), F.min("ord").alias("ord")).select("x.*", "ord")
+    return first.groupBy("label").agg(F.min_by("version", "ord").alias("version"))
+
+
+def test_plans(cases: DataFrame, links: DataFrame) -> DataFrame:
+    """(plan, cases, linked): distinct test cases (plan, case) of each plan, and those that a requirement is linked to."""
+    on = links.select("case").distinct().withColumn("on", F.lit(True))
+    return cases.select("plan", "case").distinct().join(on, "case", "left").groupBy("plan").agg(F.count("*").alias("cases"), F.count("on").alias("linked"))
+
+
+def overlay_status(items: DataFrame, code: DataFrame, tests: DataFrame, assessed: DataFrame | None) -> DataFrame:
+    """(item, code_status, test_status): linked, not-linked, and for tests not-assessed where nobody looked, or
+    unavailable without any assessment. code, tests, assessed: item."""
+    mark = lambda df, c: df.select("item").distinct().withColumn(c, F.lit(True))
+    out = items.select("item").join(mark(code, "c"), "item", "left").join(mark(tests, "t"), "item", "left")
+    out = out.withColumn("a", F.lit(None)) if assessed is None else out.join(mark(assessed, "a"), "item", "left")
+    missing = "unavailable" if assessed is None else "not-assessed"
+    test = F.when(F.col("t"), "linked").when(F.col("a"), "not-linked").otherwise(missing)
+    return out.select("item", F.when(F.col("c"), "linked").otherwise("not-linked").alias("code_status"), test.alias("test_status"))
+
+
+def file_evidence(evidence: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Evidence (file, symbol, requirement) that only names a file: no symbol of it is known."""
+    return evidence.join(symbols.select("symbol"), "symbol", "left_anti").select("file", "requirement").distinct()
+
+
+def description_totals(components: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(what, n): components (id, layer) per layer, and layer dependencies (allowed) that are allowed and not."""
+    layers = components.groupBy(F.concat(F.lit("layer "), F.coalesce("layer", F.lit("(none)"))).alias("what")).agg(F.count("*").alias("n"))
+    return layers.union(dependencies.groupBy(F.when(F.col("allowed"), "allowed").otherwise("not allowed")).agg(F.count("*")))
+
+
+def diff_gate(diff: DataFrame, most_complex: int) -> DataFrame:
+    """One row: what a change (rows kind, id, complexity, critical, fact) introduces, and whether it passes. Gaps count
+    where critical, flags where the code contradicts them, symbols where they are too complex."""
+    k = F.col("kind")
+    out = diff.agg(
+        F.count_if((k == "gap") & F.col("critical")).alias("critical"), F.count_if(k == "violation").alias("violations"),
+        F.count_if((k == "symbol") & (F.col("complexity") > most_complex)).alias("complex"), F.count_if((k == "flag") & F.col("fact")).alias("contradictions"),
+    )
+    return out.withColumn("ok", (F.col("critical") + F.col("violations") + F.col("complex") + F.col("contradictions")) == 0)
+
+
+def domain_areas(methods: DataFrame, calls: DataFrame, implements: DataFrame) -> DataFrame:
+    """(id, area, reason): methods (id, file, type) by folder; one in a folder that no other folder calls into, whose calls
+    (from_id, to_id) reach exactly one other type, goes to that type's folder; an interface's method goes to its
+    implementations' (from_id) area where they agree."""
+    m = methods.select("id", "type", S.folder(F.col("file")).alias("folder"))
+    end = lambda p: m.select(F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"), F.col("folder").alias(f"{p}_folder"))
+    c = calls.where("from_id != to_id").select("from_id", "to_id").distinct().join(end("from"), "from_id").join(end("to"), "to_id")
+    inner = c.where("from_folder != to_folder").select(F.col("to_folder").alias("folder")).distinct()
+    one = c.groupBy(F.col("from_id").alias("id")).agg(F.count_distinct("to_type").alias("types"), F.min("to_type").alias("to_type"), F.min_by("to_folder", "to_id").alias("to_folder"))
+    moved = m.join(inner, "folder", "left_anti").join(one.where("types = 1"), "id").where("to_type != type").select("id", "to_folder", "to_type")
+    area = m.join(moved, "id", "left").select("id", F.coalesce("to_folder", "folder").alias("area"), F.when(F.col("to_type").isNotNull(), F.concat(F.lit("delegates to "), "to_type")).otherwise("folder").alias("reason"))
+    impl = implements.join(area.select(F.col("id").alias("from_id"), F.col("area").alias("theirs")), "from_id").join(m.select(F.col("id").alias("to_id")), "to_id")
+    agreed = impl.groupBy(F.col("to_id").alias("id")).agg(F.count_distinct("theirs").alias("n"), F.min("theirs").alias("theirs"), F.array_join(F.array_sort(F.collect_set("from_id")), ", ").alias("by")).where("n = 1")
+    out = area.join(agreed, "id", "left")
+    return out.select("id", F.coalesce("theirs", "area").alias("area"), F.when(F.col("by").isNotNull(), F.concat(F.lit("implemented by "), "by")).otherwise(F.col("reason")).alias("reason"))
+
+
+def released(changes: DataFrame, pull_commits: DataFrame) -> DataFrame:
+    """(release, section, n): changes (release, sha, category, breaking) by section, without commits that a pull request owns."""
+    own = changes.join(pull_commits.select("sha"), "sha", "left_anti")
+    return own.groupBy("release", release_section(F.col("category"), F.col("breaking")).alias("section")).agg(F.count("*").alias("n"))

@@ -148,3 +148,48 @@ def missing_reason(references: DataFrame, parsed: DataFrame, scanned: DataFrame,
     out = references.join(mark(parsed, "p"), "path", "left").join(mark(scanned, "s"), "path", "left").join(mark(present, "f"), "path", "left")
     why = F.when(F.col("path").startswith("../"), "outside-root").when(F.col("s"), "not-parsed").when(F.col("f"), "not-scanned").otherwise("not-found")
     return out.where("p IS NULL").select("from_id", "path", why.alias("reason"))
+
+
+def test_files(files: DataFrame, globs: list[str], projects: DataFrame) -> DataFrame:
+    """files with is_test: the path matches a glob, or the owning project is tagged test. projects: project, prefix, ord, tags."""
+    owned = longest_prefix(files, projects, "file", "prefix")
+    tagged = F.coalesce(F.array_contains("tags", "test"), F.lit(False))
+    return owned.select("file", (S.any_glob(F.col("file"), globs) | tagged).alias("is_test"))
+
+
+def inferred_externals(depends: DataFrame, known: DataFrame, externals: DataFrame) -> DataFrame:
+    """Projects whose package (depends: project, package) points to a known system (known: package, system) that no
+    external (id) shows yet: project, to_id, certainty."""
+    hit = depends.join(known, "package").select("project", F.concat(F.lit("ext:"), "system").alias("to_id")).distinct()
+    return hit.join(externals.select(F.col("id").alias("to_id")), "to_id", "left_anti").select("project", "to_id", F.lit("inferred").alias("certainty"))
+
+
+def orphan_externals(externals: DataFrame, connects: DataFrame, projects: DataFrame) -> DataFrame:
+    """Externals (id, file) that nothing connects to, with the project that owns their file: from_id, to_id."""
+    alone = externals.join(connects.select(F.col("to_id").alias("id")), "id", "left_anti")
+    return longest_prefix(alone, projects, "file", "prefix").where("project IS NOT NULL").select(F.col("project").alias("from_id"), F.col("id").alias("to_id"))
+
+
+def link_config(edges: DataFrame, projects: DataFrame) -> DataFrame:
+    """Edges from file:<path> start at the project that owns the file, or go; other edges stay."""
+    reads = edges.where(F.col("from_id").startswith("file:")).withColumn("file", F.substring("from_id", 6, 1 << 20))
+    owned = longest_prefix(reads, projects, "file", "prefix").where("project IS NOT NULL")
+    return edges.where(~F.col("from_id").startswith("file:")).unionByName(owned.withColumn("from_id", F.col("project")).select(edges.columns))
+
+
+def owners_by_language(files: DataFrame, projects: DataFrame, endings: dict[str, list[str]]) -> DataFrame:
+    """(file, project): the longest folder that holds the file; a project at the root only owns files with an ending of
+    its ecosystem. projects: project, prefix, ecosystem, ord."""
+    below = longest_prefix(files, projects.where("prefix != ''"), "file", "prefix").select("file", F.col("project").alias("near"))
+    table = files.sparkSession.createDataFrame([(e, x) for e, xs in endings.items() for x in xs], "ecosystem string, ending string")
+    root = first_by(projects.where("prefix = ''").join(F.broadcast(table), "ecosystem"), ["ending"], "ord").select("ending", F.col("project").alias("top"))
+    ending = F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))
+    return below.withColumn("ending", ending).join(root, "ending", "left").select("file", F.coalesce("near", "top").alias("project"))
+
+
+def tag_targets(nodes: DataFrame, edges: DataFrame, tags: dict[str, str]) -> DataFrame:
+    """Nodes with their tags and those that edges of a kind give their targets (persists: entity, hosts: hosted)."""
+    kinds = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])
+    given = edges.where(F.col("kind").isin(*tags)).groupBy(F.col("to_id").alias("id")).agg(F.collect_set(kinds[F.col("kind")]).alias("given"))
+    none = F.array().cast("array<string>")
+    return nodes.join(given, "id", "left").withColumn("tags", F.array_union(F.coalesce("tags", none), F.array_sort(F.coalesce("given", none)))).drop("given")

@@ -83,11 +83,11 @@ def flow_trace(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = No
             if free.isEmpty():
                 break
             level = level.unionByName(free)
-            settled = materialize(settled.unionByName(free))
+            settled = settled.unionByName(free)
         level = materialize(onward(level, 1).join(settled, ["start", "node"], "left_anti").select("start", "node", F.lit(depth + 1).alias("depth"), "via"))
         if level.isEmpty():
             return settled
-        settled = materialize(settled.unionByName(level))
+        settled = settled.unionByName(level)
     raise RuntimeError("flow_trace: too many rounds")
 
 
@@ -162,11 +162,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out if out is not None else edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
 
 
+def ordinals(df: DataFrame, key: str) -> DataFrame:
+    """df with number, from 1 in order of a unique key: ranges are numbered apart, and only the ranges' counts meet."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(n, key).withColumn("part", F.spark_partition_id()))
+    ranges = dealt.groupBy("part").agg(F.count("*").alias("k"))  # as many rows as partitions
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(key))
+    return dealt.withColumn("own", own).join(F.broadcast(ranges), "part").withColumn("number", (F.col("before") + F.col("own")).cast("int")).drop("part", "own", "k", "before")
+
+
 def weak_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, component, number): vertices alone included; numbers follow the least members."""
     parts = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     out = vertices.select("id").distinct().join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    roots = out.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")))
+    roots = ordinals(out.select("component").distinct(), "component")
     return out.join(roots, "component").select("id", "component", "number")
 
 
@@ -225,7 +235,8 @@ def crawl(edges: DataFrame, seed: str, depth: int = 3, limit: int = 100) -> list
     A vertex always comes after the one that it is found from, and all of tier 0 before tier 1. So the search is
     one round per tier and depth, and a round fetches no more than the vertices that the limit still has room for.
     """
-    depth, limit = min(depth, 8), min(limit, 500)
+    if depth > 8 or limit > 500:
+        raise ValueError("crawl: depth is at most 8 and the limit at most 500")
     spark = edges.sparkSession
     e = materialize(edges.select("src", "dst", "deferred").where("dst IS NOT NULL").distinct())
     out, done, levels = [(seed, 0, 0)][:limit], {seed}, {(0, 0): [seed]}
@@ -251,13 +262,36 @@ def crawl(edges: DataFrame, seed: str, depth: int = 3, limit: int = 100) -> list
 
 
 def simple_paths(edges: dict[str, list[str]], seeds: list[str], most: int = 10) -> list[list[str]]:
-    """Up to so many maximal simple paths from the seeds, in order of the ids. For a crawl's few hundred nodes."""
+    """Up to so many maximal simple paths of a step or more from the seeds, in order of the ids. For a crawl's few hundred
+    nodes; the walk ends with the last path that is asked for."""
     out: list[list[str]] = []
     stack = [[s] for s in sorted(seeds, reverse=True)]
     while stack and len(out) < most:
         path = stack.pop()
         nexts = [x for x in sorted(set(edges.get(path[-1], []))) if x not in path]
-        if not nexts:
+        if not nexts and len(path) > 1:
             out.append(path)
         stack += [[*path, x] for x in reversed(nexts)]
     return out
+
+
+def crawl_relations(edges: DataFrame, visited: DataFrame, limit: int) -> DataFrame:
+    """Edges (src, dst, label) with both ends visited (id), in order of ends and label, at most 12 times the limit: a fixed
+    number of rows. certainty is inferred where the label says so."""
+    v = visited.select("id")
+    both = edges.join(v.withColumnRenamed("id", "src"), "src", "left_semi").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct()
+    certainty = F.when(F.contains("label", F.lit("inferred")), "inferred").otherwise("detected")
+    return both.select("src", "dst", "label", certainty.alias("certainty")).orderBy("src", "dst", "label").limit(12 * limit)
+
+
+def units(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, unit): members (method, constructor, property, event) that aren't endpoints stand for themselves, all else
+    for the top of what contains it. nodes: id, kind, endpoint; roots: id, root."""
+    own = F.col("kind").isin("method", "constructor", "property", "event") & ~F.col("endpoint")
+    return nodes.join(roots, "id", "left").select("id", F.when(own, F.col("id")).otherwise(F.coalesce("root", "id")).alias("unit"))
+
+
+def target_scope(contains: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, id): each target (id) and all that it contains, at any depth."""
+    down = closure(contains.select(F.col("parent").alias("src"), F.col("child").alias("dst")), targets.select(F.col("id").alias("src")))
+    return targets.select(F.col("id").alias("target"), "id").union(down.select("src", "dst"))

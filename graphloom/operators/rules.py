@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from .assembly import first_by
 from .graph import layer_via, strong_components
 from .joins import row_diff
+from .windows import top_with_rest
 
 
 def with_layer(nodes: DataFrame, layers: dict[str, list[str]]) -> DataFrame:
@@ -214,3 +215,76 @@ def number_checks(statements: DataFrame, code: DataFrame) -> DataFrame:
     said, there = S.stated_numbers(F.col("text")), S.numbers(F.col("body"))
     plain = S.numbers(F.col("text"))
     return j.select("key", F.size(F.array_distinct(plain)).alias("stated"), F.coalesce(F.arrays_overlap(said, there), F.lit(False)).alias("meets"))
+
+
+#: Texts that read like instructions to a model.
+INSTRUCTIONS = r"(?i)\b(?:ignore|disregard|forget)\b.{0,40}\b(?:previous|above|prior|earlier|all)\b|\bsystem prompt\b|\byou are (?:now )?an?\b"
+
+
+def product_checks(sections: DataFrame, evidence: DataFrame, statements: DataFrame, files: DataFrame, drafted: DataFrame, cited: DataFrame) -> DataFrame:
+    """(code, section, what) of product evidence. PROD-001: a required section (section, required) without evidence (section,
+    ord, id, text, source); PROD-002: a statement (section, source, text) whose source isn't among files (source); PROD-004:
+    a section whose evidence, in order, differs from what was drafted (as evidence); PROD-005: a statement that reads
+    like an instruction; PROD-006: a citation (section, id) of what isn't the section's drafted evidence."""
+    none = F.lit(None).cast("string")
+    code = lambda df, c, what=none: df.select(F.lit(c).alias("code"), F.col("section"), what.alias("what"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "text", "source"))), lambda x: F.concat_ws("|", x["id"], x["text"], x["source"]))
+    told = lambda df, c: df.groupBy("section").agg(line.alias(c))
+    both = sections.select("section").join(told(evidence, "now"), "section", "left").join(told(drafted, "was"), "section", "left")
+    changed = both.where(~F.col("now").eqNullSafe(F.col("was")))
+    return (
+        code(sections.where("required").join(evidence, "section", "left_anti"), "PROD-001")
+        .union(code(statements.join(files.select("source"), "source", "left_anti"), "PROD-002", F.col("source")))
+        .union(code(changed, "PROD-004"))
+        .union(code(statements.where(F.col("text").rlike(INSTRUCTIONS)), "PROD-005", F.col("source")))
+        .union(code(cited.distinct().join(drafted, ["section", "id"], "left_anti"), "PROD-006", F.col("id")))
+    )
+
+
+def missing_drafts(depends: DataFrame, drafts: DataFrame) -> DataFrame:
+    """PROD-003: products (product, on) that another depends on and that have no draft (product)."""
+    return depends.join(drafts.select(F.col("product").alias("on")), "on", "left_anti").select(F.lit("PROD-003").alias("code"), "product", "on")
+
+
+def coverage_warnings(histories: DataFrame) -> DataFrame:
+    """(repo, warning): what a history (repo, end, head, truncated, shallow) doesn't cover: commits after its end (ids agree
+    where one begins with the other), older ones where it was cut or shallow."""
+    differ = ~(F.col("end").startswith(F.col("head")) | F.col("head").startswith(F.col("end")))
+    rows = F.array_compact(F.array(F.when(differ, "later commits"), F.when(F.col("truncated"), "truncated"), F.when(F.col("shallow"), "shallow")))
+    return histories.select("repo", F.explode(rows).alias("warning"))
+
+
+def applying_sections(nodes: DataFrame, sections: list[str]) -> DataFrame:
+    """(id, section): the documentation sections that apply to a node (params, returns, throws, endpoints, state, events)."""
+    given = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    rule = {"param": F.col("params") > 0, "returns": F.col("returns").isNotNull(), "exception": F.col("throws").isNotNull(), "endpoint": F.col("endpoints") > 0, "state": given("state"), "events": given("events")}
+    for other, same in (("input", "param"), ("output", "returns"), ("authorization", "endpoint")):
+        rule[other] = rule[same]
+    rows = F.array_compact(F.array(*[F.when(rule.get(s, F.lit(True)), s) for s in sections]))
+    return nodes.select("id", F.explode(rows).alias("section"))
+
+
+def first_pattern(nodes: DataFrame, patterns: list[tuple[str, dict[str, str]]], default: str) -> DataFrame:
+    """nodes with pattern: the first whose globs match all the columns that it names; a tag glob matches any tag."""
+    out = F.lit(default)
+    for name, globs in reversed(patterns):
+        hit = F.lit(True)
+        for c, g in globs.items():
+            hit = hit & (_any(F.coalesce(c, F.array().cast("array<string>")), g) if c == "tags" else S.glob_match(F.col(c), g))
+        out = F.when(hit, name).otherwise(out)
+    return nodes.withColumn("pattern", out)
+
+
+def critical_gaps(findings: DataFrame) -> DataFrame:
+    """Undocumented nodes of high need."""
+    return findings.where("level = 'high' AND status = 'undocumented'")
+
+
+def requirement_answers(asked: DataFrame, evidence: DataFrame, renamed: DataFrame, most: int = 10) -> DataFrame:
+    """(asked, symbol, requirement, rank, more): each asked symbol's requirements, confirmed first, then newest, at most so
+    many. A symbol without evidence (symbol, requirement, confirmed, ord) is answered by its former id (renamed: id, was)."""
+    known = evidence.select(F.col("symbol").alias("asked")).distinct()
+    own = asked.select("asked").distinct().join(known, "asked", "left_semi").select("asked", F.col("asked").alias("symbol"))
+    old = asked.select("asked").distinct().join(known, "asked", "left_anti").join(renamed.select(F.col("id").alias("asked"), F.col("was").alias("symbol")), "asked")
+    per = evidence.groupBy("symbol", "requirement").agg(F.bool_or("confirmed").alias("confirmed"), F.max("ord").alias("newest"))
+    return top_with_rest(own.union(old).join(per, "symbol"), ["asked"], most, F.desc("confirmed"), F.desc("newest"), "requirement").select("asked", "symbol", "requirement", "rank", "more")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,26 +58,39 @@ def ranked_requirements(df: DataFrame, key: str) -> DataFrame:
 
 
 def fit_budget(entries: DataFrame, key: str, most: int = 3, budget: int = 1200) -> DataFrame:
-    """Entries (key, ord, title, body) that fit a character budget per key, in order: a body that doesn't fit is
-    cut to what is left, an entry whose title doesn't fit ends the list. Groups are as large as a key's entries."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, rows = budget, []
-        for r in pdf.sort_values("ord").head(most).to_dict("records"):
-            need = len(r["title"] or "")
-            if need > left:
-                break
-            body = r["body"] or ""
-            if need + len(body) > left:
-                body = body[: max(0, left - need - 1)] + "…" if left > need else ""
-            left -= need + len(body)
-            rows.append({**r, "body": body})
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return entries.groupBy(key).applyInPandas(fit, entries.schema)
+    """Entries (key, ord, title, body) that fit a character budget per key, in order: of at most so many, a body that
+    doesn't fit is cut to what is left with an ellipsis, an entry whose title doesn't fit ends the list. A key's
+    entries are cut to the first few before they are gathered."""
+    cols = entries.columns
+    first = top_with_rest(entries, [key], most, "ord").drop("rank", "more")
+    rows = first.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in cols if c != "ord"]))).alias("rows"))
+    length = lambda c: F.length(F.coalesce(c, F.lit("")))
+    shape = first.select(F.struct("ord", *[c for c in cols if c != "ord"]).alias("r")).schema["r"].dataType.simpleString()
+
+    def step(acc: Column, r: Column) -> Column:
+        left = acc["left"] - length(r["title"])
+        cut = F.when(left > 0, F.concat(F.left(r["body"], left - 1), F.lit("…"))).otherwise("")
+        body = F.when(length(r["body"]) > left, cut).otherwise(F.coalesce(r["body"], F.lit("")))
+        going = F.struct(F.lit(True).alias("on"), (left - F.length(body)).alias("left"), F.concat(acc["out"], F.array(r.withField("body", body))).alias("out"))
+        return F.when(acc["on"] & (left >= 0), going).otherwise(acc.withField("on", F.lit(False)))
+
+    start = F.struct(F.lit(True).alias("on"), F.lit(budget).alias("left"), F.array().cast(f"array<{shape}>").alias("out"))
+    return rows.select(F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in cols])
 
 
 def within_budget(lines: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
     """The lines whose running size stays within the budget."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+
+
+def pipeline_order(edges: DataFrame) -> DataFrame:
+    """(from_id, to_id, place): middleware in registration order, from 1. edges: from_id, to_id, ord."""
+    w = Window.partitionBy("from_id").orderBy("ord", "to_id")
+    return edges.select("from_id", "to_id", F.row_number().over(w).alias("place"))
+
+
+def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of both that have the same place under their key, in the given order; what has no counterpart goes."""
+    place = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order))).drop(order)
+    return place(left).join(place(right), [key, "place"])

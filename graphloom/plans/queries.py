@@ -80,9 +80,8 @@ e AS ({NATION_EDGES_SQL})
 SELECT f.layer AS from_layer, g.layer AS to_layer, count(*) AS edges, (f.layer = 'ui' AND g.layer = 'api') OR (f.layer = 'api' AND g.layer = 'domain') AS allowed
 FROM e JOIN l f ON e.a = f.k JOIN l g ON e.b = g.k WHERE f.layer <> g.layer GROUP BY ALL""")
 def layer_dependency_counts(spark, sf):
-    e = layered_edges(spark, sf).withColumn("i", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
     allowed = spark.createDataFrame([(k, v) for k, v in ALLOWED.items()], "from_layer string, may array<string>")
-    return A.layer_dependencies(e, allowed)
+    return A.layer_dependencies(layered_edges(spark, sf), allowed, weight="n")
 
 
 @query(f"""WITH l AS (SELECT n_nationkey AS k, {LAYER_SQL} AS layer, 'src/' || r_name || '/' || n_name AS file FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -716,3 +715,5 @@ def budget_fit(spark, sf):
 def context_budget(spark, sf):
     c = t(spark, sf, "conversations").select("conv_id", "turn", "text")
     return W.within_budget(c, ["conv_id"], ["turn"], F.length("text"), 500).select("conv_id", "turn", "used")
+
+from . import rule_queries  # noqa: E402, F401  registers further queries

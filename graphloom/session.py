@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Where the setting is absent (local tests), a temporary folder is set once per session.
+    Where the setting is absent, a local master gets a temporary folder, once per session; on a cluster that
+    would be another folder on every host, so it is an error there.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-graphloom-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -25,10 +28,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it back: lineage ends there."""
+    """Write df as Parquet in the shared scratch folder and read it back: lineage ends there. The folder goes when the
+    driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     schema = df.schema
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
