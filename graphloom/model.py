@@ -41,4 +41,5 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str, snapshot: str)
 
 def read_snapshot(spark: SparkSession, path: str, snapshot: str) -> tuple[DataFrame, DataFrame]:
     read = lambda t: spark.read.parquet(f"{path}/{t}").where(F.col("snapshot") == snapshot).drop("snapshot")
-    return read("nodes"), read("edges")
+    edges = read("edges")
+    return read("nodes"), edges.select(*[f.name for f in EDGES if f.name in edges.columns], *[c for c in edges.columns if c not in EDGES.names])

@@ -54,7 +54,8 @@ def properties(files: DataFrame) -> DataFrame:
 
 
 def json_settings(files: DataFrame) -> DataFrame:
-    """(file, key, host): flattened keys of JSON settings files, sections joined by colons, to a depth of five."""
+    """(file, key, host): flattened keys of JSON settings files, sections joined by colons. What lies deeper than
+    five sections comes under the key of the fifth, without a host."""
     level = files.select("file", F.lit("").alias("prefix"), F.from_json("text", "map<string,string>").alias("m"))
     out = None
     for _ in range(5):
@@ -64,7 +65,7 @@ def json_settings(files: DataFrame) -> DataFrame:
         rows = flat.where("sub IS NULL").select("file", "key", F.try_parse_url("v", F.lit("HOST")).alias("host"))
         out = rows if out is None else out.unionByName(rows)
         level = flat.where("sub IS NOT NULL").select("file", F.concat("key", F.lit(":")).alias("prefix"), F.col("sub").alias("m"))
-    return out
+    return out.unionByName(level.select("file", F.regexp_replace("prefix", ":$", "").alias("key"), F.lit(None).cast("string").alias("host")))
 
 
 def package_manifests(files: DataFrame) -> DataFrame:

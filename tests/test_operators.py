@@ -52,7 +52,7 @@ def test_versions(spark):
 
 
 def test_layers(spark):
-    n = spark.createDataFrame([("c", "src/Api/OrdersController.cs", 0), ("s", "src/Application/OrderService.cs", 1), ("o", "src/Domain/Order.cs", 2), ("r", "src/Infrastructure/OrderRepository.cs", 3), ("x", "x.txt", 4)], "id string, file string, ord long")
+    n = spark.createDataFrame([("c", "src/Api/CoinsController.cs", 0), ("s", "src/Application/CoinService.cs", 1), ("o", "src/Domain/Order.cs", 2), ("r", "src/Infrastructure/CoinRepository.cs", 3), ("x", "x.txt", 4)], "id string, file string, ord long")
     layers = dict(rows(R.with_layer(n, config.LAYERS), "id", "layer"))
     assert layers == {"c": "api", "s": "application", "o": "domain", "r": "infrastructure", "x": None}
     e = spark.createDataFrame([("domain", "infrastructure", "d", "r", "calls", 0), ("domain", "infrastructure", "d", "r", "calls", 1), ("ui", None, "u", "http:GET /a", "http", 2), ("api", "application", "a", "s", "calls", 3), ("application", "infrastructure", "a", "r", "calls", 4)], "from_layer string, to_layer string, from_file string, to_key string, kind string, ord long")
@@ -145,7 +145,7 @@ def test_model_round_trip(spark, tmp_path):
     assert rows(model.model_problems(n, e)) == [("dangling-end", "gone", 1), ("duplicate-id", "a", 2)]
     model.write_snapshot(n, e, str(tmp_path), "s1")
     nodes, edges = model.read_snapshot(spark, str(tmp_path), "s1")
-    assert nodes.count() == 2 and edges.columns == ["from_id", "to_id", "label", "ord", "kind"]
+    assert nodes.count() == 2 and edges.columns == ["from_id", "to_id", "kind", "label", "ord"]
 
 
 def brute_strong(edges):

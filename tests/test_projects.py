@@ -36,12 +36,12 @@ def test_entities(spark):
 
 
 def test_questions(spark):
-    n = [("c", "class", "OrdersController", "src/Api/OrdersController.cs"), ("i", "interface", "IOrders", "src/Application/IOrders.cs"), ("s", "class", "OrderService", "src/Application/OrderService.cs"), ("r", "class", "OrderRepository", "src/Infrastructure/OrderRepository.cs")]
+    n = [("c", "class", "CoinsController", "src/Api/CoinsController.cs"), ("i", "interface", "ICoins", "src/Application/ICoins.cs"), ("s", "class", "CoinService", "src/Application/CoinService.cs"), ("r", "class", "CoinRepository", "src/Infrastructure/CoinRepository.cs")]
     nodes = spark.createDataFrame([(*x, 1, k) for k, x in enumerate(n)], "id string, kind string, name string, file string, line int, ord long")
     nodes = nodes.withColumns({"tags": F.array().cast("array<string>"), "route": F.lit(None).cast("string"), "doc": F.lit(None).cast("string"), "visibility": F.lit("public"), "complexity": F.lit(9), "params": F.lit(0)})
     edges = spark.createDataFrame([("c", "i", "calls", 0), ("s", "i", "implements", 1), ("s", "r", "calls", 2), ("r", "c", "calls", 3)], "from_id string, to_id string, kind string, ord long")
     m = Model(nodes, edges)
-    assert [r.id for r in m.find_symbol("order").collect()] == ["s", "r", "c", "i"] and rows(m.resolve("OrderService"), "id") == [("s",)]
+    assert [r.id for r in m.find_symbol("coin").collect()] == ["s", "r", "c", "i"] and rows(m.resolve("CoinService"), "id") == [("s",)]
     assert rows(m.callers("s"), "from_id", "via") == [("c", "i")] and rows(m.callees("s"), "to_id") == [("r",)]
     assert rows(m.trace_endpoint("c"), "node", "depth") == [("c", 0), ("i", 1), ("r", 2), ("s", 1)]
     assert rows(m.impact("r"), "id", "depth") == [("s", 1)]

@@ -13,10 +13,10 @@ def rows(df, *cols):
 
 
 def test_sql_scanner(spark):
-    text = "CREATE TABLE dbo.Items (id int);\nCREATE PROCEDURE [dbo].[GetItems] @id int AS\n-- FROM dbo.Ignored\nSELECT * FROM dbo.Items i JOIN Other o ON 1=1 WHERE name = 'FROM x'\nIF 1=1 EXEC dbo.Log"
+    text = "CREATE TABLE shop.Baskets (k int);\nCREATE PROCEDURE [shop].[Pay] @basket int AS\n-- UPDATE shop.Stale\nSELECT k FROM shop.Baskets b JOIN Coins c ON b.k = c.k WHERE note = 'FROM nowhere'\nIF @basket > 0 EXEC shop.Notify"
     o = scanners.sql_objects(spark.createDataFrame([("f.sql", text)], "file string, text string"))
-    assert rows(o, "kind", "name", "complexity") == [("procedure", "dbo.getitems", 2), ("table", "dbo.items", 1)]
-    assert rows(scanners.sql_references(o), "name", "kind", "target") == [("dbo.getitems", "calls", "dbo.log"), ("dbo.getitems", "reads", "dbo.items"), ("dbo.getitems", "reads", "other")]
+    assert rows(o, "kind", "name", "complexity") == [("procedure", "shop.pay", 2), ("table", "shop.baskets", 1)]
+    assert rows(scanners.sql_references(o), "name", "kind", "target") == [("shop.pay", "calls", "shop.notify"), ("shop.pay", "reads", "coins"), ("shop.pay", "reads", "shop.baskets")]
 
 
 def test_settings_and_manifests(spark):
@@ -27,6 +27,11 @@ def test_settings_and_manifests(spark):
     assert rows(scanners.deployment_files(f)) == [("compose.yml", "compose"), ("k.yaml", "kubernetes")]
 
 
+def test_deep_settings(spark):
+    f = spark.createDataFrame([("s.json", '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1},"h":2},"x":3}}}}}')], "file string, text string")
+    assert rows(scanners.json_settings(f), "key") == [("a:b:c:d:e",), ("a:b:c:d:x",)]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"schema": "x", "started_at": "2024-01-01T00:00:00Z", "target": {"base_url": "u", "local": True}, "steps": [{"name": "s", "method": "GET", "path": "/a", "requests": 3, "failures": 0, "error_rate": 0.0, "latency_ms": {"p50": 1.0, "p95": 2.0, "p99": 3.0}}], "series": [{"t": 1.0, "requests": 2, "p95_ms": 5.0}]}))
     r = readers.load_report(spark, str(tmp_path / "r.json"))
