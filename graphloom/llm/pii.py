@@ -237,7 +237,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     short = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(rank(x).alias("r"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     df = base.withColumn("all", described(F.col("t"))).select("row", "all")
     own = F.filter("all", lambda x: x["base"])
-    added = F.filter("all", lambda x: ~x["base"] & (score(x) >= math.log(ADDED_AT / (1 - ADDED_AT))) & ~F.exists(own, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    # what follows a word such as "version" isn't added, however well it is formed
+    added = F.filter("all", lambda x: ~x["base"] & (x["context"] >= 0) & (score(x) >= math.log(ADDED_AT / (1 - ADDED_AT))) & ~F.exists(own, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return unpacked(df, docs.columns, {"base": short(own), "spans": short(F.concat(own, added))})
 
 

@@ -31,6 +31,23 @@ def test_ngram_join(spark, rows):
     assert ngram_join.linked_documents(D.frame(spark, [])).count() == 0
 
 
+def test_ngram_join_at_the_threshold(spark):
+    """80 of 100 shingles link, one less doesn't; the same through short and long lists."""
+    base = [f"w{k}" for k in range(94)]
+    same = base + [f"a{k}" for k in range(0)]
+    # 90 shingles each with 80 of 100 in common, and 89 of which 79 of 99 are
+    near = base[:84] + [f"b{k}" for k in range(10)]
+    far = base[:83] + [f"c{k}" for k in range(10)]
+    docs = [(1, " ".join(same)), (2, " ".join(near)), (3, " ".join(far))]
+    sets = {d: D.shingles(t) for d, t in docs}
+    assert (len(sets[1] & sets[2]), len(sets[1] | sets[2])) == (80, 100) and (len(sets[1] & sets[3]), len(sets[1] | sets[3])) == (79, 100)
+    for many in (1, 63, 64, 65, 66):
+        rows = docs + [(1000 + k, " ".join([*base[:93], f"z{k}"])) for k in range(many - 1)]
+        got = {g.doc_id: g.component_id for g in ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want = {d: c for d, (_, c) in D.components(rows).items()}
+        assert got == want and got[2] == 1, many
+
+
 def test_ngram_join_large_group(spark, monkeypatch):
     """Copies with edits beyond the short-list limit, in small chunks."""
     monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
@@ -73,7 +90,7 @@ def test_embedding_forest(spark, monkeypatch, leaf, sample):
                 links[b[0]] += 1
                 x, y = top(a[0]), top(b[0])
                 root[max(x, y)] = min(x, y)
-    got = embedding_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    got = embedding_forest.near_vectors(spark.createDataFrame([(*x, 7, "b") for x in rows], "vec_id long, embedding array<float>, label int, n_links int, component_id string")).collect()
     assert len(got) == len(rows)
     known = {g.vec_id: g for g in got}
     assert sum(known[v].n_links for v in links) >= 0.9 * sum(links.values()) > 100
@@ -137,6 +154,13 @@ def test_line_crf(spark):
     assert line_crf.score(docs.limit(0), line_crf.train(docs, lab)).count() == 0
 
 
+def test_embedding_threshold_ties(spark):
+    """A cosine of exactly the threshold links."""
+    rows = [(1, [1.0, 0.0], 0), (2, [0.6, 0.8], 0), (3, [0.0, 1.0], 0), (4, [3.0, 4.0], 1)]
+    got = {g.vec_id: g.n_links for g in embedding_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.6).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 0}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body class="home"><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
 <!-- c --><div class="ad">Buy</div><div id="cookie-notice">We use</div>BODY<section id="comments"><article>Nice post</article></section><form>Mail</form><footer>&copy; us</footer></body></html>"""
 

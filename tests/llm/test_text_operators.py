@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, mixing, pii, quality_rules, sentencepiece_codec, suffix_dedup
+from graphloom.llm import line_crf, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
 from graphloom.llm.queries import model_path
 
 from . import docs as D
@@ -165,6 +165,72 @@ def test_quality_rules_find_outliers(spark):
     assert all(out[r[0]] for r in good) and not any(out[r[0]] for r in bad)
 
 
+def brute_distances(rows):
+    """doc_id to squared distance of the rows (doc_id, text, lang, source) that pass the base rules, with numpy alone."""
+    R = quality_rules
+    x, group = {}, {}
+    for d, t, lang, source in rows:
+        n, chars, symbols, dup, rep = brute_statistics(t)
+        if n >= 50 and 100 * rep <= 50 * n:
+            x[d] = np.array([np.log(n + 1), np.log(chars / n), np.sqrt(symbols / n), np.sqrt(dup / n * 10), np.sqrt(rep / n)])
+            group[d] = (lang, source)
+    floors = np.array(R.FLOORS)
+
+    def factor(c):
+        c, low = c * R.CONSISTENCY + np.diag(floors**2), np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i + 1):
+                v = c[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(v, floors[i] ** 2 / 4)) if i == j else v / low[j, j]
+        return low
+
+    def d2(v, mu, c):
+        z = np.linalg.solve(factor(c), (v - mu).T)
+        return (z * z).sum(0)
+
+    def estimate(v):
+        s = np.sort(v, axis=0)
+        q = [s[max(int(np.ceil(p * len(v))), 1) - 1] for p in (0.25, 0.5, 0.75)]
+        found = []
+        for start, (mu, c) in (("all", (v.mean(0), np.cov(v.T, bias=True))), ("quartiles", (q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)))):
+            for _ in range(R.STEPS):
+                bins = np.floor(np.log2(d2(v, mu, c) + 1) * R.BINS)
+                edge = min(b for b in set(bins) if (bins <= b).sum() >= R.COVERAGE * len(v))
+                near = v[bins <= edge]
+                mu, c = near.mean(0), np.cov(near.T, bias=True)
+            found.append((np.log(np.diag(factor(c))).sum(), start, mu, c))
+        return (len(v), *min(found, key=lambda f: f[:2])[2:])
+
+    by = lambda key: {k: estimate(np.array([x[d] for d in x if key(d) == k])) for k in {key(d) for d in x}}
+    own, pool, out = by(lambda d: group[d]), by(lambda d: group[d][0]), {}
+    for d in x:
+        (n, mu, c), (_, pmu, pc) = own[group[d]], pool[group[d][0]]
+        w, gap = n / (n + R.PRIOR), mu - pmu
+        out[d] = d2(x[d][None], w * mu + (1 - w) * pmu, w * c + (1 - w) * pc + w * (1 - w) * np.outer(gap, gap))[0]
+    return out
+
+
+def test_quality_rules_against_numpy(spark):
+    """Groups of 3 to 120 rows, ordinary documents and outliers of every feature."""
+    r = random.Random(6)
+    rows = []
+    for lang, source, size in (("en", "a", 120), ("en", "b", 12), ("en", "c", 3), ("de", "a", 60), (None, None, 20)):
+        for k in range(size):
+            words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9 if lang == "en" else 13))) for _ in range(r.randint(50, 300))]
+            if k % 9 == 4:
+                words = [w + r.choice(["%", "#*", ""]) for w in words]
+            if k % 11 == 5:
+                words = words[: len(words) // 4] * 2 + words
+            text = " ".join(words[:40]) + "\n" + " ".join(words[40:])
+            rows.append((len(rows), text + ("\nagain and again" * 3 if k % 7 == 2 else ""), lang, source))
+    want = brute_distances(rows)
+    got = {g.doc_id: g for g in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert {d for d, g in got.items() if not g.base_failed} == set(want) and len(want) > 150
+    assert all(abs(got[d].d2 - v) <= 1e-4 * (1 + v) for d, v in want.items())
+    assert all(got[d].kept == (v <= quality_rules.CUTOFF) for d, v in want.items())
+    assert 5 < sum(v > quality_rules.CUTOFF for v in want.values()) < len(want) / 2
+
+
 def brute_targets(sizes, share=1.5, most=2.0):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -264,3 +330,59 @@ def test_pii(spark, none):
         assert g.base == brute_base(texts[g.doc_id]), g.doc_id
         assert set(filter(None, g.base.split(","))) <= set(g.spans.split(","))
     assert pii.find_spans(none).count() == 0
+
+
+def test_pii_spans_of_planted_kinds(spark):
+    """Recall and precision of the added spans by kind, with look-alikes that aren't personal."""
+    r = random.Random(1)
+    word = lambda n: " ".join("".join(r.choices("aeioulnrst", k=r.randint(2, 8))) for _ in range(n))
+    digit = lambda n: "".join(r.choices("0123456789", k=n))
+    name = lambda: "".join(r.choices("aeiounrst", k=6)).capitalize()
+    planted = [
+        ("email", "contact: ", lambda: f"{word(1)}(at){word(1)}(dot)com", "", True), ("secret", 'api_key = "', lambda: "".join(r.choices("abcdef0123456789", k=40)), '"', True),
+        ("ssn", "ssn: ", lambda: f"{r.randint(100, 599)}-{digit(2)}-{digit(4)}", "", True), ("iban", "IBAN: ", lambda: "DE" + digit(2) + " " + " ".join(digit(4) for _ in range(4)) + " " + digit(2), "", True),
+        ("name", "call ", lambda: f"Mr {name()} {name()}", "", True), ("ssn", "version ", lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", "", False),
+        ("ssn", "section ", lambda: f"000-{digit(2)}-{digit(4)}", "", False), ("secret", "token=", lambda: "a" * 20, "", False), None, None,
+    ]
+    rows, good, bad = [], set(), set()
+    for d in range(600):
+        text = word(12) + " "
+        if (p := planted[d % 10]) is not None:
+            kind, before, make, after, personal = p
+            x = make()
+            (good if personal else bad).add((d, kind, len(text) + len(before), len(text) + len(before) + len(x)))
+            text += before + x + after
+        rows.append((d, text + " " + word(6)))
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*").collect()
+    found = {(g.doc_id, g.kind, g.s, g.e) for g in got}
+    for kind in ("email", "secret", "ssn", "iban", "name"):
+        mine = {g for g in good if g[1] == kind}
+        assert len(mine & found) >= 0.9 * len(mine), kind
+    assert len(found - good) <= 0.05 * len(found) and len(bad & found) <= 0.05 * len(bad)
+
+
+def test_one_very_long_text(spark):
+    """A text of 10 MB beside small ones, through every operator on texts."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefghijé", k=r.randint(2, 9))) for _ in range(5000)]
+    line = lambda: " ".join(r.choices(vocabulary, k=12))
+    long = "\n".join(line() for _ in range(130_000)) + " a.b@c.de 10.0.0.1"
+    assert len(long.encode()) > 10_000_000
+    rows = [(1, long, "en", "s"), (2, "x" * 3_000_000 + " y", "en", "s"), (3, "\n" * 200_000, "en", "s"), (4, long[5_000_000:5_000_400], "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    first = lambda df: {g.doc_id: g for g in df.collect()}
+    stats = first(quality_rules.judged(docs))
+    assert stats[1].n_words == len(long.split()) and stats[2].n_words == 2 and stats[3].base_failed
+    gone = first(suffix_dedup.remove_repeats(docs).drop("kept"))
+    assert gone[1].n_bytes == len(long.encode()) and gone[4].n_removed == len(rows[3][1].encode())
+    tokens = first(sentencepiece_codec.encode_documents(docs, model_path()).select("doc_id", "n_tokens", (F.col("decoded") == F.col("text")).alias("same")))
+    assert all(t.same for t in tokens.values()) and tokens[1].n_tokens > 2_000_000
+    assert sum(g.taken for g in mixing.mix_plan(docs).collect()) > 0
+    lines = first(line_dedup.drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped"))
+    assert lines[1].n_lines == 130_000 and lines[3].n_lines == 200_001 and not lines[3].n_dropped
+    spans = first(pii.find_spans(docs).select("doc_id", F.size("base").alias("n")))
+    assert spans[1].n == 2 and spans[2].n == 0
+    links = first(ngram_join.linked_documents(docs))
+    assert links[1].n_shingles > 1_000_000 and [links[d].component_id for d in (1, 2, 3, 4)] == [1, 2, 3, 4]
+    model = {"w": np.linspace(-1, 1, line_crf.WIDTH), "shift": np.zeros(1), "t": np.zeros((2, 2))}
+    assert all(0 <= g.score <= 1 for g in line_crf.score(docs, model).select("doc_id", "score").collect())
