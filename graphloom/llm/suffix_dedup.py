@@ -223,8 +223,10 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _sent(kind: int, block: int, part: np.ndarray, columns: dict[str, np.ndarray]) -> list[dict]:
-    """A row for each part: part is sorted."""
-    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    """A row for each part: part is sorted. Without keys there is none."""
+    if not len(part):
+        return []
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     ends = np.append(cut[1:], len(part))
     return [{"kind": kind, "part": int(part[a]), "block": block, **{k: v[a:b].tobytes() for k, v in columns.items()}} for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
 

@@ -94,6 +94,14 @@ def test_suffix_dedup_of_shifted_passages(spark):
     assert removed(docs) == want and sum(w[2] for w in want) > 5000
 
 
+def test_suffix_dedup_without_repeats(spark):
+    """Blocks in which nothing recurs, and blocks of short texts only."""
+    r = random.Random(2)
+    rows = [(d, "".join(r.choices("abcdefghij", k=400))) for d in range(40)] + [(100 + d, "short") for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(docs) == brute_repeats([(d, t.encode()) for d, t in rows]) and removed(docs.where("doc_id >= 100")) == brute_repeats([(d, t.encode()) for d, t in rows if d >= 100])
+
+
 def test_suffix_buckets_follow_the_order_of_the_suffixes():
     r = np.random.default_rng(3)
     for depth in (8, 16, 24, 33, 50, 72):
