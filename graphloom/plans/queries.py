@@ -293,7 +293,10 @@ def reference_closure_all(spark, sf):
     return G.closure(t(spark, sf, "part").select(F.col("p_size").alias("src"), ((F.col("p_size") * 7 + (F.col("p_partkey") % 3).cast("int")) % 50).alias("dst")))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM ({TOP2_SQL})), n AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_regionkey FROM nation),
+p AS (SELECT id AS start, id, [id] AS path, 0 AS n FROM n UNION ALL SELECT start, e.b, list_append(path, e.b), p.n + 1 FROM p JOIN e ON e.a = p.id WHERE p.n < 8 AND NOT list_contains(path, e.b)),
+r AS (SELECT start, id, path, row_number() OVER (PARTITION BY start, id ORDER BY p.n, path) AS k FROM p)
+SELECT start, r.id AS target, array_to_string(path, ' > ') AS path FROM r JOIN n ON n.id = r.id WHERE n_regionkey = 0 AND k = 1""")
 def shortest_paths(spark, sf):
     e = top_partners(spark, sf).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
     starts = t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("start"))
@@ -301,7 +304,10 @@ def shortest_paths(spark, sf):
     return G.shortest_paths(e, starts, targets).withColumn("path", F.array_join("path", " > "))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, b % 2 = 1 AS deferred FROM ({TOP2_SQL})),
+p0 AS (SELECT '0' AS id, 0 AS d UNION SELECT e.b, d + 1 FROM p0 JOIN e ON e.a = p0.id WHERE NOT deferred AND d < 4), t0 AS (SELECT id, min(d) AS d FROM p0 GROUP BY id),
+p1 AS (SELECT e.b AS id, d + 1 AS d FROM t0 JOIN e ON e.a = t0.id WHERE deferred AND d < 4 AND e.b NOT IN (SELECT id FROM t0) UNION SELECT e.b, d + 1 FROM p1 JOIN e ON e.a = p1.id WHERE d < 4 AND e.b NOT IN (SELECT id FROM t0))
+SELECT id, tier, depth FROM (SELECT id, 0 AS tier, d AS depth FROM t0 UNION ALL SELECT id, 1, min(d) FROM p1 GROUP BY id) ORDER BY tier, depth, id LIMIT 15""")
 def best_first_crawl(spark, sf):
     e = top_partners(spark, sf).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), (F.col("b") % 2 == 1).alias("deferred"))
     return spark.createDataFrame(G.crawl(e, "0", depth=4, limit=15), "id string, tier int, depth int")
@@ -705,7 +711,8 @@ def source_freshness(spark, sf):
     return R.source_freshness(ev, files).select("id", "status")
 
 
-@query()
+@query("""WITH e AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, 400 - length(role) - coalesce(sum(length(role) + length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM conversations)
+SELECT conv_id, turn AS ord, role AS title, CASE WHEN length(text) <= room THEN text WHEN room > 0 THEN substr(text, 1, CAST(room AS INT) - 1) || '…' ELSE '' END AS body FROM e WHERE k <= 3 AND room >= 0""")
 def budget_fit(spark, sf):
     c = t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("role").alias("title"), F.col("text").alias("body"))
     return W.fit_budget(c, "conv_id", most=3, budget=400)
