@@ -135,6 +135,45 @@ def forward_backward_case():
     assert np.allclose(p, want) and np.allclose(pairs, total)
 
 
+def brute_score(text, model):
+    """The document's score with plain Python: features line by line, marginals by products along the chain."""
+    import math
+
+    rows, lines = [], (text or "").split("\n")
+    words = [D.words(x) for x in lines]
+    for x, w in zip(lines, words):
+        count = lambda f: sum(map(f, x))
+        capital, digit, space, symbol = (count(lambda c, s=s: c in s) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c\r", "#*$%&|<>"))
+        letter = count(lambda c: "a" <= c <= "z" or ord(c) > 127)
+        other, n, k = len(x) - capital - digit - space - symbol - letter, max(len(x), 1), max(len(w), 1)
+        upper, repeats = capital / max(letter + capital, 1), (1 - len(set(w)) / k) * bool(w)
+        single = sum(len(y.encode()) == 1 for y in w) / k
+        rows.append([math.log1p(len(x)), math.log1p(len(w)), symbol / n, other / n, upper, digit / n, space / n, (len(x) - space) / k / 10, repeats, single, not w, bool(w) and words.count(w) > 1, symbol / n > 0.03, other / n > 0.12, upper > 0.5, repeats > 0.5])
+    none = [0] * 16
+    z = [sum(a * b for a, b in zip([1, *rows[i], *(rows[i - 1] if i else none), *(rows[i + 1] if i + 1 < len(rows) else none)], model["w"])) + model["shift"][0] for i in range(len(rows))]
+    e, t = [(1.0, math.exp(v)) for v in z], [[math.exp(v) for v in r] for r in model["t"]]
+    ahead, back = [list(e[0])], [[1.0, 1.0]]
+    for i in range(1, len(z)):
+        row = [e[i][j] * sum(ahead[-1][k] * t[k][j] for k in (0, 1)) for j in (0, 1)]
+        ahead.append([v / sum(row) for v in row])
+    for i in range(len(z) - 1, 0, -1):
+        row = [sum(t[k][j] * e[i][j] * back[0][j] for j in (0, 1)) for k in (0, 1)]
+        back.insert(0, [v / sum(row) for v in row])
+    p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back)]
+    weight = [len(x) + 1 for x in lines]
+    return sum(a * b for a, b in zip(p, weight)) / sum(weight)
+
+
+def test_line_crf_against_plain_python(spark, rows):
+    rng = np.random.default_rng(12)
+    model = {"w": rng.standard_normal(line_crf.WIDTH) * 0.7, "shift": np.array([0.3]), "t": np.array([[0.5, -0.4], [0.1, 0.9]])}
+    got = line_crf.score(D.frame(spark, rows).repartition(3), model).select("doc_id", "text", "score", "predicted").collect()
+    assert len(got) == len(rows)
+    for g in got:
+        want = brute_score(g.text, model)
+        assert abs(g.score - want) < 1e-6 and (g.predicted == (want >= 0.5) or abs(want - 0.5) < 1e-6), g.doc_id
+
+
 def test_line_crf(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choices("aeioulnrst", k=r.randint(2, 8)))
