@@ -26,9 +26,9 @@ from .common import packed, slices, text_of, unpacked
 
 MARK = "▁"
 NEVER = 1 << 60
-#: Most units that a worker keeps the ids of, and most pairs of tokens: about 200 bytes each, so 13 MB a table. A
+#: Most units that a worker keeps the ids of, and most pairs of tokens: about 200 bytes each, so 52 MB a table. A
 #: full table is emptied.
-CACHE = 1 << 16
+CACHE = 1 << 18
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 1 << 20
 #: What normalisation must leave as it is, but for the first mark and marks for spaces.
