@@ -48,15 +48,15 @@ def unpacked(df: DataFrame, columns: list[str], replaced: dict[str, Column]) ->
     return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() not in new], *[v.alias(k) for k, v in replaced.items()])
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", weight: str | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", weight: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """left joined to right, a narrow table with few rows per key, so that a hot key's left rows don't meet in one task.
 
-    right is written and counted: up to BROADCAST_ROWS rows are broadcast. Of a larger one, the rows whose weight (the
+    right is written and counted: up to most rows are broadcast. Of a larger one, the rows whose weight (the
     number of left rows of the key) is HOT_ROWS or more are broadcast, at most one for so many left rows; the others
     are shuffled. The result is the same either way.
     """
     right = materialize(right)
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() <= most:
         return left.join(F.broadcast(right), keys, how)
     if weight is None:
         return left.join(right, keys, how)

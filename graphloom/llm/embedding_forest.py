@@ -29,6 +29,8 @@ MARGIN = 0.4
 #: A leaf is split if at most this share of its vectors goes both ways.
 MOST_SPILL = 0.5
 BLOCK_ROWS = 512
+#: Most vectors that are broadcast.
+BROADCAST_VECTORS = 1 << 13
 
 
 def fit_forest(sample: np.ndarray, n: int, threshold: float, trees: int, seed: int) -> tuple[list[list], float]:
@@ -221,6 +223,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = TREES
     counts = found.groupBy("v").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
     about = reps.join(counts, "v", "left").join(parts.withColumnRenamed("id", "v"), "v", "left")
-    about = about.select("label", "e", (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "v").alias("c"))
-    out = spread_join(rows.where("fit").select("v", "label", "e"), about, ["label", "e"]).select("v", "n", "c").unionByName(rows.where("NOT fit").select("v", F.lit(0).cast("long").alias("n"), F.col("v").alias("c")))
+    about = about.select("label", "e", "k", (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "v").alias("c"))
+    out = spread_join(rows.where("fit").select("v", "label", "e"), about, ["label", "e"], weight="k", most=BROADCAST_VECTORS).select("v", "n", "c").unionByName(rows.where("NOT fit").select("v", F.lit(0).cast("long").alias("n"), F.col("v").alias("c")))
     return out.select(F.col("v").alias("vec_id"), F.col("n").alias("n_links"), F.col("c").cast("long").alias("component_id"), F.coalesce(F.col("v") == F.col("c"), F.lit(True)).alias("kept"))
