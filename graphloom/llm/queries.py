@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_forest, html_diff, line_crf, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
+from . import (
+    embedding_forest, html_diff, line_crf, line_dedup, mixing, ngram_join, periodic_runs, pii, quality_rules, sentencepiece_codec, spelling, suffix_dedup, toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,29 @@ def op10_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.document_words(table(spark, sf_dir, "documents"), delete_every=31)
+    return spelling.variants(words)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periodic_runs.longest_run(F.col("runs"))
+    out = periodic_runs.find_runs(docs).withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, line, pos,
@@ -82,5 +107,5 @@ FROM lines LEFT JOIN common c ON lines.k = c.k
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_html_diff, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op8_pii, op9_line_crf, op10_embedding_forest)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_html_diff, op4_sentencepiece, op5_ngram_join, op6_mix_sources, op7_line_dedup, op8_pii, op9_line_crf, op10_embedding_forest, op11_toxicity, op12_spelling, op13_periodic_runs)}
 ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
