@@ -724,3 +724,4 @@ def context_budget(spark, sf):
     return W.within_budget(c, ["conv_id"], ["turn"], F.length("text"), 500).select("conv_id", "turn", "used")
 
 from . import rule_queries  # noqa: E402, F401  registers further queries
+from . import deep_queries  # noqa: E402, F401
