@@ -180,9 +180,13 @@ def most_complex(nodes: DataFrame, k: int = 20) -> DataFrame:
     return nodes.where("complexity > 1 AND kind != 'component'").orderBy(F.desc("complexity"), "ord").limit(k)
 
 
+#: The sections of a release's notes, in order.
+SECTIONS = ("breaking", "feature", "fix", "performance", "other")
+
+
 def release_section(category: Column, breaking: Column) -> Column:
-    """The section of a change: breaking ones first, then by category."""
-    return F.when(breaking, "breaking").when(category.isin("feat", "feature"), "features").when(category.isin("fix", "bugfix"), "fixes").when(category == "security", "security").otherwise("other")
+    """The section of a change: breaking ones first, then by category; all else is other."""
+    return F.when(breaking, "breaking").when(category.isin(*SECTIONS[1:-1]), category).otherwise("other")
 
 
 def search_index(tables: dict[str, DataFrame]) -> DataFrame:
@@ -233,21 +237,33 @@ def description_totals(components: DataFrame, dependencies: DataFrame) -> DataFr
     return layers.union(dependencies.groupBy(F.when(F.col("allowed"), "allowed").otherwise("not allowed")).agg(F.count("*")))
 
 
-def diff_gate(diff: DataFrame, most_complex: int) -> DataFrame:
-    """One row: what a change (rows kind, id, complexity, critical, fact) introduces, and whether it passes. Gaps count
-    where critical, flags where the code contradicts them, symbols where they are too complex."""
+#: Documentation levels, in order.
+LEVELS = ("none", "low", "medium", "high")
+
+
+def diff_gate(diff: DataFrame, most_complex: int, require_tests: str | None = None) -> DataFrame:
+    """One row: what a change introduces, and whether it passes. Rows of diff are of a kind: gaps count where critical,
+    violations all, symbols where complexity is above most_complex, flags where they contradict the code (fact), and, if
+    require_tests names a level, tests (added, tests, level) of new symbols of that level or above without a linked test."""
     k = F.col("kind")
+    untested = F.lit(0).cast("long")
+    if require_tests is not None:
+        at_least = F.col("level").isin(*LEVELS[LEVELS.index(require_tests) :])
+        untested = F.count_if((k == "test") & F.col("added") & (F.col("tests") == 0) & at_least)
     out = diff.agg(
         F.count_if((k == "gap") & F.col("critical")).alias("critical"), F.count_if(k == "violation").alias("violations"),
         F.count_if((k == "symbol") & (F.col("complexity") > most_complex)).alias("complex"), F.count_if((k == "flag") & F.col("fact")).alias("contradictions"),
+        untested.alias("untested"),
     )
-    return out.withColumn("ok", (F.col("critical") + F.col("violations") + F.col("complex") + F.col("contradictions")) == 0)
+    return out.withColumn("ok", (F.col("critical") + F.col("violations") + F.col("complex") + F.col("contradictions") + F.col("untested")) == 0)
 
 
 def domain_areas(methods: DataFrame, calls: DataFrame, implements: DataFrame) -> DataFrame:
     """(id, area, reason): methods (id, file, type) by folder; one in a folder that no other folder calls into, whose calls
     (from_id, to_id) reach exactly one other type, goes to that type's folder; an interface's method goes to its
-    implementations' (from_id) area where they agree."""
+    implementations' (from_id) area where they agree. Methods of tests (test, if there is such a column) don't count."""
+    if "test" in methods.columns:
+        methods = methods.where(~F.coalesce("test", F.lit(False)))
     m = methods.select("id", "type", S.folder(F.col("file")).alias("folder"))
     end = lambda p: m.select(F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"), F.col("folder").alias(f"{p}_folder"))
     c = calls.where("from_id != to_id").select("from_id", "to_id").distinct().join(end("from"), "from_id").join(end("to"), "to_id")
@@ -261,7 +277,10 @@ def domain_areas(methods: DataFrame, calls: DataFrame, implements: DataFrame) ->
     return out.select("id", F.coalesce("theirs", "area").alias("area"), F.when(F.col("by").isNotNull(), F.concat(F.lit("implemented by "), "by")).otherwise(F.col("reason")).alias("reason"))
 
 
-def released(changes: DataFrame, pull_commits: DataFrame) -> DataFrame:
-    """(release, section, n): changes (release, sha, category, breaking) by section, without commits that a pull request owns."""
-    own = changes.join(pull_commits.select("sha"), "sha", "left_anti")
-    return own.groupBy("release", release_section(F.col("category"), F.col("breaking")).alias("section")).agg(F.count("*").alias("n"))
+def released(changes: DataFrame, pulls: DataFrame) -> DataFrame:
+    """(release, section, source, ref): the notes' lines. Pull requests (release, id, category, breaking) own their commits: of
+    the changes (release, sha, category, breaking, kind, pull) only those without one are listed, and no merges. A change's
+    ref is the first 8 characters of its sha."""
+    section = release_section(F.col("category"), F.coalesce("breaking", F.lit(False))).alias("section")
+    own = changes.where("pull IS NULL AND NOT (kind <=> 'merge')").select("release", section, F.lit("change").alias("source"), F.left(F.col("sha").cast("string"), F.lit(8)).alias("ref"))
+    return pulls.select("release", section, F.lit("pull").alias("source"), F.col("id").cast("string").alias("ref")).union(own)

@@ -25,7 +25,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, most: int | None
         frontier = materialize(more.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return found
-        found = materialize(found.unionByName(frontier))
+        found = found.unionByName(frontier)
     if most is not None:
         return found.where(F.col("depth") <= most)
     raise RuntimeError("closure: too many rounds")
@@ -123,7 +123,7 @@ def effects_closure(edges: DataFrame, own: DataFrame) -> DataFrame:
         frontier = materialize(more.join(found, ["node", "effect"], "left_anti"))
         if frontier.isEmpty():
             return found
-        found = materialize(found.unionByName(frontier))
+        found = found.unionByName(frontier)
     raise RuntimeError("effects_closure: too many rounds")
 
 
@@ -162,13 +162,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out if out is not None else edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
 
 
-def ordinals(df: DataFrame, key: str) -> DataFrame:
-    """df with number, from 1 in order of a unique key: ranges are numbered apart, and only the ranges' counts meet."""
+def ordinals(df: DataFrame, *key) -> DataFrame:
+    """df with number, from 1 in order of a unique key (columns or sort orders): ranges are numbered apart, and only the ranges' counts meet."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(df.repartitionByRange(n, key).withColumn("part", F.spark_partition_id()))
+    dealt = materialize(df.repartitionByRange(n, *key).withColumn("part", F.spark_partition_id()))
     ranges = dealt.groupBy("part").agg(F.count("*").alias("k"))  # as many rows as partitions
     ranges = ranges.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(key))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*key))
     return dealt.withColumn("own", own).join(F.broadcast(ranges), "part").withColumn("number", (F.col("before") + F.col("own")).cast("int")).drop("part", "own", "k", "before")
 
 
@@ -261,20 +261,6 @@ def crawl(edges: DataFrame, seed: str, depth: int = 3, limit: int = 100) -> list
     return out
 
 
-def simple_paths(edges: dict[str, list[str]], seeds: list[str], most: int = 10) -> list[list[str]]:
-    """Up to so many maximal simple paths of a step or more from the seeds, in order of the ids. For a crawl's few hundred
-    nodes; the walk ends with the last path that is asked for."""
-    out: list[list[str]] = []
-    stack = [[s] for s in sorted(seeds, reverse=True)]
-    while stack and len(out) < most:
-        path = stack.pop()
-        nexts = [x for x in sorted(set(edges.get(path[-1], []))) if x not in path]
-        if not nexts and len(path) > 1:
-            out.append(path)
-        stack += [[*path, x] for x in reversed(nexts)]
-    return out
-
-
 def crawl_relations(edges: DataFrame, visited: DataFrame, limit: int) -> DataFrame:
     """Edges (src, dst, label) with both ends visited (id), in order of ends and label, at most 12 times the limit: a fixed
     number of rows. certainty is inferred where the label says so."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import materialize
 
 
 def longest_prefix(items: DataFrame, prefixes: DataFrame, path: str, prefix: str) -> DataFrame:
@@ -22,40 +25,114 @@ def longest_prefix(items: DataFrame, prefixes: DataFrame, path: str, prefix: str
     return items.join(hit, path, "left").select(*items.columns, *[F.col(f"hit.{c}").alias(c) for c in [*own, prefix]])
 
 
+#: Most nodes of a trie's level, of two short strings each, that are broadcast.
+BROADCAST_NODES = 1 << 17
+PARAMETER = "{}"
+
+
+def route_trie(templates: DataFrame) -> DataFrame:
+    """The templates' trie: node, parent, key (a literal in lower case, or {} for a parameter), level, template (at its last
+    node, else null) and literals so far. A root is a verb and a number of segments; a node is named by its way from there."""
+    seg = S.segments(F.col("route"))
+    keys = F.transform(seg, lambda x: F.when(S.is_parameter(x), PARAMETER).otherwise(F.lower(x)))
+    t = templates.select("template", F.upper("verb").alias("verb"), keys.alias("keys")).withColumn("n", F.size("keys"))
+    root = F.concat_ws("/", "verb", F.col("n").cast("string"))
+    upto = lambda k: F.concat_ws("/", root, F.slice("keys", F.lit(1), k))
+    each = t.select("template", "keys", "n", "verb", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("level"))
+    literals = F.size(F.filter(F.slice("keys", F.lit(1), F.col("level")), lambda x: x != PARAMETER))
+    own = F.when(F.col("level") == F.col("n"), F.col("template"))
+    parent, key = F.when(F.col("level") > 0, upto(F.col("level") - 1)), F.when(F.col("level") > 0, F.get("keys", F.col("level") - 1))
+    return each.select(upto(F.col("level")).alias("node"), parent.alias("parent"), key.alias("key"), "level", literals.alias("literals"), own.alias("template")).distinct()
+
+
 def match_routes(calls: DataFrame, templates: DataFrame) -> DataFrame:
     """Calls (call, verb, path) against route templates (template, verb, route).
 
-    Verb and number of segments are equi-keys; each segment must be a parameter or equal but for case. The
-    template with most literals wins; where several do, the call is ambiguous. Returns call, template,
-    status (matched, ambiguous, unmatched).
+    Calls descend the templates' trie, level by level: a call's places join the nodes below them on equality with
+    its next segment, in lower case, or a parameter. So a call is never held against templates that leave its way. The
+    template with most literals wins; where several do, the call is ambiguous. Returns call, template, status (matched,
+    ambiguous, unmatched).
     """
+    trie = materialize(route_trie(templates))
+    deepest = trie.agg(F.max("level")).first()[0] or 0
     c = calls.select("call", F.upper("verb").alias("verb"), S.segments(F.col("path")).alias("cs")).withColumn("n", F.size("cs"))
-    t = templates.select("template", F.upper("verb").alias("verb"), S.segments(F.col("route")).alias("ts")).withColumn("n", F.size("ts"))
-    fits = F.forall(F.zip_with("cs", "ts", lambda a, b: S.is_parameter(b) | (F.lower(a) == F.lower(b))), lambda x: x)
-    literals = F.size(F.filter("ts", lambda s: ~S.is_parameter(s)))
-    hits = c.join(t, ["verb", "n"]).where(fits).select("call", "template", literals.alias("score"))
-    best = hits.groupBy("call").agg(F.max("score").alias("score"))
-    won = hits.join(best, ["call", "score"]).groupBy("call").agg(F.count("*").alias("k"), F.min("template").alias("template"))
+    nodes = lambda k: small(trie.where(F.col("level") == k), BROADCAST_NODES)
+    at = c.withColumn("parent", F.concat_ws("/", "verb", F.col("n").cast("string"))).where(F.col("n") <= deepest)
+    at = at.join(nodes(0).select(F.col("node").alias("parent"), "literals", "template"), "parent")
+    ends = [at.where("n = 0")]
+    for k in range(1, deepest + 1):
+        ways = F.explode(F.array_distinct(F.array(F.lower(F.get("cs", F.lit(k - 1))), F.lit(PARAMETER))))
+        down = at.where(F.col("n") >= k).select("call", "cs", "n", "parent").withColumn("key", ways)
+        at = materialize(down.join(nodes(k).select("parent", "key", "node", "literals", "template"), ["parent", "key"]).select("call", "cs", "n", F.col("node").alias("parent"), "literals", "template"))
+        ends.append(at.where(F.col("n") == k))
+    hits = reduce(DataFrame.unionByName, [e.select("call", "template", "literals") for e in ends]).where("template IS NOT NULL")
+    best = hits.groupBy("call").agg(F.max("literals").alias("literals"))
+    won = hits.join(best, ["call", "literals"]).groupBy("call").agg(F.count("*").alias("k"), F.min("template").alias("template"))
     out = calls.select("call").join(won, "call", "left")
     return out.select("call", F.when(F.col("k") == 1, F.col("template")).alias("template"), F.when(F.col("k").isNull(), "unmatched").when(F.col("k") > 1, "ambiguous").otherwise("matched").alias("status"))
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def levels(first: Column, last: Column) -> Column:
+    """The power of two that an interval fits into: 0 for one place, 1 for two, 2 for four."""
+    return F.ceil(F.log2((last - first + 1).cast("double"))).cast("int")
+
+
 def overlapping(hunks: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
     """Hunks (keys, first, last) with the symbols (keys, id, line, end_line) that they touch. A hunk without
-    lines (last < first) is a deletion between two lines and is touched by what holds both."""
-    touch = F.when(F.col("last") < F.col("first"), (F.col("line") <= F.col("last")) & (F.col("end_line") >= F.col("first"))).otherwise((F.col("line") <= F.col("last")) & (F.col("end_line") >= F.col("first")))
-    return hunks.join(symbols, keys).where(touch)
+    lines (last < first) is a deletion between two lines and is touched by what holds both.
+
+    Lines are cut into bins of 2^k for each level k that is the level of an interval (bins of a level are at least as long
+    as its intervals, so that each lies in two at most). Every interval is put into the bins of its own level and of those
+    above that the other side has; sides meet on equal keys, level and bin, where at least one is at its own level. A
+    pair that shares two bins counts in the later of their first ones. So a key's pairs that are far apart never meet.
+    """
+    # lo to hi are the places that an interval has to share with another one; a deletion's are the two lines around it
+    h = hunks.withColumns({"_lo": F.least("first", "last"), "_hi": F.greatest("first", "last")})
+    s = symbols.withColumns({"_lo": F.col("line"), "_hi": F.col("end_line")}).where(F.col("end_line") >= F.col("line"))
+    h, s = (x.withColumn("_own", levels(F.col("_lo"), F.col("_hi"))) for x in (h, s))
+    has = [sorted(r[0] for r in x.select("_own").distinct().collect()) for x in (h, s)]  # at most 64 numbers each
+    every = sorted({*has[0], *has[1]})
+
+    def binned(x: DataFrame, mark: str) -> DataFrame:
+        x = x.withColumn("_level", F.explode(F.array(*map(F.lit, every)).cast("array<int>"))).where(F.col("_level") >= F.col("_own"))
+        at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+        x = x.withColumns({f"{mark}bin": at("_lo"), "_bin": F.explode(F.sequence(at("_lo"), at("_hi")))})
+        return x.withColumn(f"{mark}own", F.col("_own") == F.col("_level")).drop("_lo", "_hi", "_own")
+
+    if not every:
+        return hunks.join(symbols, keys).limit(0)
+    both = binned(h, "_a").join(binned(s, "_b"), [*keys, "_level", "_bin"]).where("(_aown OR _bown) AND _bin = greatest(_abin, _bbin)")
+    touch = (F.col("line") <= F.col("last")) & (F.col("end_line") >= F.col("first"))
+    return both.where(touch).select(*keys, *[c for c in hunks.columns if c not in keys], *[c for c in symbols.columns if c not in keys])
+
+
+#: Lines to a stretch of the sweep.
+STRETCH = 1024
 
 
 def innermost(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Hits (keys, id, line, end_line) but those that strictly hold another hit of the same keys."""
-    inner = hits.select(*keys, F.col("line").alias("il"), F.col("end_line").alias("ie")).distinct()
-    a, b = hits.alias("a"), inner.alias("b")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    holds = (F.col("a.line") <= F.col("b.il")) & (F.col("a.end_line") >= F.col("b.ie")) & ((F.col("a.line") < F.col("b.il")) | (F.col("a.end_line") > F.col("b.ie")))
-    return a.join(b, same & holds, "left_anti")
+    """Hits (keys, id, line, end_line) but those that strictly hold another hit of the same keys.
+
+    A sweep from the last line to the first carries the least end seen: a hit holds another if one that begins further
+    on, or at its line, ends no later (and isn't the same range). It runs within stretches of lines, and over the
+    stretches' least ends, so that a key with very many hits isn't one sorted window.
+    """
+    at = F.floor(F.col("line") / STRETCH)
+    x = hits.withColumn("_stretch", at)
+    ends = x.groupBy(*keys, "_stretch").agg(F.min("end_line").alias("_least"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_later", F.min("_least").over(after)).drop("_least")
+    own = Window.partitionBy(*keys, "_stretch")
+    beyond = F.min("end_line").over(own.orderBy(F.col("line").cast("long").desc()).rangeBetween(Window.unboundedPreceding, -1))
+    beside = F.min("end_line").over(Window.partitionBy(*keys, "_stretch", "line"))
+    x = x.withColumns({"_beyond": beyond, "_beside": beside}).join(ends, [*keys, "_stretch"])
+    holds = (F.least("_beyond", "_later") <= F.col("end_line")) | (F.col("_beside") < F.col("end_line"))
+    return x.where(~F.coalesce(holds, F.lit(False))).select(*hits.columns)
 
 
 def unique_join(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

@@ -48,10 +48,15 @@ def renamed_from(touches: DataFrame, existing: DataFrame) -> DataFrame:
     w = Window.partitionBy("id")
     t = touches.withColumn("first", F.min("order").over(w)).withColumn("last", F.max("order").over(w))
     same = ["file", "owner", "args", "kind", "line"]
+    ends = t.where("order = last").join(existing.select("id"), "id", "left_anti").select(F.struct(F.col("order").alias("till"), F.col("id").alias("was")).alias("end"), *same)
+    # each end with the one before it, for a symbol that would be followed by itself
+    ends = ends.withColumn("end", F.struct("end.*", F.lag("end").over(Window.partitionBy(*same).orderBy("end.till", "end.was")).alias("other")))
     begins = t.where("order = first").select("id", F.col("order").alias("at"), *same)
-    ends = t.where("order = last").join(existing.select("id"), "id", "left_anti").select(F.col("id").alias("was"), F.col("order").alias("till"), *same)
-    hit = begins.join(ends, same).where("till <= at AND was != id")
-    return hit.groupBy("id").agg(F.max_by("was", F.struct("till", "was")).alias("was"))
+    rows = begins.withColumn("end", F.lit(None).cast(ends.schema["end"].dataType)).unionByName(ends.withColumns({"id": F.lit(None), "at": F.col("end.till")}))
+    asof = Window.partitionBy(*same).orderBy("at", F.col("id").isNotNull(), "end.was").rowsBetween(Window.unboundedPreceding, 0)
+    hit = rows.withColumn("hit", F.last("end", ignorenulls=True).over(asof)).where("id IS NOT NULL AND hit IS NOT NULL")
+    best = F.when(F.col("hit.was") != F.col("id"), F.struct("hit.till", "hit.was")).otherwise(F.col("hit.other"))
+    return hit.select("id", best.alias("best")).where("best IS NOT NULL").groupBy("id").agg(F.max("best")["was"].alias("was"))
 
 
 def symbols_of_requirements(touches: DataFrame, items: DataFrame) -> DataFrame:

@@ -217,8 +217,8 @@ def number_checks(statements: DataFrame, code: DataFrame) -> DataFrame:
     return j.select("key", F.size(F.array_distinct(plain)).alias("stated"), F.coalesce(F.arrays_overlap(said, there), F.lit(False)).alias("meets"))
 
 
-#: Texts that read like instructions to a model.
-INSTRUCTIONS = r"(?i)\b(?:ignore|disregard|forget)\b.{0,40}\b(?:previous|above|prior|earlier|all)\b|\bsystem prompt\b|\byou are (?:now )?an?\b"
+#: Fixed value: texts that read like instructions to a model.
+INSTRUCTIONS = r"(?i)\b(ignore (all |the )?(previous|above)|disregard|system prompt|you are (now )?an?|act as|new instructions)\b"
 
 
 def product_checks(sections: DataFrame, evidence: DataFrame, statements: DataFrame, files: DataFrame, drafted: DataFrame, cited: DataFrame) -> DataFrame:

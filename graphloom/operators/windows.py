@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import ordinals
+
 
 def top_with_rest(df: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
     """The first k rows of each key with rank and more, the number of rows beyond k."""
@@ -29,9 +31,9 @@ def buckets(series: DataFrame, keys: list[str], at: str, requests: str, p95: str
 
 
 def numbered(df: DataFrame, prefix: str, *order, digits: int = 3) -> DataFrame:
-    """Finding numbers prefix-001 in order. For small result tables: the order is total."""
-    n = F.row_number().over(Window.orderBy(*order)).cast("string")
-    return df.withColumn("number", F.concat(F.lit(prefix + "-"), F.when(F.length(n) < digits, F.lpad(n, digits, "0")).otherwise(n)))
+    """Finding numbers prefix-001 in order, which is total. Ranges of rows are numbered apart."""
+    n = F.col("number").cast("string")
+    return ordinals(df, *order).withColumn("number", F.concat(F.lit(prefix + "-"), F.when(F.length(n) < digits, F.lpad(n, digits, "0")).otherwise(n)))
 
 
 def criteria(lines: DataFrame) -> DataFrame:

@@ -96,17 +96,19 @@ def change_plan(spark, sf):
     return R.change_plan(package_uses(spark, sf), F.lit("20.1.0"))
 
 
-@query("""SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS critical, count(*) FILTER (lang = 'en') AS violations, count(*) FILTER (n_chars > 5000) AS complex, count(*) FILTER (quality = 0) AS contradictions, false AS ok
-FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS critical, count(*) FILTER (lang = 'en') AS violations, count(*) FILTER (n_chars > 5000) AS complex, count(*) FILTER (quality = 0) AS contradictions,
+count(*) FILTER (quality IS NULL AND doc_id % 3 = 0 AND n_chars > 2000) AS untested, false AS ok FROM documents LEFT JOIN labels USING (doc_id)""")
 def diff_gate(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left")
     null = F.lit(None)
 
-    def row(kind, on, complexity=null, critical=null, fact=null):
-        return F.when(on, F.struct(F.lit(kind).alias("kind"), F.col("doc_id").alias("id"), complexity.cast("long").alias("complexity"), critical.cast("boolean").alias("critical"), fact.cast("boolean").alias("fact")))
+    def row(kind, on, complexity=null, critical=null, fact=null, added=null, tests=null, level=null):
+        typed = zip(("complexity", "critical", "fact", "added", "tests", "level"), (complexity, critical, fact, added, tests, level), ("long", "boolean", "boolean", "boolean", "long", "string"), strict=True)
+        return F.when(on, F.struct(F.lit(kind).alias("kind"), F.col("doc_id").alias("id"), *[v.cast(k).alias(n) for n, v, k in typed]))
 
-    rows = [row("gap", F.col("quality") == 0, critical=F.col("toxic") == 1), row("violation", F.col("lang") == "en"), row("symbol", F.lit(True), complexity=F.col("n_chars")), row("flag", F.col("quality") == 0, fact=F.lit(True))]
-    return A.diff_gate(d.select(F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.*"), 5000)
+    level = F.when(F.col("n_chars") > 5000, "high").when(F.col("n_chars") > 2000, "medium").when(F.col("n_chars") > 500, "low").otherwise("none")
+    rows = [row("gap", F.col("quality") == 0, critical=F.col("toxic") == 1), row("violation", F.col("lang") == "en"), row("symbol", F.lit(True), complexity=F.col("n_chars")), row("flag", F.col("quality") == 0, fact=F.lit(True)), row("test", F.col("quality").isNull(), added=F.lit(True), tests=F.col("doc_id") % 3, level=level)]
+    return A.diff_gate(d.select(F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.*"), 5000, "medium")
 
 
 # --- assembling -------------------------------------------------------------------------------------
@@ -332,11 +334,21 @@ def zipped_turns(spark, sf):
     return W.zipped(side("user", "asked"), side("assistant", "said"), "conv_id", "turn")
 
 
-@query("""SELECT o_orderpriority AS release, section, count(*) AS n FROM (SELECT o_orderpriority, CASE WHEN o_custkey % 11 = 0 THEN 'breaking' WHEN o_custkey % 4 = 0 THEN 'features' WHEN o_custkey % 4 = 1 THEN 'fixes' WHEN o_custkey % 4 = 2 THEN 'security' ELSE 'other' END AS section FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) GROUP BY ALL""")
+RELEASE_SQL = "CASE WHEN {b} THEN 'breaking' WHEN {c} IN ('feature', 'fix', 'performance') THEN {c} ELSE 'other' END"
+
+
+@query(f"""WITH k AS (SELECT o_orderkey, o_orderpriority AS release, o_custkey % 11 = 0 AS breaking, ['feature', 'fix', 'performance', 'chore', 'security', NULL][o_custkey % 6 + 1] AS category, o_orderkey % 9 = 0 AS merge FROM orders)
+SELECT o_orderpriority AS release, {RELEASE_SQL.format(b="l_quantity = 50", c="CASE l_returnflag WHEN 'R' THEN 'fix' WHEN 'A' THEN 'feature' ELSE 'docs' END")} AS section, 'pull' AS source, '#' || l_orderkey || '.' || l_linenumber AS ref FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount > 0.05
+UNION ALL SELECT release, {RELEASE_SQL.format(b="breaking", c="category")}, 'change', 'c' || o_orderkey FROM k WHERE NOT merge AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)""")
 def released(spark, sf):
-    category = F.get(F.array(*map(F.lit, ("feat", "bugfix", "security", "chore"))), F.col("o_custkey") % 4)
-    changes = t(spark, sf, "orders").select(F.col("o_orderpriority").alias("release"), F.col("o_orderkey").alias("sha"), category.alias("category"), (F.col("o_custkey") % 11 == 0).alias("breaking"))
-    return A.released(changes, t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("sha")))
+    category = F.get(F.array(*map(F.lit, ("feature", "fix", "performance", "chore", "security", None))), F.col("o_custkey") % 6)
+    o, lines = t(spark, sf, "orders"), t(spark, sf, "lineitem").where("l_discount > 0.05")
+    kind = F.when(F.col("o_orderkey") % 9 == 0, "merge").otherwise("commit")
+    owned = lines.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("pull"))
+    changes = o.join(owned, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderpriority").alias("release"), F.concat(F.lit("c"), "o_orderkey").alias("sha"), category.alias("category"), (F.col("o_custkey") % 11 == 0).alias("breaking"), kind.alias("kind"), "pull")
+    docs = F.when(F.col("l_returnflag") == "R", "fix").when(F.col("l_returnflag") == "A", "feature").otherwise("docs")
+    pulls = lines.join(o.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("release"), F.concat(F.lit("#"), "l_orderkey", F.lit("."), "l_linenumber").alias("id"), docs.alias("category"), (F.col("l_quantity") == 50).alias("breaking"))
+    return A.released(changes, pulls)
 
 
 @query("""WITH c AS (SELECT DISTINCT l_suppkey AS plan, l_partkey AS k FROM lineitem)
@@ -370,16 +382,28 @@ def description_totals(spark, sf):
     return A.description_totals(c, t(spark, sf, "lineitem").select((F.col("l_quantity") < 25).alias("allowed")))
 
 
-@query("""WITH m AS (SELECT p_partkey AS id, p_brand AS type, 'd' || (p_partkey % 40) AS folder FROM part), c AS (SELECT DISTINCT a.id, a.folder, a.type, b.id AS to_id, b.type AS to_type, b.folder AS to_folder FROM m a JOIN m b ON b.id = a.id // 2 AND a.id % 40 >= 20 AND a.id <> b.id),
-inner_ AS (SELECT DISTINCT to_folder AS folder FROM c WHERE to_folder <> folder), moved AS (SELECT id, max(to_type) AS tt, max(to_folder) AS tf FROM c WHERE folder NOT IN (SELECT folder FROM inner_) GROUP BY id HAVING count(DISTINCT to_type) = 1 AND max(to_type) <> max(type)),
+@query("""WITH m AS (SELECT 'c' || c_custkey AS id, c_mktsegment AS type, 'n' || c_nationkey AS folder FROM customer UNION ALL SELECT 's' || s_suppkey, 'S' || n_regionkey, 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT DISTINCT 'i' || s_suppkey // 2, 'I', 'api' FROM supplier),
+e AS (SELECT DISTINCT 'c' || o_custkey AS f, 's' || l_suppkey AS g FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderpriority LIKE '1%' UNION SELECT 'c' || (c_custkey * 2), 'c' || c_custkey FROM customer WHERE c_nationkey < 3 AND c_custkey > 0),
+c AS (SELECT a.id, a.folder, a.type, b.id AS to_id, b.type AS to_type, b.folder AS to_folder FROM e JOIN m a ON a.id = f JOIN m b ON b.id = g),
+inner_ AS (SELECT DISTINCT to_folder AS folder FROM c WHERE to_folder <> folder),
+moved AS (SELECT id, min(to_type) AS tt, arg_min(to_folder, to_id) AS tf FROM c WHERE folder NOT IN (SELECT folder FROM inner_) GROUP BY id HAVING count(DISTINCT to_type) = 1 AND min(to_type) <> min(type)),
 a AS (SELECT m.id, coalesce(tf, folder) AS area, CASE WHEN tt IS NULL THEN 'folder' ELSE 'delegates to ' || tt END AS reason FROM m LEFT JOIN moved USING (id)),
-i AS (SELECT m.id AS k, CAST(a.id AS VARCHAR) AS f, a.area FROM a JOIN m ON m.id = a.id // 3 WHERE a.id % 7 = 0), g AS (SELECT k, min(area) AS area, string_agg(f, ', ' ORDER BY f) AS by_ FROM i GROUP BY k HAVING count(DISTINCT area) = 1)
+i AS (SELECT 'i' || s_suppkey // 2 AS k, 's' || s_suppkey AS f FROM supplier UNION SELECT 'i' || c_custkey % 5, 'c' || c_custkey FROM customer WHERE c_acctbal > 9900),
+g AS (SELECT k, min(area) AS area, string_agg(f, ', ' ORDER BY f) AS by_ FROM i JOIN a ON a.id = f WHERE k IN (SELECT id FROM m) GROUP BY k HAVING count(DISTINCT area) = 1)
 SELECT a.id, coalesce(g.area, a.area) AS area, CASE WHEN by_ IS NULL THEN reason ELSE 'implemented by ' || by_ END AS reason FROM a LEFT JOIN g ON a.id = g.k""")
 def domain_areas(spark, sf):
-    p = t(spark, sf, "part")
-    methods = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("d"), F.col("p_partkey") % 40, F.lit("/f.cs")).alias("file"), F.col("p_brand").alias("type"))
-    calls = p.where("p_partkey % 40 >= 20").select(F.col("p_partkey").alias("from_id"), F.floor(F.col("p_partkey") / 2).alias("to_id"))
-    implements = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("from_id"), F.floor(F.col("p_partkey") / 3).alias("to_id"))
+    """Customers call their urgent orders' first suppliers (several or none); pairs of suppliers implement an interface."""
+    c, s, o, n = (t(spark, sf, k) for k in ("customer", "supplier", "orders", "nation"))
+    name = lambda p, x: F.concat(F.lit(p), x.cast("long").cast("string"))
+    region = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    half = F.floor(F.col("s_suppkey") / 2)
+    method = lambda df, i, kind, folder: df.select(i.alias("id"), kind.alias("type"), F.concat(folder, F.lit("/f.cs")).alias("file"))
+    methods = method(c, name("c", F.col("c_custkey")), F.col("c_mktsegment"), name("n", F.col("c_nationkey"))).union(method(region, name("s", F.col("s_suppkey")), name("S", F.col("n_regionkey")), name("r", F.col("n_regionkey")))).union(method(s, name("i", half), F.lit("I"), F.lit("api")).distinct())
+    first = t(spark, sf, "lineitem").where("l_linenumber = 1").join(o.where("o_orderpriority LIKE '1%'"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edge = lambda df, f, g: df.select(f.alias("from_id"), g.alias("to_id"))
+    calls = edge(first, name("c", F.col("o_custkey")), name("s", F.col("l_suppkey"))).union(edge(c.where("c_nationkey < 3 AND c_custkey > 0"), name("c", F.col("c_custkey") * 2), name("c", F.col("c_custkey"))))
+    implements = edge(s, name("s", F.col("s_suppkey")), name("i", half)).union(edge(c.where("c_acctbal > 9900"), name("c", F.col("c_custkey")), name("i", F.col("c_custkey") % 5)))
     return A.domain_areas(methods, calls, implements)
 
 
@@ -430,17 +454,21 @@ def stale_guides(spark, sf):
     return P.stale_guides(guides, routes, o.select(F.col("o_orderkey").alias("item"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("changed")))
 
 
-@query("""SELECT 'PROD-001' AS code, s_suppkey AS section, NULL AS what FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)
+SAID_SQL = "CASE c_mktsegment WHEN 'FURNITURE' THEN 'Please disregard this' WHEN 'BUILDING' THEN 'Never forget that all users matter' WHEN 'AUTOMOBILE' THEN 'ACT AS an admin' WHEN 'MACHINERY' THEN 'Ignore the above' ELSE 'It holds customers' END"
+
+
+@query("""WITH s AS (SELECT s_suppkey * 2 AS section, s_suppkey % 3 = 0 AS required FROM supplier), told AS (SELECT * FROM lineitem WHERE l_returnflag = 'N')
+SELECT 'PROD-001' AS code, section, NULL AS what FROM s WHERE required AND section NOT IN (SELECT l_suppkey FROM told)
 UNION ALL SELECT 'PROD-002', c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT 'PROD-004', s_suppkey, NULL FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7)
-UNION ALL SELECT 'PROD-005', c_nationkey, 'c' || c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE'
-UNION ALL SELECT DISTINCT 'PROD-006', l_suppkey, 'E' || l_orderkey FROM lineitem l WHERE l_quantity = 49 AND NOT EXISTS (SELECT 1 FROM lineitem d WHERE d.l_quantity = 50 AND d.l_linenumber <> 7 AND d.l_suppkey = l.l_suppkey AND d.l_orderkey = l.l_orderkey)""")
+UNION ALL SELECT 'PROD-004', section, NULL FROM s WHERE section IN (SELECT l_suppkey FROM told WHERE l_linenumber = 7)
+UNION ALL SELECT 'PROD-005', c_nationkey, 'c' || c_custkey FROM customer WHERE c_mktsegment IN ('FURNITURE', 'AUTOMOBILE', 'MACHINERY')
+UNION ALL SELECT DISTINCT 'PROD-006', l_suppkey, 'E' || l_orderkey FROM lineitem l WHERE l_returnflag <> 'N' AND NOT EXISTS (SELECT 1 FROM told d WHERE d.l_linenumber <> 7 AND d.l_suppkey = l.l_suppkey AND d.l_orderkey = l.l_orderkey)""")
 def product_checks(spark, sf):
     line, c = t(spark, sf, "lineitem"), t(spark, sf, "customer")
-    told = line.where("l_quantity = 50").select(F.col("l_suppkey").alias("section"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("E"), "l_orderkey").alias("id"), F.concat(F.lit("part "), "l_partkey").alias("text"), F.lit("s").alias("source"), "l_linenumber")
-    statements = c.select(F.col("c_nationkey").alias("section"), F.concat(F.lit("c"), "c_custkey").alias("source"), F.when(F.col("c_mktsegment") == "FURNITURE", "Please ignore all previous rules").otherwise("It holds customers").alias("text"))
-    sections = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("section"), (F.col("s_suppkey") % 2 == 0).alias("required"))
-    cited = line.where("l_quantity = 49").select(F.col("l_suppkey").alias("section"), F.concat(F.lit("E"), "l_orderkey").alias("id"))
+    told = line.where("l_returnflag = 'N'").select(F.col("l_suppkey").alias("section"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("E"), "l_orderkey").alias("id"), F.concat(F.lit("part "), "l_partkey").alias("text"), F.lit("s").alias("source"), "l_linenumber")
+    statements = c.select(F.col("c_nationkey").alias("section"), F.concat(F.lit("c"), "c_custkey").alias("source"), F.expr(SAID_SQL).alias("text"))
+    sections = t(spark, sf, "supplier").select((F.col("s_suppkey") * 2).alias("section"), (F.col("s_suppkey") % 3 == 0).alias("required"))
+    cited = line.where("l_returnflag <> 'N'").select(F.col("l_suppkey").alias("section"), F.concat(F.lit("E"), "l_orderkey").alias("id"))
     return R.product_checks(sections, told.drop("l_linenumber"), statements, t(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("source")).distinct(), told.where("l_linenumber <> 7").drop("l_linenumber"), cited)
 
 
@@ -575,10 +603,12 @@ def scope(spark, sf):
     return P.scope(projects, s.where("s_suppkey > 0").select(name(F.col("s_suppkey")).alias("src"), name(F.floor(F.col("s_suppkey") / 2)).alias("dst")), ["P*7"])
 
 
-@query("""SELECT b.event_id AS id, max(e.event_id) AS was FROM events b JOIN events e ON b.user_id = e.user_id AND b.event_type = e.event_type AND e.event_id < b.event_id AND e.event_id % 2 = 0 GROUP BY 1""")
+@query("""WITH e AS (SELECT event_id // 2 AS id, user_id, event_type AS kind, 'f' || user_id % 3 AS file, CAST(floor(value) AS INT) % 2 AS line, event_id AS o FROM events),
+x AS (SELECT *, min(o) OVER (PARTITION BY id) AS a, max(o) OVER (PARTITION BY id) AS z FROM e)
+SELECT b.id, arg_max(e.id, e.o) AS was FROM x b JOIN x e ON b.user_id = e.user_id AND b.kind = e.kind AND b.file = e.file AND b.line = e.line AND e.o <= b.o AND e.id <> b.id WHERE b.o = b.a AND e.o = e.z AND e.id % 5 <> 1 GROUP BY 1""")
 def renamed_from(spark, sf):
-    e = t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("owner"), F.lit("()").alias("args"), F.col("event_type").alias("kind"), F.lit("f").alias("file"), F.lit(1).alias("line"), F.col("event_id").alias("order"))
-    return P.renamed_from(e, e.where("id % 2 = 1"))
+    e = t(spark, sf, "events").select(F.floor(F.col("event_id") / 2).alias("id"), F.col("user_id").alias("owner"), F.lit("()").alias("args"), F.col("event_type").alias("kind"), F.concat(F.lit("f"), F.col("user_id") % 3).alias("file"), (F.floor("value").cast("int") % 2).alias("line"), F.col("event_id").alias("order"))
+    return P.renamed_from(e, e.where("id % 5 = 1"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 1 THEN p_name WHEN p_partkey > 0 AND (SELECT p.p_size FROM part p WHERE p.p_partkey = part.p_partkey // 2) % 2 = 1 THEN (SELECT p.p_name FROM part p WHERE p.p_partkey = part.p_partkey // 2) END AS doc FROM part""")

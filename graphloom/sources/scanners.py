@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import ordinals
+
 SQL_NAME = r"((?:\[[^\]]+\]|\"[^\"]+\"|[\w$]+)(?:\s*\.\s*(?:\[[^\]]+\]|\"[^\"]+\"|[\w$]+))*)"
 
 
@@ -38,11 +40,9 @@ def sql_references(objects: DataFrame) -> DataFrame:
 
 def migrations(files: DataFrame) -> DataFrame:
     """(file, version, ord): files in a migrations folder or named V1__x.sql, in order of their names without case."""
-    from pyspark.sql import Window
-
     name = F.element_at(F.split("file", "/"), -1)
     rows = files.where(F.col("file").rlike(r"(?i)/migrations?/") | name.rlike(r"^V[0-9._]+__")).withColumn("version", F.regexp_extract(name, r"^V?([0-9][0-9._]*)", 1))
-    return rows.select("file", "version", F.row_number().over(Window.orderBy(F.lower(name), "file")).alias("ord"))
+    return ordinals(rows.withColumn("_name", F.lower(name)), "_name", "file").select("file", "version", F.col("number").alias("ord"))
 
 
 def properties(files: DataFrame) -> DataFrame:

@@ -115,7 +115,6 @@ def test_graph(spark):
     assert rows(trace, "start", "node", "depth") == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 1), ("d", "d", 0), ("d", "e", 1)]
     assert rows(G.effects_closure(flow, spark.createDataFrame([("e", "db")], "node string, effect string"))) == [(x, "db") for x in "abcde"]
     assert G.layer_via({"ui": ["app"], "app": ["data"]}, "ui", "data") == "app"
-    assert G.simple_paths({"a": ["b", "c"], "b": ["a"]}, ["a"]) == [["a", "b"], ["a", "c"]]
 
 
 def test_aggregates(spark):
