@@ -55,5 +55,5 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     return unpacked(
         joined,
         docs.columns,
-        {"text": kept, "n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")},
+        {"text": kept, "n_lines": n.cast("long"), "n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")},
     )

@@ -1,9 +1,9 @@
 """Personal data: base patterns, and further spans by weak supervision.
 
 Base spans are regular expressions with checks. Candidates for further spans come from wider patterns.
-Labelers vote (-1, 0, 1) on every span: the regex labeler on its form, the gazetteer labeler on cue words
-around it, context labelers on what precedes it, on its characters and on its edges. The votes' patterns
-are counted over all documents; expectation-maximisation (two latent classes, labelers independent given
+Labelers vote (-1, 0, 1) on every span: the regex labeler on its form, check digits and ranges; the gazetteer labeler on
+its tokens, by tables of names, countries, issuers and prefixes; context labelers on cue words around it and what
+precedes it, on its characters and on its edges. The votes' patterns are counted over all documents; expectation-maximisation (two latent classes, labelers independent given
 the class) estimates each labeler's reliability from the counts, and a logistic span classifier is trained
 on the resulting class probabilities, over votes, kind and length. Its weights become a column expression.
 
@@ -44,9 +44,22 @@ HOLDS = {
 }
 WITH_DIGITS = ("phone", "ip", "card", "ssn", "iban")
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "name")
-#: Cue words of the gazetteer, and words before numbers that are not personal.
+#: Cue words of the context labeler, and words before numbers that are not personal.
 CUES = r"(?i)mail|phone|tel|mobil|call|fax|card|karte|carte|tarjeta|visa|konto|account|iban|ssn|social|token|secret|passw|key|contact|kontakt|addr|\bip\b|host|server|mr|mrs|dr|herr|frau"
-AGAINST = r"(?i)(?:version|vers|v|no|nr|num|page|seite|fig|isbn|issn|doi|section|chapter|id|release|license)[.:#]?\x20?$"
+AGAINST = r"(?i)\b(?:version|vers|v|no|nr|num|page|seite|fig|isbn|issn|doi|section|chapter|id|release|license)[.:#]?\x20?$"
+#: Fixed values, the gazetteer's tables: given and family names, IBAN lengths by country, domains, what secrets and cards begin with, calling codes.
+NAMES = """alice ana andrea anna antoine ben bob carlos carmen charles christian claire daniel david elena emma erik eva felix fatima francois
+frank george hannah hans helen ines isabel jack james jan jean jennifer joe john jose juan julia karl kate laura lea leon linda lisa louis lucas
+luis maria marie mark marta martin mary max mia michael miguel mohammed nina noah nora olga oliver omar oscar paul pedro peter philipp pierre rosa
+ruth sam sara sofia sophie stefan susan theo thomas tim tom victor wei yan yuki
+brown clark davis dubois durand evans fischer garcia gomez green gonzalez hall harris hernandez hill hoffmann jackson johnson jones keller khan
+klein kumar lee lefebvre lewis lopez martinez meyer miller moore moreau muller nguyen patel perez richter roberts robinson rodriguez roux ruiz
+sanchez schmidt schneider schulz scott silva simon singh smith taylor torres walker wang weber white williams wilson wolf wood wright young zhang""".split()
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
+DOMAINS = r"(?i)[.\x20)\]}](?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at)$"
+SECRETS = r"^(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abp]|AKIA|ASIA|AIza|ya29|eyJ)"
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[4-9]|6(?:011|4[4-9]|5))"
+CALLING = r"^\+(?:1|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 LABELERS = ("regex", "gazetteer", "context", "shape", "edges")
 #: Least probability of a further span.
 ADDED_AT = 0.9
@@ -108,6 +121,17 @@ def luhn(m: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
+def mod_97(iban: Column) -> Column:
+    """Whether an account number without spaces passes its check: read from the fifth place on, letters as two digits."""
+    turned = F.concat(F.substring(iban, 5, 40), F.left(iban, F.lit(4)))
+
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (a * 100 + code - 55) % 97).otherwise((a * 10 + code - 48) % 97)
+
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
+
+
 def valid(kind: str, m: Column) -> Column:
     """Whether a match of a base pattern passes its check."""
     if kind == "ip":
@@ -141,23 +165,35 @@ def candidates(t: Column) -> Column:
 def votes(x: Column) -> list[Column]:
     """The labelers' votes on a span with kind, m and before."""
     m, before, kind = x["m"], x["before"], x["kind"]
+    yes = lambda c, a, b: F.when(c, F.lit(a)).otherwise(F.lit(b))
     n = F.length(digits(m))
+    plain = F.regexp_replace(m, " ", "")
     form = (
-        F.when(kind == "card", n.between(13, 19) & luhn(m))
-        .when(kind == "phone", n.between(9, 15))
-        .when(kind == "secret", m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) >= 20))
-        .when(kind == "ssn", ~m.rlike("^(?:000|666|9)"))
-        .when(kind == "iban", F.length(F.regexp_replace(m, " ", "")).between(15, 34))
-        .when(kind == "name", m.rlike(r"\x20[A-Z][a-z]+\x20[A-Z]"))
-        .otherwise(True)
+        F.when(kind == "card", yes(n.between(13, 19) & luhn(m), 1, -1))
+        .when(kind == "phone", yes(n.between(9, 15), 1, -1))
+        .when(kind == "secret", yes(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) >= 20), 1, -1))
+        .when(kind == "ssn", yes(m.rlike("^(?:000|666|9)|-00-|-0000$"), -1, 1))
+        .when(kind == "iban", F.when(mod_97(plain), 1).otherwise(yes(F.length(plain).between(15, 34), 0, -1)))
+        .when(kind == "name", yes(m.rlike(r"\x20[A-Z][a-z]+\x20[A-Z]"), 1, 0))
+        .otherwise(1)
+    )
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    tokens = F.transform(F.split(m, "[^A-Za-z]+"), F.lower)
+    table = (
+        F.when(kind == "name", yes(F.exists(tokens, lambda x: x.isin(*NAMES)), 1, 0))
+        .when(kind == "iban", yes(F.coalesce(F.try_element_at(lengths, F.left(plain, F.lit(2))) == F.length(plain), F.lit(False)), 1, 0))
+        .when(kind == "email", yes(m.rlike(DOMAINS), 1, 0))
+        .when(kind == "secret", yes(m.rlike(SECRETS), 1, 0))
+        .when(kind == "card", yes(digits(m).rlike(ISSUERS), 1, -1))
+        .when(kind == "phone", yes(m.rlike(CALLING), 1, 0))
+        .otherwise(0)
     )
     kinds_of_chars = F.size(F.array_distinct(F.split(F.substring(m, 1, 64), "")))
-    yes = lambda c, a, b: F.when(c, F.lit(a)).otherwise(F.lit(b))
     return [
-        yes(form, 1, -1),
-        yes(before.rlike(CUES) | m.rlike(CUES), 1, 0),
-        F.when(before.rlike(AGAINST), -1).when(before.rlike(r"[=:]\x20?\"?$"), 1).otherwise(0),
-        yes(kinds_of_chars >= 6, 1, -1),
+        form,
+        table,
+        F.when(before.rlike(AGAINST), -1).when(before.rlike(CUES) | m.rlike(CUES) | before.rlike(r"[=:]\x20?\"?$"), 1).otherwise(0),
+        yes(kinds_of_chars >= F.when(kind == "ssn", 4).otherwise(6), 1, -1),
         yes(before.rlike(r"(?:^|[\s\"'(<])$"), 1, -1),
     ]
 
@@ -173,15 +209,24 @@ def described(t: Column) -> Column:
     return F.transform(F.concat(mark(base, True), mark(candidates(t), False)), lambda x: F.struct(x["kind"].alias("kind"), x["base"].alias("base"), x["s"].alias("s"), x["e"].alias("e"), *[v.alias(n) for n, v in zip(LABELERS, votes(x), strict=True)], length_class(x["m"]).alias("size")))
 
 
+#: What a labeler's vote counts for at the start of the estimation: a word against a span the most, its characters and edges the least.
+TRUST = {"regex": 1.5, "gazetteer": 1.0, "context": 1.0, "shape": 0.5, "edges": 0.5}
+AGAINST_TRUST = 3.5
+#: What is expected of a labeler's votes before any are seen, by class, and with what share of the spans' weight.
+EXPECTED = {(1, -1): 0.01, (1, 0): 0.495, (1, 1): 0.495, (0, -1): 0.5, (0, 0): 0.25, (0, 1): 0.25}
+EXPECTED_SHARE = {"regex": 0.3, "gazetteer": 0.3, "context": 2.0, "shape": 0.3, "edges": 0.3}
+
+
 def expect(rows: list[tuple], steps: int = 40) -> list[float]:
     """The probability that each vote pattern (kind, size, votes..., count) is personal data, by EM."""
-    p = [min(0.95, max(0.05, 0.5 + 0.15 * sum(r[2:7]))) for r in rows]
+    start = lambda r: sum(AGAINST_TRUST * v if n == "context" and v < 0 else TRUST[n] * v for n, v in zip(LABELERS, r[2:7], strict=True))
+    p = [1 / (1 + math.exp(-start(r))) for r in rows]
     for _ in range(steps):
         total = sum(r[-1] for r in rows)
         share = (sum(q * r[-1] for q, r in zip(p, rows, strict=True)) + 1) / (total + 2)
         rate: list[dict] = []
         for k in range(2, 7):
-            n = {(c, v): 1.0 for c in (0, 1) for v in (-1, 0, 1)}
+            n = {key: 1 + EXPECTED_SHARE[LABELERS[k - 2]] * total * x for key, x in EXPECTED.items()}
             for q, r in zip(p, rows, strict=True):
                 n[1, r[k]] += q * r[-1]
                 n[0, r[k]] += (1 - q) * r[-1]
@@ -237,8 +282,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     short = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(rank(x).alias("r"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     df = base.withColumn("all", described(F.col("t"))).select("row", "all")
     own = F.filter("all", lambda x: x["base"])
-    # what follows a word such as "version" isn't added, however well it is formed
-    added = F.filter("all", lambda x: ~x["base"] & (x["context"] >= 0) & (score(x) >= math.log(ADDED_AT / (1 - ADDED_AT))) & ~F.exists(own, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    # a further span may hold a base one (an account number whose digits pass for a card), not cross it or lie in it
+    added = F.filter("all", lambda x: ~x["base"] & (score(x) >= math.log(ADDED_AT / (1 - ADDED_AT))) & ~F.exists(own, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]) & ~((x["s"] <= b["s"]) & (b["e"] <= x["e"]) & (x["e"] - x["s"] > b["e"] - b["s"]))))
     return unpacked(df, docs.columns, {"base": short(own), "spans": short(F.concat(own, added))})
 
 
