@@ -11,10 +11,12 @@
 4. The draws of a source come in runs of RUN. How many of a run fall on each output shard is drawn by binomial
    splitting: a node of n draws sends Binomial(n, 1/2) of them, the set bits of hashes, to its left half. So
    a shard's source counts are multinomial, under the condition that the sources' totals meet their targets.
-5. Draw n of a source is a slot of the shard whose count it falls in; it takes block perm(n mod blocks), perm a
-   pseudorandom permutation of the source's block indices (swap-or-not: exact on any number of indices), keyed by
-   seed, shards, source and pass. So a block is taken at most ceil(draws / blocks) <= 2 times.
-6. Draws join documents by block index. No Python runs here.
+5. Whole passes take every block once, so their counts say only which shard a block goes to. In the last, partial pass
+   they say which blocks are taken: a shard's counted number of blocks from its own class of block indices, what is
+   beyond a class from the next shards with room. No block is taken more than ceil(draws / blocks) <= 2 times.
+6. Slots become block indices by pseudorandom permutations (swap-or-not: exact on any number of indices), one per
+   source and pass, and one per source and shard in the partial pass.
+7. Draws join documents by block index. No Python runs here.
 
 The seed is fixed, so reruns agree; another seed or number of shards is another draw.
 """
@@ -100,25 +102,59 @@ def permuted(x: Column, n: Column, key: list[Column]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, one)
 
 
+def run_counts(t: DataFrame, n: str, shards: int, seed: int, part: str) -> DataFrame:
+    """A row per run of RUN of a source's n draws: sk, skh, blocks, run and counts (how many of its draws fall on each shard)."""
+    t = t.where(F.col(n) > 0)
+    # a row per 16 runs, dealt out before it becomes runs
+    rows = t.select("sk", "skh", "blocks", F.col(n).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / (RUN * 16)))).alias("r"))
+    rows = rows.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sk", "r")
+    last = F.floor((F.col("n") - 1) / RUN)
+    runs = rows.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.col("r") * 16, F.least(F.col("r") * 16 + 15, last))).alias("run"))
+    return runs.withColumn("counts", shard_counts(F.least(F.col("n") - F.col("run") * RUN, F.lit(RUN)), shards, F.lit(seed), F.lit(part), F.col("skh"), F.col("run")))
+
+
+def shard_shares(runs: DataFrame, shards: int) -> DataFrame:
+    """How many blocks each shard takes in the last, partial pass: sk, skh, blocks, shard, take and before (taken by the shards before).
+
+    A shard takes from the blocks of its own class: those whose index leaves its number when divided by shards. It
+    takes as many as the multinomial counts say, at most all; what is beyond goes to the next shards that have room.
+    """
+    c = runs.select("sk", "skh", "blocks", F.posexplode("counts").alias("shard", "k")).groupBy("sk", "skh", "blocks", "shard").agg(F.sum("k").alias("c"))
+    c = c.withColumn("size", F.floor((F.col("blocks") - F.col("shard") + (shards - 1)) / shards)).withColumn("own", F.least("c", "size"))
+    mine = Window.partitionBy("sk")
+    lead = mine.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.col("size") - F.col("own")
+    over = F.sum(F.col("c") - F.col("own")).over(mine) - F.coalesce(F.sum(free).over(lead), F.lit(0))
+    c = c.withColumn("take", F.col("own") + F.greatest(F.least(over, free), F.lit(0)))
+    return c.withColumn("before", F.coalesce(F.sum("take").over(lead), F.lit(0))).where("take > 0").select("sk", "skh", "blocks", "shard", "size", "take", "before")
+
+
 def draws(targets: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
-    """One row per drawn block: sk, shard, slot (its place among the source's draws) and block. shards is a power of two."""
+    """One row per drawn block: sk, shard, slot (its place among the source's draws) and block. shards is a power of two.
+
+    Of a source's draws, whole passes take every block; their slots go through one permutation a pass. In the last,
+    partial pass each shard takes its counted number of blocks of its class, through a permutation of its own.
+    """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     b = F.ceil(F.col("source_size") / block_words)
     t = targets.where("source_size > 0").withColumn("blocks", b).withColumn("n", F.least(F.round(F.col("target") * b / F.col("source_size")).cast("long"), b * 2))
-    t = t.where("n > 0").withColumn("skh", F.xxhash64("sk"))
-    # a row per 16 runs, dealt out before it becomes runs
-    rows = t.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (RUN * 16)))).alias("r"))
-    rows = rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sk", "r")
-    last = F.floor((F.col("n") - 1) / RUN)
-    runs = rows.select("sk", "skh", "blocks", "n", F.explode(F.sequence(F.col("r") * 16, F.least(F.col("r") * 16 + 15, last))).alias("run"))
-    first = F.col("run") * RUN
-    runs = runs.withColumn("counts", shard_counts(F.least(F.col("n") - first, F.lit(RUN)), shards, F.lit(seed), F.col("skh"), F.col("run")))
-    slots = runs.select("sk", "skh", "blocks", first.alias("slot"), F.posexplode("counts").alias("shard", "k"), "counts").where("k > 0")
+    t = t.where("n > 0").withColumn("skh", F.xxhash64("sk")).withColumn("passes", F.floor(F.col("n") / F.col("blocks")))
+    t = t.withColumn("whole", F.col("passes") * F.col("blocks")).withColumn("rest", F.col("n") - F.col("whole"))
+    t = materialize(t.select("sk", "skh", "blocks", "passes", "whole", "rest"))
+    runs = run_counts(t, "whole", shards, seed, "whole")
+    slots = runs.select("sk", "skh", "blocks", (F.col("run") * RUN).alias("slot"), F.posexplode("counts").alias("shard", "k"), "counts").where("k > 0")
     before = F.aggregate(F.slice("counts", F.lit(1), F.col("shard")), F.lit(0), lambda a, x: a + x)
     slots = slots.select("sk", "skh", "blocks", "shard", F.explode(F.sequence(F.col("slot") + before, F.col("slot") + before + F.col("k") - 1)).alias("slot"))
     key = [F.lit(seed), F.lit(shards), F.col("skh"), F.floor(F.col("slot") / F.col("blocks"))]
-    return slots.select("sk", "shard", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), key).alias("block"))
+    every = slots.select("sk", "shard", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), key).alias("block"))
+    shares = shard_shares(run_counts(t, "rest", shards, seed, "rest"), shards).join(F.broadcast(t.select("sk", "whole")), "sk")  # one row per source
+    parts = shares.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1) / RUN))))
+    parts = parts.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sk", "shard", "chunk")
+    parts = parts.withColumn("k", F.explode(F.sequence(F.col("chunk") * RUN, F.least(F.col("chunk") * RUN + (RUN - 1), F.col("take") - 1))))
+    own = permuted(F.col("k"), F.col("size"), [F.lit(seed), F.col("skh"), F.col("shard")])
+    last = parts.select("sk", "shard", (F.col("whole") + F.col("before") + F.col("k")).alias("slot"), (F.col("shard") + own * shards).alias("block"))
+    return every.unionByName(last)
 
 
 def block_words_of(base: DataFrame, block_words: int) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operators on whole texts against plain Python."""
 
+import math
 import random
 import re
 import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import line_crf, line_dedup, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup
@@ -299,12 +301,95 @@ def test_draws_are_multinomial_and_permuted(spark):
         mixing.draws(t, 32, 12, 20)
 
 
+def spark_hash(*xs):
+    """Spark's xxhash64 of strings, 8-byte and (as a tuple) 4-byte integers; null leaves the hash as it is."""
+    h = 42
+    for x in xs:
+        if x is not None:
+            h = xxhash.xxh64(x.encode() if isinstance(x, str) else struct.pack("<i", x[0]) if isinstance(x, tuple) else struct.pack("<q", x), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_counts(n, shards, *key):
+    nodes = [(0, n)]
+    for level in range(shards.bit_length() - 1):
+        half, out = shards >> (level + 1), []
+        for at, m in nodes:
+            left = sum(bin(spark_hash(*key, (level,), (at,), (i,)) & 0xFFFFFFFF & ((1 << min(m - 32 * i, 32)) - 1)).count("1") for i in range((m + 31) // 32))
+            out += [(at, left), (at + half, m - left)]
+        nodes = out
+    return [m for _, m in nodes]
+
+
+def brute_perm(x, n, *key):
+    for r in range(1, mixing.ROUNDS + 1):
+        other = (spark_hash(*key, (r,)) % n - x) % n
+        if spark_hash(*key, (r,), max(x, other)) % 2 == 0:
+            x = other
+    return x
+
+
+def brute_taken(rows, block_words, shards, seed=20, counts=brute_counts):
+    """doc_id and taken of each row, block by block."""
+    sources, out = {}, []
+    for r in rows:
+        sources.setdefault(r[3], []).append((spark_hash(r[0], spark_hash(r[1])) % mixing.PARTS, r[0] is not None, r[0] or 0, spark_hash(r[1]), len(D.WORD.findall(r[1] or "")), r[0]))
+    goal = brute_targets({s: sum(x[4] for x in v) for s, v in sources.items()})
+    for s, docs in sources.items():
+        size = sum(x[4] for x in docs)
+        if not size:
+            out += [(x[5], 0) for x in docs]
+            continue
+        blocks = -(-size // block_words)
+        n = min(math.floor(goal[s] * blocks / size + 0.5), 2 * blocks)
+        times, rest, skh = [n // blocks] * blocks, n % blocks, spark_hash("n" if s is None else "s" + s)
+        by_shard = [0] * shards
+        for run in range(-(-rest // mixing.RUN)):
+            by_shard = [a + b for a, b in zip(by_shard, counts(min(rest - run * mixing.RUN, mixing.RUN), shards, (seed,), "rest", skh, run), strict=True)]
+        classes = [(blocks - j + shards - 1) // shards for j in range(shards)]
+        take = [min(c, k) for c, k in zip(by_shard, classes, strict=True)]
+        over = rest - sum(take)
+        for j in range(shards):
+            more = min(over, classes[j] - take[j])
+            take[j], over = take[j] + more, over - more
+            for k in range(take[j]):
+                times[j + shards * brute_perm(k, classes[j], (seed,), skh, (j,))] += 1
+        at = 0
+        for x in sorted(docs):
+            out.append((x[5], sum(times[w // block_words] for w in range(at, at + x[4]))))
+            at += x[4]
+    return out
+
+
+def test_taken_equals_brute_force(docs, rows):
+    key = lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t)
+    for block_words, shards in ((8, 64), (3, 4), (50, 1)):
+        got = D.as_rows(mixing.mix_plan(docs, block_words=block_words, shards=shards), "doc_id", "taken")
+        assert got == sorted(brute_taken(rows, block_words, shards), key=key)
+
+
+def test_counts_decide_what_is_taken(docs, monkeypatch):
+    """All draws on one shard take other blocks, and as many; a source capped at two passes takes all all the same."""
+    plan = lambda: {(g.source, g.doc_id, g.size): g for g in mixing.mix_plan(docs.dropDuplicates(["doc_id"]), block_words=8, shards=16).collect()}
+    was = plan()
+    monkeypatch.setattr(mixing, "shard_counts", lambda n, shards, *key: F.concat(F.array(n.cast("int")), F.array_repeat(F.lit(0), shards - 1)))
+    now = plan()
+    assert sum(was[k].taken != now[k].taken for k in was) > 5
+    for s in {k[0] for k in was}:
+        a, b = (sum(g.taken for k, g in x.items() if k[0] == s) for x in (was, now))
+        assert abs(a - b) <= 16
+
+
 def test_mixed_blocks(docs, rows, none):
     """Every drawn block holds whole words of its source, and a document's words come as often as the plan takes them."""
     got = mixing.mixed_blocks(docs, block_words=8, shards=4).collect()
     assert {g.shard for g in got} == {0, 1, 2, 3} and all(0 < len(g.text.split(" ")) <= 8 for g in got if "\x00" not in g.text)
     plan = mixing.mix_plan(docs.dropDuplicates(["doc_id", "text"]), block_words=8, shards=4).collect()
     whole = mixing.mixed_blocks(docs.dropDuplicates(["doc_id", "text"]), block_words=8, shards=4).collect()
+    for s in {r.source for r in plan}:
+        assert sum(len(D.WORD.findall(g.text)) for g in whole if g.source == s) == sum(r.taken for r in plan if r.source == s)
+    # repeated rows are documents of their own, one after the other: with them too, words come as often as planned
+    plan, whole = mixing.mix_plan(docs, block_words=8, shards=4).collect(), got
     for s in {r.source for r in plan}:
         assert sum(len(D.WORD.findall(g.text)) for g in whole if g.source == s) == sum(r.taken for r in plan if r.source == s)
     assert mixing.mixed_blocks(none).count() == 0
