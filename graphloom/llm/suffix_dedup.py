@@ -8,9 +8,9 @@ blocks of about BLOCK_BYTES by a hash of doc_id, and most suffixes are settled b
            document is unique: such a bucket is final, as in any bucket sort.
   round 2  A run of windows with one anchor is a span (76 bytes at most). A span that a smaller document also has goes
            whole; of each distinct span only the least document remains, where its bucket holds several spans.
-  round 3  The suffixes in what remains are sorted within their block by bucket-pointer refinement: buckets of 8
-           bytes, refined by sorting on the pair of a suffix's own bucket and the bucket at the later offset that
-           its depth reaches, each time with the buckets that the step before has refined (8, 16, 32, 50). Each
+  round 3  The suffixes in what remains are sorted within their block by bucket-pointer refinement: from buckets of 8
+           bytes on, unfinished buckets alone are split by the bucket pointers at the later offset that their depth
+           reaches, from a stack, each time with the pointers that the splits before have refined. Each
            bucket of depth 50 then takes one name, a 64-bit hash of its string, and meets the other blocks'.
 
 In a round a block sends a key once, whatever number of its documents have it, and gets one bit for it; so a
@@ -35,6 +35,8 @@ from .shingles import U, mix, utf8
 Q, BLOCK_BYTES, PART_BYTES = 24, 5_000_000, 20_000_000
 #: Depth of the first buckets in the blocks' suffix sort.
 SHORT_Q = 8
+#: Suffixes that are refined at once, a batch of the stack.
+BATCH = 1 << 16
 #: Window starts that are handled at once.
 STRETCH = 1 << 19
 #: Kinds of keys: anchors' buckets, spans, the spans' buckets, windows.
@@ -59,33 +61,67 @@ def _name(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return mix(mix(_q_bucket(data, at), _q_bucket(data, at + min(Q, length - Q))), far)
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    """The rank of each key among the distinct ones, in sorted order."""
-    order = np.argsort(keys, kind="stable")
-    new = np.zeros(len(keys), np.uint64)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    out = np.empty(len(keys), np.uint64)
-    out[order] = np.cumsum(new)
-    return out
-
-
 def suffix_buckets(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """The rank of the suffix at each start among all, told apart to the given depth, by bucket-pointer refinement.
 
-    text holds depth bytes from each start. A bucket's rank follows the byte order of its strings.
+    text holds depth bytes from each start. Every suffix points to its bucket, by the place of the bucket's first suffix in
+    the sorted order; a bucket knows to what depth its suffixes agree. Buckets of several suffixes that agree to less than
+    depth are unfinished and wait on a stack. One batch of them at a time is sorted on the pointers at the later offsets
+    that the buckets' depths reach, and split; the new pointers are written at once, so that what is refined next reads
+    them, and with them the depth that they have reached by then. What is still unfinished goes back on the stack.
+    Buckets of one suffix, and finished ones, are never sorted again. Ranks follow the byte order of the strings.
     """
-    reach = SHORT_Q
-    padded = np.append(text, np.zeros(depth + SHORT_Q, np.uint8))
-    first = np.lib.stride_tricks.sliding_window_view(padded, SHORT_Q)[: len(text)]
-    bucket = _ranks(np.ascontiguousarray(first).view(">u8").ravel().astype(np.uint64))
-    while reach < depth:
-        step = min(reach, depth - reach)
-        later = np.append(bucket[step:], np.zeros(step, np.uint64))
-        if reach + step >= depth:
-            return _ranks((bucket << U(32) | later)[starts])
-        bucket = _ranks(bucket << U(32) | later)
-        reach += step
-    return _ranks(bucket[starts])
+    n = len(text)
+    padded = np.append(text, np.zeros(SHORT_Q, np.uint8))
+    first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SHORT_Q)[:n]).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(first, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = first[order][1:] != first[order][:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, n))
+    pointer = np.zeros(n + depth + SHORT_Q, np.uint64)  # 0 beyond the text; a bucket's place plus one
+    pointer[order] = np.repeat(begin, size).astype(np.uint64) + U(1)
+    reach = np.full(n + 2, SHORT_Q, np.int32)  # by pointer
+    alive = order[np.repeat(size > 1, size)]
+    stack = []
+    while len(alive):  # whole buckets to a batch
+        at = min(len(alive), BATCH)
+        if at < len(alive):
+            at += int(np.argmax(pointer[alive[at:]] != pointer[alive[at - 1]])) if pointer[alive[-1]] != pointer[alive[at - 1]] else len(alive) - at
+        stack.append(alive[:at])
+        alive = alive[at:]
+    while stack:
+        batch = stack.pop()
+        own = pointer[batch]
+        far = reach[own.astype(np.int64)]
+        later = pointer[batch + far]
+        key = own << U(32) | later
+        by = np.argsort(key, kind="stable")
+        key, batch, own = key[by], batch[by], own[by]
+        split, edge = np.ones(len(key), bool), np.ones(len(key), bool)
+        split[1:] = key[1:] != key[:-1]
+        edge[1:] = own[1:] != own[:-1]
+        at = np.flatnonzero(split)
+        size = np.diff(np.append(at, len(key)))
+        lead = np.flatnonzero(edge)
+        place = at - np.repeat(lead, np.diff(np.append(np.searchsorted(at, lead), len(at))))  # within the bucket it comes from
+        pointers = own[at] + place.astype(np.uint64)
+        depths = np.minimum(far[by][at] + reach[(key[at] & U(0xFFFFFFFF)).astype(np.int64)], depth)
+        pointer[batch] = np.repeat(pointers, size)
+        reach[pointers.astype(np.int64)] = depths
+        rest = batch[np.repeat((size > 1) & (depths < depth), size)]
+        if len(rest):
+            stack.append(rest)
+    # pointers may tell suffixes apart beyond depth; neighbours in the order that agree to depth have one rank
+    order = np.argsort(pointer[starts], kind="stable")
+    s = starts[order]
+    new = np.zeros(len(s), bool)
+    for k in (*range(0, depth - 8, 8), depth - 8):
+        x = _eight(text, s + k)
+        new[1:] |= x[1:] != x[:-1]
+    out = np.empty(len(s), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
