@@ -196,3 +196,26 @@ def doc_flags(text: Column, name: Column, min_words: int = 3) -> Column:
     known = F.transform(words(name, camel=True), stem)
     flags = [F.when(text.rlike(PLACEHOLDER), "placeholder"), F.when(F.size(own) < min_words, "too-short"), F.when(F.size(F.array_except(told, known)) == 0, "echo")]
     return F.array_compact(F.array(*flags))
+
+
+def url_port(url: Column) -> Column:
+    """The port of a URL, that of its scheme where none is written."""
+    told = F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), r":([0-9]+)$", 1)
+    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
+    return F.when(told != "", told.cast("int")).when(scheme == "https", 443).when(scheme == "http", 80)
+
+
+def same_origin(source: Column, project: Column, provider: Column, repository: Column) -> Column:
+    """Whether a repository of an azure-devops history is of the catalog's server, collection (source, a URL) and project.
+
+    Scheme, host and port agree, neither URL names a user, the repository's path lies under the collection's, and
+    its next part, decoded, is the project; case matters in none of them. What isn't a URL agrees with nothing.
+    """
+    part = lambda url, k: F.try_parse_url(url, F.lit(k))
+    alike = lambda k: F.lower(part(source, k)) == F.lower(part(repository, k))
+    nobody = part(source, "USERINFO").isNull() & part(repository, "USERINFO").isNull()
+    prefix = F.concat(F.rtrim(part(source, "PATH"), F.lit("/")), F.lit("/"))
+    path = part(repository, "PATH")
+    after = F.try_url_decode(F.replace(F.substring(path, F.length(prefix) + 1, F.length(path)), F.lit("+"), F.lit("%2B")))
+    under = F.startswith(F.lower(path), F.lower(prefix)) & (F.lower(F.split(after, "/")[0]) == F.lower(project))
+    return F.coalesce((provider == "azure-devops") & alike("PROTOCOL") & alike("HOST") & (url_port(source) == url_port(repository)) & nobody & under, F.lit(False))

@@ -181,3 +181,22 @@ def find_names(df: DataFrame, wanted: str, limit: int, name: str = "name") -> Da
     """The best matches by rank, length and name."""
     out = df.withColumn("rank", name_rank(F.col(name), wanted)).where("rank IS NOT NULL")
     return out.orderBy("rank", F.length(name), name).limit(limit)
+
+
+def catalog_links(catalogs: DataFrame, items: DataFrame, histories: DataFrame, links: DataFrame) -> DataFrame:
+    """(catalog, item, status, symbols): the items of work-item catalogs with the number of symbols that the catalog's history
+    links to them.
+
+    catalogs: catalog, source, project; items: catalog, item; histories: catalog, provider, repository (one for a catalog at
+    most); links: catalog, item, symbol. Ids are only unique within a server's project: where a catalog and its history aren't
+    of one origin, none of its links count and all its items are labelled history-unavailable. That is decided once per
+    catalog. Without a history the items are not-assessed, else linked or not-linked.
+    """
+    same = S.same_origin(F.col("source"), F.col("project"), F.col("provider"), F.col("repository"))
+    told = catalogs.join(histories.withColumn("has", F.lit(True)), "catalog", "left")
+    told = told.select("catalog", F.when(F.col("has"), F.when(same, "same").otherwise("history-unavailable")).otherwise("not-assessed").alias("origin"))
+    good = links.join(told.where("origin = 'same'").select("catalog"), "catalog", "left_semi")
+    n = good.groupBy("catalog", "item").agg(F.countDistinct("symbol").alias("symbols"))
+    out = items.select("catalog", "item").distinct().join(told, "catalog").join(n, ["catalog", "item"], "left")
+    status = F.when(F.col("origin") != "same", F.col("origin")).when(F.col("symbols") > 0, "linked").otherwise("not-linked")
+    return out.select("catalog", "item", status.alias("status"), F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"))
