@@ -166,5 +166,5 @@ def systems_of_calls(items: DataFrame, table: DataFrame) -> DataFrame:
     ways = F.concat(F.array(F.struct(F.col("name").alias("prefix"), F.lit(False).alias("dotted"))), F.coalesce(F.transform(prefixes(F.col("qualified")), lambda x: F.struct(x.alias("prefix"), F.lit(True).alias("dotted"))), F.array()))
     each = items.select("name", "qualified").distinct().select("name", "qualified", F.explode(ways).alias("w")).select("name", "qualified", "w.*")
     hit = each.join(table.select("ord", "prefix", "system", dotted.alias("dotted")), ["prefix", "dotted"]).groupBy("name", "qualified").agg(F.min_by("system", "ord").alias("system"))
-    same = (items["name"] == hit["name"]) & items["qualified"].eqNullSafe(hit["qualified"])
-    return items.join(hit, same, "left").select(*[items[c] for c in items.columns], "system")
+    hit = hit.select(F.col("name").alias("_name"), F.col("qualified").alias("_qualified"), "system")
+    return items.join(hit, (F.col("name") == F.col("_name")) & F.col("qualified").eqNullSafe(F.col("_qualified")), "left").drop("_name", "_qualified")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import ordinals
@@ -29,6 +29,54 @@ def sql_objects(files: DataFrame) -> DataFrame:
     return out.select("file", "pos", "kind", sql_name(F.regexp_extract("body", head, 2)).alias("name"), "body", (F.lit(1) + F.regexp_count("body", F.lit(r"(?i)\b(?:if|while|case\s+when|when|catch)\b"))).alias("complexity"))
 
 
+SQL_HIDDEN = r"(?s)/\*.*?\*/|--[^\n]*+|'(?:[^']++|'')*+'"
+SQL_KINDS = "procedure|proc|function|view|table|trigger"
+
+
+def blanked_sql(text: Column) -> Column:
+    """SQL with every character of comments and literals as a space, line ends kept: all places stay where they are."""
+    gaps, hidden = F.split(text, SQL_HIDDEN, -1), F.regexp_extract_all(text, F.lit(SQL_HIDDEN), F.lit(0))
+    blank = F.transform(hidden, lambda x: F.regexp_replace(x, r"[^\n]", " "))
+    return F.array_join(F.zip_with(gaps, blank, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
+
+
+def sql_comment(before: Column) -> Column:
+    """The block comment, or the lines of line comments, right at the end of a text, in one line; null without one."""
+    x = F.rtrim(before, F.lit(" \t\r\n"))
+    block = F.regexp_replace(F.substring_index(x, "/*", -1), r"\*/\z", "")
+    lines = F.regexp_replace(F.regexp_extract(x, r"(?:^|\n)((?:[^\S\n]*--[^\n]*(?:\n|\z))+)\z", 1), r"(?m)^[^\S\n]*--", "")
+    said = F.when(F.endswith(x, F.lit("*/")), block).otherwise(lines)
+    said = F.btrim(F.regexp_replace(F.replace(said, F.lit("*"), F.lit(" ")), r"\s+", " "))
+    return F.when(said != "", said)
+
+
+def sql_statements(files: DataFrame) -> DataFrame:
+    """(file, kind, name, line, end_line, doc, parameters, complexity, body): one row per CREATE statement of files (file, text).
+
+    Statements are cut on the blanked text, which has every place where the text has it; so the comment right above a
+    statement is read from the text itself and becomes its doc, and lines are those of the file. Parameters (name: type)
+    are those of the header of procedures and functions, before AS, BEGIN or RETURNS. Tables have no complexity. body is
+    the text from the statement on to the next one.
+    """
+    start = rf"(?i)(?=\bcreate\s+(?:or\s+(?:alter|replace)\s+)?(?:{SQL_KINDS})\s)"
+    each = files.select("file", "text", blanked_sql(F.col("text")).alias("bare")).select("file", "text", F.posexplode(F.split("bare", start, -1)).alias("pos", "part"))
+    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("at", before.cast("int"))
+    head = rf"(?is)^create\s+(?:or\s+(?:alter|replace)\s+)?({SQL_KINDS})\s+(?:if\s+not\s+exists\s+)?{SQL_NAME}"
+    kind = F.lower(F.regexp_extract("part", head, 1))
+    each = each.withColumn("kind", F.when(kind == "proc", "procedure").otherwise(kind)).where("kind != ''")
+    lines = lambda x: F.regexp_count(x, F.lit("\n"))
+    line = lines(F.left("text", F.col("at"))) + 1
+    header = F.split("part", r"(?i)\b(?:AS|BEGIN|RETURNS)\b", 2)[0]
+    found = lambda k: F.regexp_extract_all(header, F.lit(r"(@\w+)\s+(\w+(?:\s*\([\d\s,]+\))?)"), F.lit(k))
+    parameters = F.when(F.col("kind").isin("procedure", "function"), F.zip_with(found(1), found(2), lambda n, t: F.concat(n, F.lit(": "), t))).otherwise(F.array().cast("array<string>"))
+    complexity = F.when(F.col("kind") != "table", 1 + F.regexp_count("part", F.lit(r"(?i)\b(?:if|while|case\s+when|when)\b")))
+    return each.select(
+        "file", "kind", sql_name(F.regexp_extract("part", head, 2)).alias("name"), line.alias("line"), (line + lines(F.left("part", F.length("part") - 1))).alias("end_line"),
+        sql_comment(F.left("text", F.col("at"))).alias("doc"), parameters.alias("parameters"), complexity.alias("complexity"), F.substring("text", F.col("at") + 1, F.length("part")).alias("body"),
+    )
+
+
 def sql_references(objects: DataFrame) -> DataFrame:
     """(file, name, kind, target): tables read or written and procedures run by each object, once each."""
     find = lambda verb: F.regexp_extract_all("body", F.lit(rf"(?i)\b{verb}\s+{SQL_NAME}"), F.lit(1))

@@ -61,3 +61,28 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("commits"), "sha") == [("a",), ("b",)]
+
+
+def test_sql_statements_keep_places_and_comments(spark):
+    text = """-- licence
+
+/* Old
+   note */
+create table [Shop].Baskets (k int, note text default 'CREATE VIEW no'); -- CREATE TABLE not
+CREATE INDEX i ON Baskets (k)
+
+-- Pays *one* basket
+  --  and closes it
+CREATE OR ALTER PROCEDURE shop.Pay @basket int, @name varchar (20) AS
+IF @basket > 0 -- WHEN hidden
+  SELECT CASE WHEN 1 = 1 THEN 'it''s' END
+GO
+-- far
+
+CREATE FUNCTION f() RETURNS int BEGIN RETURN 1 END"""
+    o = scanners.sql_statements(spark.createDataFrame([("f.sql", text), ("n.sql", None), ("e.sql", "")], "file string, text string"))
+    assert rows(o, "kind", "name", "line", "end_line", "doc", "complexity") == [("function", "f", 16, 16, "far", 1), ("procedure", "shop.pay", 10, 15, "Pays one basket and closes it", 3), ("table", "shop.baskets", 5, 9, "Old note", None)]
+    assert {r.name: r.parameters for r in o.collect()} == {"f": [], "shop.pay": ["@basket: int", "@name: varchar (20)"], "shop.baskets": []}
+    cut = text.splitlines(keepends=True)
+    assert {r.name: r.body for r in o.collect()}["shop.pay"] == "".join(cut[9:15])
+    assert spark.createDataFrame([(text,)], "t string").select((F.length(scanners.blanked_sql(F.col("t"))) == F.length("t")).alias("x")).first().x
