@@ -91,7 +91,7 @@ def text_files(spark: SparkSession, path: str, endings: list[str], exclude: list
     """(file, text) of all files with the endings, recursively; excluded globs and generated folders out."""
     from ..functions.scalars import any_glob
 
-    rows = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     keep = F.lit(False)
     for e in endings:
         keep = keep | F.lower("file").endswith(e)

@@ -89,7 +89,7 @@ def sql_references(objects: DataFrame) -> DataFrame:
 def migrations(files: DataFrame) -> DataFrame:
     """(file, version, ord): files in a migrations folder or named V1__x.sql, in order of their names without case."""
     name = F.element_at(F.split("file", "/"), -1)
-    rows = files.where(F.col("file").rlike(r"(?i)/migrations?/") | name.rlike(r"^V[0-9._]+__")).withColumn("version", F.regexp_extract(name, r"^V?([0-9][0-9._]*)", 1))
+    rows = files.where(F.col("file").rlike(r"(?i)/migrations?/") | name.rlike(r"^V[0-9._]+__")).withColumn("version", F.regexp_extract(name, r"^V?([0-9]+(?:[._][0-9]+)*)", 1))
     return ordinals(rows.withColumn("_name", F.lower(name)), "_name", "file").select("file", "version", F.col("number").alias("ord"))
 
 

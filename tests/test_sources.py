@@ -86,3 +86,59 @@ CREATE FUNCTION f() RETURNS int BEGIN RETURN 1 END"""
     cut = text.splitlines(keepends=True)
     assert {r.name: r.body for r in o.collect()}["shop.pay"] == "".join(cut[9:15])
     assert spark.createDataFrame([(text,)], "t string").select((F.length(scanners.blanked_sql(F.col("t"))) == F.length("t")).alias("x")).first().x
+
+
+def test_history_and_work_items(spark, tmp_path):
+    commit = lambda sha, files=(), items=(): {"sha": sha, "parents": [], "subject": f"s {sha}", "committedAt": "2024-01-02T00:00:00Z", "kind": "commit", "files": list(files), "workItems": list(items)}
+    touched = {"path": "a.cs", "oldPath": "b.cs", "status": "renamed", "granularity": "lines", "ranges": [{"oldStart": 1, "oldCount": 1, "newStart": 4, "newCount": 3}, {"oldStart": 9, "oldCount": 2, "newStart": 9, "newCount": 0}]}
+    pull = {"id": "#7", "title": "T", "status": "confirmed", "commits": ["c2"], "workItems": []}
+    (tmp_path / "h.json").write_text(json.dumps({"schema": "gitwizz.history/v2", "provider": "github", "repository": "r", "commits": [commit("c2", [touched], [{"workItem": "#1", "source": "s", "kind": "k", "evidence": "e"}]), commit("c1")], "pullRequests": [pull]}))
+    h = readers.history(spark, str(tmp_path / "h.json"))
+    assert rows(h["commits"], "sha", "order") == [("c1", 0), ("c2", 1)]  # oldest first
+    assert rows(h["files"], "sha", "path", "oldPath", "status") == [("c2", "a.cs", "b.cs", "renamed")]
+    assert rows(h["hunks"], "path", "first", "last") == [("a.cs", 4, 6), ("a.cs", 9, 8)]  # the second only deletes
+    assert rows(h["work_items"], "sha", "workItem") == [("c2", "#1")] and rows(h["pull_requests"], "id", "commits") == [("#7", ["c2"])]
+    item = lambda i, rev, title, day: {"id": i, "revision": rev, "type": "Bug", "state": "New", "title": title, "changedDate": f"2024-01-0{day}T00:00:00Z", "description": {"text": "d"}, "relations": [{"kind": "parent", "id": 9}]}
+    for name, content in (("w1.json", item(1, 2, "old", 1)), ("w2.json", item(1, 3, "new", 1)), ("w3.json", item(1, 3, "newest", 2)), ("w4.json", item(2, 1, "other", 1))):
+        (tmp_path / name).write_text(json.dumps(content))
+    assert rows(readers.work_items(spark, str(tmp_path / "w*.json")), "id", "title") == [(1, "newest"), (2, "other")]
+
+
+def test_test_snapshots_and_evidence_csv(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"format": "v2", "plans": [{"id": 1, "name": "P"}], "testCases": [{"id": 5, "title": "c", "suiteIds": [2]}], "assignments": [{"planId": 1, "suiteId": 2, "testCaseId": 5}], "requirements": [{"id": 8, "title": "r", "testCaseIds": [5]}]}))
+    t = readers.test_snapshot(spark, str(tmp_path / "t.json"))
+    assert rows(t["plans"]) == [(1, "P")] and rows(t["testCases"]) == [(5, "c", [2])] and rows(t["assignments"]) == [(1, 2, 5)] and rows(t["requirements"]) == [(8, "r", [5])]
+    (tmp_path / "e.csv").write_text('id,kind,text,source,version\nR-1,requirement,"a, b\nc",docs/x.md,1\n')
+    assert rows(readers.evidence_csv(spark, str(tmp_path / "e.csv"))) == [("R-1", "requirement", "a, b\nc", "docs/x.md", "1")]
+
+
+def test_listing_by_endings(spark, tmp_path):
+    for name in ("src/A.cs", "src/B.CS", "src/obj/C.cs", "web/node_modules/x/D.cs", "src/E.d.ts", "src/F.ts", "src/G.txt", "gen/H.cs"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"one\ntwo {name}")
+    got = readers.text_files(spark, str(tmp_path), [".cs", ".ts"], ["*/gen/*"])
+    assert sorted(r.file.rpartition("/")[2] for r in got.collect()) == ["A.cs", "B.CS", "F.ts"]
+    assert {r.text for r in got.where("file LIKE '%A.cs'").collect()} == {"one\ntwo src/A.cs"}
+    kinds = got.select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), F.lit("class").alias("kind"))
+    assert rows(sinks.scan_summary(kinds)) == [("ending", ".cs", 2), ("ending", ".ts", 1), ("kind", "class", 3)]
+
+
+def test_php_and_migrations(spark):
+    php = "<?php\n// class No {}\nabstract class Cart extends Base { function &add(int $x) { $s = 'function no() {}'; } }\ninterface Pays {}\nfunction helper() {}\n"
+    f = spark.createDataFrame([("a.php", php), ("db/migrations/V2__b.sql", "x"), ("db/V10_1__A.sql", "x"), ("db/migration/001_first.sql", "x"), ("db/other.sql", "x")], "file string, text string")
+    assert rows(scanners.php_symbols(f.where("file = 'a.php'")), "kind", "name") == [("class", "Cart"), ("interface", "Pays"), ("method", "add"), ("method", "helper")]
+    assert rows(scanners.migrations(f), "ord", "version", "file") == [(1, "001", "db/migration/001_first.sql"), (2, "10_1", "db/V10_1__A.sql"), (3, "2", "db/migrations/V2__b.sql")]
+
+
+def test_model_file(spark, tmp_path):
+    sinks.write_json(spark.createDataFrame([("n1", "class", None), ("n2", "method", 3)], "id string, kind string, complexity int").coalesce(1), str(tmp_path / "m"))
+    lines = [json.loads(x) for p in (tmp_path / "m").glob("part-*.json") for x in p.read_text().splitlines()]
+    assert lines == [{"id": "n1", "kind": "class"}, {"id": "n2", "kind": "method", "complexity": 3}]
+
+
+def test_same_name_pairs(spark):
+    from graphloom.operators import joins
+
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = joins.same_name_pairs(ids("A.f(int)", "A.g()", "A.h(a)", "A.h(b)"), ids("A.f(long)", "A.g()", "A.g(int)", "A.h(c)"))
+    assert rows(got) == [("A.f(int)", "A.f(long)")]
