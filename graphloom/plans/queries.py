@@ -196,7 +196,18 @@ def flow_edges(spark, sf, every: bool = False) -> DataFrame:
     return x.select(F.explode(ends).alias("e")).select("e.*").distinct()
 
 
+#: Traces by session, folder and extent: several queries read one.
+TRACES: dict[tuple, DataFrame] = {}
+
+
 def traced(spark, sf, every: bool = False) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, every)
+    if key not in TRACES:
+        TRACES[key] = new_trace(spark, sf, every)
+    return TRACES[key]
+
+
+def new_trace(spark, sf, every: bool) -> DataFrame:
     starts = t(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("start"))
     return G.flow_trace(flow_edges(spark, sf, every), starts)
 
@@ -725,3 +736,8 @@ def context_budget(spark, sf):
 
 from . import rule_queries  # noqa: E402, F401  registers further queries
 from . import deep_queries  # noqa: E402, F401
+
+# queries that a filter keeps to a part of their tables give way to those over every row
+for _name in [n for n in QUERIES if f"{n}_all" in QUERIES]:
+    del QUERIES[_name]
+    ORACLE_SQL.pop(_name, None)
