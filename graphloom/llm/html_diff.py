@@ -23,10 +23,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .common import packed, slices, text_of, unpacked
 
 NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -321,14 +322,13 @@ def settle_inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: What is known of the first and last page of a range: the range, whether the page is its first and its last, the
-#: page, and its neighbour within the range.
-EDGE_PAGE = ("host", "path", "h", "inner_host", "inner_path", "inner_h")
-EDGE = f"struct<part:int,first:boolean,last:boolean,{','.join(f'{c}:string' for c in EDGE_PAGE)}>"
-EDGE_TYPE = pa.struct([("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), *[(c, pa.string()) for c in EDGE_PAGE]])
+#: page, and its neighbour within the range. A page is one row without row; its rows follow without the page.
+END_PAGE = ("host", "path", "h", "inner_host", "inner_path", "inner_h")
+END = [("part", "int", pa.int32()), ("first", "boolean", pa.bool_()), ("last", "boolean", pa.bool_()), *[(c, "string", pa.string()) for c in END_PAGE]]
 
 
 def range_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and edge of a range's first and last page."""
+    """The first and last page of a range, each once, and their rows."""
     part = TaskContext.get().partitionId()
     first = second = before = last = None
     for page in ranged(batches):
@@ -336,44 +336,33 @@ def range_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, last = last, page
     for page, inner, is_first, is_last in ((first, second, True, second is None), (last if second else None, before, False, True)):
         if page is not None:
-            known = (page.host, page.path, page.source, *((inner.host, inner.path, inner.source) if inner else (None,) * 3))
-            edge = {"part": part, "first": is_first, "last": is_last, **dict(zip(EDGE_PAGE, known, strict=True))}
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(page.rows), pa.array([edge] * len(page.rows), EDGE_TYPE)], ["row", "edge"])
-
-
-def settle_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and last pages of all ranges, in order. The page before a range's first is the last of the range before,
-    and the other way round. Three pages are held at a time."""
-
-    def edges():
-        page = edge = None
-        for b in batches:
-            for k in range(b.num_rows):
-                e = b.column(1)[k].as_py()
-                if edge is not None and (edge["part"], edge["last"]) == (e["part"], e["last"]):
-                    page.rows.append(b.column(0).slice(k, 1))
-                    continue
-                if page is not None:
-                    yield page, edge
-                page, edge = Page([b.column(0).slice(k, 1)], e["host"], e["path"], e["h"]), e
-        if page is not None:
-            yield page, edge
-
-    def text(before, here, after):
-        page, e = here
-        inner = None if e["inner_h"] is None else Page([], e["inner_host"], e["inner_path"], e["inner_h"])
-        return paired_text(page, (before and before[0]) if e["first"] else inner, (after and after[0]) if e["last"] else inner)
-
-    def texts():
-        before = here = None
-        for after in edges():
-            if here is not None:
-                yield here[0], text(before, here, after)
-            before, here = here, after
-        if here is not None:
-            yield here[0], text(before, here, None)
-
-    return settled(texts())
+            known = [page.host, page.path, page.source, *((inner.host, inner.path, inner.source) if inner else (None,) * 3)]
+            rows = pa.concat_arrays(page.rows)
+            for r, values in ((pa.nulls(1, rows.type), known), (rows, [None] * len(END_PAGE))):
+                cells = [part, is_first, is_last, *values]
+                yield pa.RecordBatch.from_arrays([r, *[pa.array([v] * len(r), t) for v, (_, _, t) in zip(cells, END, strict=True)]], ["row", *[n for n, _, _ in END]])
+
+
+def settle_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, first, last and text of pages that stand beside the one before them and the one after."""
+    for b in batches:
+        for x in b.to_pylist():
+            here, before, after = (Page([], x[f"{k}host"], x[f"{k}path"], x[f"{k}h"]) if x[f"{k}h"] is not None else None for k in ("", "before_", "after_"))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([x["part"]], pa.int32()), "first": [x["first"]], "last": [x["last"]], "text": pa.array([paired_text(here, before, after)], pa.string())})
+
+
+def end_texts(ends: DataFrame) -> DataFrame:
+    """row and text of the ends of all ranges. The page before a range's first is the last of the range before that has
+    pages, and the other way round: ranges meet on their numbers, so that no task has the ends of all."""
+    pages = ends.where("row IS NULL").drop("row")
+    order = Window.orderBy("part")  # one row for each range
+    beside = pages.where("first").select("part", F.lag("part").over(order).alias("left"), F.lead("part").over(order).alias("right"))
+    side = lambda end, key, name: pages.where(end).select(F.col("part").alias(key), *[F.col(c).alias(f"{name}{c}") for c in ("host", "path", "h")])
+    met = pages.join(beside, "part").join(side("last", "left", "l_"), "left", "left").join(side("first", "right", "r_"), "right", "left")
+    pick = lambda end, name, c: F.when(F.col(end), F.col(f"{name}{c}")).otherwise(F.col(f"inner_{c}"))
+    cols = [pick(end, name, c).alias(f"{to}{c}") for end, name, to in (("first", "l_", "before_"), ("last", "r_", "after_")) for c in ("host", "path", "h")]
+    texts = met.select("part", "first", "last", "host", "path", "h", *cols).mapInArrow(settle_ends, "part int, first boolean, last boolean, text string")
+    return ends.where("row IS NOT NULL").select("row", "part", "first", "last").join(texts, ["part", "first", "last"]).select("row", "text")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -382,8 +371,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null html is an empty page. Pages without a url, or alone on their host, have no partner and are judged
     by their markup. Repeated rows are each returned and don't pair; pages with equal paths may pair. The pages
     are shuffled once: both passes, over the inner pages and over the ranges' ends, read the same exchange. The
-    ends, at most four pages a range, go through one task, which holds three at a time. An empty table gives an
-    empty table.
+    ends, with their neighbours at most four pages a range, are written and meet the neighbouring ranges' by number. An
+    empty table gives an empty table.
     """
     ship_package(pages.sparkSession)
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -394,6 +383,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rest = [c for c in pages.columns if c.lower() != "html"]
     slim = dealt.select(F.struct(*[F.col(f"row.`{c}`") for c in rest]).alias("row"), "host", "path", text_of("row.html").alias("h"), "tie")
     shape = slim.select("row", F.lit(None).cast("string").alias("text")).schema
-    ends = slim.mapInArrow(range_ends, slim.select("row", F.lit(None).cast(EDGE).alias("edge")).schema).repartition(1).sortWithinPartitions("edge.part", "edge.last")
-    whole = slim.mapInArrow(settle_inner, shape).unionByName(ends.mapInArrow(settle_edges, shape))
+    # row is null in a page's own row
+    known = slim.select(*[F.lit(None).cast(t).alias(n) for n, t, _ in END]).schema
+    ends = materialize(slim.mapInArrow(range_ends, StructType([StructField("row", slim.schema["row"].dataType, True), *known.fields])))
+    whole = slim.mapInArrow(settle_inner, shape).unionByName(end_texts(ends))
     return unpacked(whole, rest, {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")})
