@@ -134,7 +134,8 @@ def compare(table: pa.Table, threshold: float) -> pa.Table:
 def split_on(placed: DataFrame, threshold: float, dim: int, seed: int) -> DataFrame:
     """placed (v, e, label, k, codes, dim) with codes of leaves that hold at most LEAF_CAP vectors of a label and
     dimension, but for those that splitting doesn't shrink. A round splits all larger leaves at once, each at the median
-    of its own projections; only (v, leaf, projection) rows are shuffled. A leaf's children have hashes for codes."""
+    of its own projections: the larger leaves' vectors are shuffled once a round to be projected, then only
+    (v, leaf, projection) rows. A leaf's children have hashes for codes."""
     keys = ["label", "dim", "leaf"]
     at = placed.select("v", "label", "dim", F.explode("codes").alias("leaf"))
     whole = at.limit(0).select(*keys)
