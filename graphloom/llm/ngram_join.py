@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -40,6 +40,10 @@ COMMON, COMMON_KEPT = 48, 1 << 20
 #: A list of so many sets is paired off. Most sets of a chunk and most shingles of it (about 24 MB of text), of which
 #: two meet in a task; a longer set is alone.
 SHORT_LIST, BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 22
+#: A token on so many prefixes is a long list unseen, and is dealt out in parts of about so many rows.
+HOT_TOKEN = 1 << 16
+#: Edges that a task contracts at once.
+EDGES = 1 << 20
 #: Sets of ids up to this size (8 MB) are broadcast, larger ones shuffled.
 BROADCAST_IDS = 1 << 20
 #: Bytes of text whose shingles are held at once.
@@ -50,6 +54,13 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _repeated(seen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that are in seen more than twice, and how often; seen is empty then."""
+    token, n = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
+    seen.clear()
+    return token[n > 2].view(np.int64), n[n > 2].astype(np.int64)
+
+
 def common_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
     """Sorted hashes of tokens that head many prefixes in hash order. Counts that a task sees only once
     or twice aren't sent: a token of a notable share of all documents repeats within tasks."""
@@ -58,9 +69,7 @@ def common_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
         seen: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(token[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _repeated(seen)], ["token", "n"])
 
         for b in slices(batches, 0, SLICE_BYTES):
             for s in shingle_sets(b.column(0), width):
@@ -86,17 +95,33 @@ def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
 
 
 def document_sets(texts: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """d, th, n (distinct shingles), f1 and f2 (fingerprint of the set), g (hash of prefix and size)."""
+    """d, th, n (distinct shingles), f1 and f2 (fingerprint of the set), g (hash of prefix and size).
+
+    Rows of n = -1 tell of a token (f1) that a million prefix tokens of a task have more than twice, and how often (f2).
+    """
+    names = ["d", "th", "n", "f1", "f2", "g"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            token, k = _repeated(seen)
+            none = pa.nulls(len(token), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(token), -1)), pa.array(token), pa.array(k), none], names)
+
         for b in slices(batches, 2, SLICE_BYTES):
             sets = shingle_sets(b.column(2), width)
             n = np.array([len(s) for s in sets], np.int64)
             with np.errstate(over="ignore"):
                 f1 = np.array([np.bitwise_xor.reduce(s * K1 ^ (s >> U(7))) for s in sets], np.uint64)
                 f2 = np.array([np.add.reduce(mix(s, s)) for s in sets], np.uint64)
-                g = mix(np.array([np.add.reduce(mix(p := _prefix(s, common.value, percent), p >> U(3))) for s in sets], np.uint64), n.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *[pa.array(x.view(np.int64)) for x in (f1, f2, g)]], ["d", "th", "n", "f1", "f2", "g"])
+                heads = [_prefix(s, common.value, percent) for s in sets]
+                g = mix(np.array([np.add.reduce(mix(p, p >> U(3))) for p in heads], np.uint64), n.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *[pa.array(x.view(np.int64)) for x in (f1, f2, g)]], names)
+            seen += [p for p, s in zip(heads, sets, strict=True) if len(s)]
+            if sum(map(len, seen)) > 1_000_000:
+                yield flush()
+        yield flush()
 
     return texts.select("d", "th", "t").mapInArrow(describe, "d long, th long, n long, f1 long, f2 long, g long")
 
@@ -116,6 +141,60 @@ def prefix_postings(texts: DataFrame, width: int, percent: int, common) -> DataF
     return texts.select("d", "t").mapInArrow(post, "token long, s long, n long")
 
 
+def shared_postings(posted: DataFrame, hot: DataFrame) -> DataFrame:
+    """token, s, n and long of the postings (token, s, n, members) whose token another one has too, once each.
+
+    One exchange brings a token's postings together. Those of hot tokens (token, parts) are dealt in parts, and count as a
+    long list without being counted. long: whether more than SHORT_LIST sets are behind the token.
+    """
+    posted = posted.join(F.broadcast(hot), "token", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("s"), F.col("parts"))))
+    same = Window.partitionBy("token", "part")
+    counted = posted.withColumns({"k": F.count("*").over(same), "m": F.sum("members").over(same)}).where("k > 1 OR parts IS NOT NULL")
+    long = (F.col("parts").isNotNull() | (F.col("m") > SHORT_LIST)).alias("long")
+    return counted.select("token", "part", "s", "n", long).distinct().drop("part")
+
+
+class Union:
+    """Union-find over the ids of a block or task."""
+
+    def __init__(self):
+        self.root: dict = {}
+
+    def top(self, x):
+        root = self.root
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+
+def forest(edges: DataFrame, *keys: str) -> DataFrame:
+    """edges (keys, a, b) with the same components; of the edges that a task holds at once, one star per component is left."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = Union()
+
+        def flush() -> pa.RecordBatch:
+            least: dict = {}
+            for v in union.root:
+                top = union.top(v)
+                least[top] = min(v, least.get(top, v))
+            found = [(*v, least[union.top(v)][-1]) for v in union.root]
+            union.root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(len(keys) + 2)], [*keys, "a", "b"])
+
+        for batch in batches:
+            *of, a, b = (c.to_pylist() for c in batch.columns)
+            for *k, x, y in zip(*of, a, b, strict=True):
+                union.root[union.top((*k, x))] = union.top((*k, y))
+            if len(union.root) > EDGES:
+                yield flush()
+        yield flush()
+
+    columns = [F.col(c).cast("long").alias(c) for c in (*keys, "a", "b")]
+    return edges.select(*columns).mapInArrow(contract, ", ".join(f"{c} long" for c in (*keys, "a", "b")))
+
+
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """df joined to a table of ids, which is broadcast only where it has been counted and is small."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
@@ -125,10 +204,10 @@ def chunks_of(sets: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1))
 
 
-def blocked(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, na, nb) with block: pairs of one small component of candidates share a block, so that its texts
+def blocked(pairs: DataFrame, rows: int) -> DataFrame:
+    """pairs (a, b, na, nb), so many rows, with block: pairs of one small component of candidates share a block, so that its texts
     travel once; the pairs of a larger one are dealt by b and, where b has many, by parts of its partners."""
-    parts = connected_components(pairs)
+    parts = connected_components(forest(pairs), rows=rows)
     sized = parts.join(pairs.select(F.col("a").alias("id"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct(), "id")
     size = sized.groupBy("component").agg(chunks_of(F.count("*"), F.sum("n")).alias("chunks"))
     homes = parts.join(size, "component").select(F.col("id").alias("b"), F.when(F.col("chunks") == 1, F.col("component")).alias("home"))
@@ -151,20 +230,6 @@ def _links(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([r[0] for r in found], pa.int64()), "b": pa.array([r[1] for r in found], pa.int64())})
 
 
-class Union:
-    """Union-find over the ids of a block."""
-
-    def __init__(self):
-        self.root: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        root = self.root
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = root[x]
-        return x
-
-
 def verify_pairs(left: pa.Table, right: pa.Table, width: int, percent: int) -> pa.Table:
     """The listed pairs (right: a, b) of a block that link on their whole texts (left: d, t). A pair that earlier
     links already connect isn't looked at."""
@@ -247,7 +312,7 @@ def short_list_pairs(short: DataFrame, long: DataFrame, percent: int) -> DataFra
     """
     x, y = short.alias("x"), short.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.s") > F.col("y.s")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    pairs = x.join(y, meet).groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.countDistinct("x.token").alias("c"))
+    pairs = x.join(y, meet).groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
     many = long.groupBy("s").agg(F.countDistinct("token").alias("h"))
     pairs = pairs.join(many.withColumnsRenamed({"s": "a", "h": "ha"}), "a", "left").join(many.withColumnsRenamed({"s": "b", "h": "hb"}), "b", "left").na.fill(0, ["ha", "hb"])
     beyond = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1  # noqa: E731  size less prefix
@@ -265,10 +330,12 @@ def long_list_members(long: DataFrame, inside: DataFrame, percent: int) -> DataF
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + F.lit(1e-9))
     listed = long.select("s", "n", "token", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x")).select("s", "n", "token", "x.*")
     first = listed.groupBy("token", "band").agg(F.min("s").alias("b"), F.bool_or("own").alias("some"), F.count("*").alias("k")).where("some").drop("some")
-    edges = spread_join(listed, first, ["token", "band"], weight="k").select("band", "own", "n", "s", F.struct("band", "s").alias("a"), F.struct("band", F.col("b").alias("s")).alias("b"))
+    edges = spread_join(listed, first, ["token", "band"], weight="k").select("band", "own", "n", F.col("s").alias("a"), "b")
     edges = materialize(edges)
-    heads = edges.select(F.col("a").alias("id"), "own", "n").distinct()
-    parts = heads.join(connected_components(edges.select("a", "b")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = lambda c: F.struct("band", F.col(c).alias("s"))
+    heads = edges.select(at("a").alias("id"), "own", "n").distinct()
+    links = forest(edges, "band").select(at("a").alias("a"), at("b").alias("b"))
+    parts = heads.join(connected_components(links, rows=edges.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = parts.select("component", F.col("id.s").alias("head"), "own", "n")
     members = heads.join(inside.select("head", "s"), "head", "left")
     return members.select("component", F.coalesce("s", "head").alias("d"), "n", "own")
@@ -280,28 +347,28 @@ def verified(blocks: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def long_list_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links of all components' members (component, d, n, own), up to connectivity.
+    """The links of all components' members (component, d, n, own), a written table, up to connectivity.
 
     Components of one chunk are one block. Of others, chunks are verified alone; the largest cluster that links make is
     the component's main one. The sets outside are verified against one chunk of it, and those that are outside
     still against each other and the other chunks: sets that are connected already are never compared.
     """
-    members = materialize(members)
     size = members.groupBy("component").agg(chunks_of(F.count("*"), F.sum("n")).alias("chunks"), F.count("*").alias("k"))
     dealt = materialize(spread_join(members, size, ["component"], weight="k").withColumn("side", F.pmod(F.xxhash64("d"), F.col("chunks"))))
     alone = dealt.select(F.xxhash64("component", F.lit("alone"), "side").alias("block"), "d", "side", "own", F.col("d").alias("root"), F.lit(False).alias("across"))
     links = materialize(verified(materialize(alone), texts, width, percent))
     large = materialize(dealt.where("chunks > 1").select("component", "d", "n", "own"))
-    if large.isEmpty():
+    rows = large.count()
+    if not rows:
         return links
 
     def clustered(links: DataFrame) -> DataFrame:
         """large with root, main (whether it is in its component's main cluster) and chunk, within its kind."""
-        roots = large.join(connected_components(links).withColumnsRenamed({"id": "d", "component": "root"}), "d", "left").withColumn("root", F.coalesce("root", "d"))
+        roots = large.join(connected_components(forest(links), rows=links.count()).withColumnsRenamed({"id": "d", "component": "root"}), "d", "left").withColumn("root", F.coalesce("root", "d"))
         most = roots.groupBy("component", "root").agg(F.count("*").alias("k")).groupBy("component").agg(F.max_by("root", F.struct("k", "root")).alias("top"))
         out = spread_join(roots, most, ["component"]).withColumn("main", F.col("root") == F.col("top")).drop("top")
         count = out.groupBy("component", "main").agg(chunks_of(F.count("*"), F.sum("n")).alias("chunks"))
-        return materialize(spread_join(out, count, ["component", "main"]).withColumn("chunk", F.pmod(F.xxhash64("d", F.lit("chunk")), F.col("chunks"))))
+        return materialize(spread_join(out, count, ["component", "main"]).withColumn("chunk", F.pmod(F.xxhash64("d", F.lit("chunk")), F.col("chunks"))), rows)
 
     def across(rest: DataFrame, main: DataFrame, name: str) -> DataFrame:
         """Blocks of every chunk of rest with every chunk of main."""
@@ -338,22 +405,24 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     ship_package(spark)
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), text_of().alias("t"))
     told = spark.sparkContext.broadcast(common_tokens(texts, width, percent))
-    docs_sets = materialize(document_sets(texts, width, percent, told))
+    described = materialize(document_sets(texts, width, percent, told))
+    docs_sets = described.where("n >= 0")
+    rows = described.count()
+    hot = described.where("n < 0").groupBy(F.col("f1").alias("token")).agg(F.sum("f2").alias("k")).where(F.col("k") >= HOT_TOKEN)
 
     # the least document stands for an equal set, the least set's document for a group
     some = docs_sets.where("n > 0 AND d IS NOT NULL")
-    sets = materialize(some.groupBy("f1", "f2", "n").agg(F.min("d").alias("s"), F.first("g").alias("g"), F.count("*").alias("copies")))
-    heads = materialize(sets.groupBy("g").agg(F.min("s").alias("d"), F.first("n").alias("n"), F.count("*").alias("members")))
-    extra = materialize(docs_sets.select("d").where("d IS NOT NULL").distinct().join(heads, "d", "left_anti"))
+    sets = materialize(some.groupBy("f1", "f2", "n").agg(F.min("d").alias("s"), F.first("g").alias("g"), F.count("*").alias("copies")), rows)
+    heads = materialize(sets.groupBy("g").agg(F.min("s").alias("d"), F.first("n").alias("n"), F.count("*").alias("members")), rows)
+    extra = materialize(docs_sets.select("d").where("d IS NOT NULL").distinct().join(heads, "d", "left_anti"), rows)
     several = heads.where("members > 1").select("g", F.col("d").alias("head"), "n", "members")
-    inside = materialize(sets.join(several.drop("n"), "g").select("head", "s", "members"))
+    inside = materialize(sets.join(several.drop("n"), "g").select("head", "s", "members"), rows)
 
-    # groups post their prefixes; lists are counted in groups (k) and in sets (m)
+    # groups post their prefixes; lists are counted in sets
     posted = prefix_postings(only(texts.where("d IS NOT NULL"), extra, "d", "left_anti"), width, percent, told)
     posted = spread_join(posted, several.select(F.col("head").alias("s"), "members"), ["s"], "left").na.fill(1, ["members"])
-    counts = posted.groupBy("token").agg(F.count("*").alias("k"), F.sum("members").alias("m")).where("k > 1")
-    sized = materialize(spread_join(posted.drop("members"), counts, ["token"], weight="k").drop("k"))
-    short, long = sized.where(F.col("m") <= SHORT_LIST).drop("m"), sized.where(F.col("m") > SHORT_LIST).drop("m")
+    shared = materialize(shared_postings(posted, hot.select("token", F.ceil(F.col("k") / HOT_TOKEN).alias("parts"))))
+    short, long = shared.where("NOT long").drop("long"), shared.where("long").drop("long")
 
     # group pairs that pass the filter are expanded to their members: at most SHORT_LIST in both groups together
     pairs = materialize(short_list_pairs(short, long, percent))
@@ -361,14 +430,17 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     for side in "ab":
         pairs = pairs.join(of.withColumnsRenamed({"head": side, "s": "m"}), side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    pairs = materialize(blocked(materialize(pairs)))
-    need = materialize(pairs.select("block", F.col("a").alias("d")).union(pairs.select("block", "b")).distinct())
+    pairs = materialize(pairs)
+    found_pairs = pairs.count()
+    pairs = materialize(blocked(pairs, found_pairs), found_pairs)
+    need = materialize(pairs.select("block", F.col("a").alias("d")).union(pairs.select("block", "b")).distinct(), found_pairs)
     found = with_texts(need, texts).groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(lambda x, y: verify_pairs(x, y, width, percent), "a long, b long")
 
     # the groups of several members are lists of their own
     long = long.unionByName(several.select(F.col("g").alias("token"), F.col("head").alias("s"), "n"))
-    alike = long_list_links(long_list_members(long, inside, percent), texts, width, percent)
-    parts = connected_components(materialize(found.union(alike)))
+    alike = long_list_links(materialize(long_list_members(long, inside, percent), 2 * rows), texts, width, percent)
+    links = materialize(forest(found.union(alike)))
+    parts = connected_components(links, rows=links.count())
 
     named = sets.join(parts.withColumnRenamed("id", "s"), "s", "left").select("f1", "f2", "n", "copies", F.coalesce("component", "s").alias("c"))
     out = spread_join(docs_sets, named, ["f1", "f2", "n"], "left", weight="copies")

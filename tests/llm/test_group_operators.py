@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import embedding_forest, html_diff, line_crf, ngram_join
+from graphloom.operators.components import connected_components
 
 from . import docs as D
 
@@ -65,6 +66,42 @@ def test_ngram_join_large_group(spark, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 60
 
 
+def test_ngram_join_computes_prefixes_once(spark, rows, monkeypatch):
+    """The postings of all prefixes are made once and exchanged once, whatever is broadcast; hot tokens go in parts."""
+    want = D.components(rows)
+    posted, real = spark.sparkContext.accumulator(0), ngram_join.prefix_postings
+
+    def seen(batches):
+        for b in batches:
+            posted.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(ngram_join, "prefix_postings", lambda *a: real(*a).mapInArrow(seen, "token long, s long, n long"))
+    monkeypatch.setattr("graphloom.llm.common.BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join.spread_join, "__defaults__", ("inner", None, 0))
+    docs, n = D.frame(spark, rows).repartition(3), {}
+    for hot in (1 << 16, 3):
+        posted.value = 0
+        monkeypatch.setattr(ngram_join, "HOT_TOKEN", hot)
+        got = ngram_join.linked_documents(docs).collect()
+        assert {g.doc_id: (g.n_shingles, g.component_id) for g in got if g.doc_id is not None} == want
+        n[hot] = posted.value
+    sizes = {d: len(D.shingles(t)) for d, t, *_ in rows if d is not None}
+    assert 0 < n[1 << 16] == n[3] <= sum(k - -(-k * 80 // 100) + 1 for k in sizes.values() if k) + 100
+
+
+def test_forest_keeps_components(spark, monkeypatch):
+    """Contracted in one piece or in many, edges have the components they had."""
+    r = random.Random(5)
+    edges = spark.createDataFrame([(k, r.randrange(150), r.randrange(150)) for k in (1, 2) for _ in range(90)], "k long, a long, b long").repartition(3)
+    one = edges.where("k = 1")
+    want = {tuple(x) for x in connected_components(one).collect()}
+    for most in (1 << 20, 4):
+        monkeypatch.setattr(ngram_join, "EDGES", most)
+        star = ngram_join.forest(edges, "k").where("k = 1 AND a != b")
+        assert {tuple(x) for x in connected_components(star).collect()} == want
+
+
 @pytest.mark.parametrize("leaf, sample", [(64, 16_384), (10_000, 16_384), (64, 40)])
 def test_embedding_forest(spark, monkeypatch, leaf, sample):
     """With leaves from the sample, with all leaves split on in rounds, and with both."""
