@@ -74,7 +74,7 @@ def common_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
         for b in slices(batches, 0, SLICE_BYTES):
             for s in shingle_sets(b.column(0), width):
                 if len(s):
-                    seen.append(s[: prefix_sizes(len(s), percent)])
+                    seen.append(_prefix(s, s[:0], percent))
             if sum(map(len, seen)) > 1_000_000:
                 yield flush()
         yield flush()
@@ -85,13 +85,14 @@ def common_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set, in memory of its own: prefixes are kept long after their sets."""
     k = int(prefix_sizes(len(s), percent))
     if len(common):
         at = np.searchsorted(common, s)
         late = common[np.minimum(at, len(common) - 1)] == s
         if late.any():
             s = np.concatenate([s[~late], s[late]])
-    return s[:k]
+    return s[:k].copy()
 
 
 def document_sets(texts: DataFrame, width: int, percent: int, common) -> DataFrame:
@@ -226,6 +227,12 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks)
 
 
+def _sets(table: pa.Table, width: int) -> list[np.ndarray]:
+    """The shingle sets of a block's texts, hashed SLICE_BYTES at a time."""
+    texts = pa.RecordBatch.from_arrays([_column(table, "t")], ["t"])
+    return [s for b in slices(iter([texts]), 0, SLICE_BYTES) for s in shingle_sets(b.column(0), width)]
+
+
 def _links(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([r[0] for r in found], pa.int64()), "b": pa.array([r[1] for r in found], pa.int64())})
 
@@ -234,7 +241,7 @@ def verify_pairs(left: pa.Table, right: pa.Table, width: int, percent: int) -> p
     """The listed pairs (right: a, b) of a block that link on their whole texts (left: d, t). A pair that earlier
     links already connect isn't looked at."""
     sets: dict[int, list[np.ndarray]] = {}
-    for d, s in zip(left.column("d").to_pylist(), shingle_sets(_column(left, "t"), width), strict=True):
+    for d, s in zip(left.column("d").to_pylist(), _sets(left, width), strict=True):
         sets.setdefault(d, []).append(s)
     union, out = Union(), []
     for a, b in sorted(zip(right.column("a").to_pylist(), right.column("b").to_pylist(), strict=True)):
@@ -261,19 +268,23 @@ def verify_chunks(table: pa.Table, width: int, percent: int) -> pa.Table:
     ids, side, own = (table.column(c).to_numpy() for c in ("d", "side", "own"))
     across = table.column("across")[0].as_py()
     known = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
-    sets = shingle_sets(_column(table, "t"), width)
+    sets = _sets(table, width)
     n = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((ids, n))
     order = order[n[order] > 0]
     ids, side, own, known, n, sets = ids[order], side[order], own[order], known[order], n[order], [sets[i] for i in order.tolist()]
     if not len(n):
         return _links([])
-    _, entry = np.unique(np.concatenate(sets), return_inverse=True)
+    entry = np.concatenate(sets)
+    del sets
+    entry = np.unique(entry, return_inverse=True)[1].astype(np.int32)
     starts = np.cumsum(n) - n
-    doc = np.repeat(np.arange(len(n)), n)
-    rare = np.lexsort((entry, np.bincount(entry)[entry], doc))
     head = prefix_sizes(n, percent)
-    heads = entry[rare][np.arange(len(entry)) - starts[doc] < head[doc]]
+    often, heads = np.bincount(entry), []
+    for at, k, h in zip(starts.tolist(), n.tolist(), head.tolist(), strict=True):
+        x = entry[at : at + k]
+        heads.append(x[np.lexsort((x, often[x]))[:h]])
+    heads = np.concatenate(heads)
     first = np.cumsum(head) - head
     owner = np.repeat(np.arange(len(n)), head)
     by_token = np.argsort(heads, kind="stable")
@@ -439,7 +450,8 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     # the groups of several members are lists of their own
     long = long.unionByName(several.select(F.col("g").alias("token"), F.col("head").alias("s"), "n"))
     alike = long_list_links(materialize(long_list_members(long, inside, percent), 2 * rows), texts, width, percent)
-    links = materialize(forest(found.union(alike)))
+    # written first: a task that verifies and contracts at once would hold two Python workers
+    links = materialize(forest(materialize(found).union(materialize(alike))))
     parts = connected_components(links, rows=links.count())
 
     named = sets.join(parts.withColumnRenamed("id", "s"), "s", "left").select("f1", "f2", "n", "copies", F.coalesce("component", "s").alias("c"))

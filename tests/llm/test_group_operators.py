@@ -1,8 +1,10 @@
 """Joins, classifiers and pages against plain Python."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,34 @@ def test_ngram_join_large_group(spark, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 60
 
 
+def test_ngram_join_memory(spark, rows, monkeypatch):
+    """No task has a chain of Python workers, prefixes don't hold their sets, and a chunk's texts are hashed in slices."""
+    chained, real = [], ngram_join.materialize
+
+    def written(df, *a):
+        chained.append(df._jdf.queryExecution().optimizedPlan().toString().count("InArrow"))
+        return real(df, *a)
+
+    monkeypatch.setattr(ngram_join, "materialize", written)
+    assert ngram_join.linked_documents(D.frame(spark, rows)).count() == len(rows)
+    assert max(chained) == 1
+
+    s = np.arange(1000, dtype=np.uint64)
+    for common in (s[:0], s[:5]):
+        assert ngram_join._prefix(s, common, 80).base is None
+
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 1 << 18)
+    n, each = 400, 1000
+    texts = [" ".join(f"w{(d // 2 * each + k) % 10**6:06}" for k in range(each)) for d in range(n)]
+    table = pa.table({"d": range(n), "t": texts, "side": [0] * n, "own": [True] * n, "root": range(n), "across": [False] * n})
+    tracemalloc.start()
+    found = ngram_join.verify_chunks(table, 5, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(found["b"].to_pylist(), found["a"].to_pylist(), strict=True)) == [(d, d + 1) for d in range(0, n, 2)]
+    assert peak < 70 * n * each
+
+
 def test_ngram_join_computes_prefixes_once(spark, rows, monkeypatch):
     """The postings of all prefixes are made once and exchanged once, whatever is broadcast; hot tokens go in parts."""
     want = D.components(rows)
