@@ -10,7 +10,10 @@
 4. Group pairs meet on short token lists and count their common prefix tokens. Pairs whose common tokens,
    with all that may be common beyond the prefixes, can't reach the threshold are dropped exactly (count
    and size filter). What is left is expanded to the groups' members and verified on whole texts.
-5. Token lists with more than SHORT_LIST sets behind them (copies with edits by the thousand) aren't paired off. Their
+5. Token lists with more than SHORT_LIST sets behind them aren't paired off. Where they hold many sets, what is shared by
+   chance or by passages would connect most of a corpus; so their tokens go to the end of the order too, and the sets on
+   them, with new groups, post again. A pair that only long lists join has both its sets there.
+6. What long lists hold in the end (copies with edits by the thousand): their
    groups form components over shared tokens; a component is expanded to its members and verified in chunks
    of bounded weight. Of a component of several chunks, each is verified alone first; then only the sets outside the
    component's largest cluster go on, against one chunk of that cluster, and what still stays outside against
@@ -42,6 +45,9 @@ COMMON, COMMON_KEPT = 48, 1 << 20
 SHORT_LIST, BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 22
 #: A token on so many prefixes is a long list unseen, and is dealt out in parts of about so many rows.
 HOT_TOKEN = 1 << 16
+#: While long lists hold more sets or shingles than these, their tokens go to the end of the order and the sets post again;
+#: prefixes are posted so often at most.
+ROUND_SETS, ROUND_SHINGLES, ROUNDS = 1 << 14, 1 << 25, 4
 #: Edges that a task contracts at once.
 EDGES = 1 << 20
 #: Sets of ids up to this size (8 MB) are broadcast, larger ones shuffled.
@@ -80,7 +86,12 @@ def common_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
         yield flush()
 
     counts = texts.select("t").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(COMMON_KEPT)
+    return _most_common(counts.where(F.col("n") >= COMMON), COMMON_KEPT)
+
+
+def _most_common(counts: DataFrame, most: int) -> np.ndarray:
+    """The sorted hashes of the so many most frequent tokens (token, n)."""
+    top = counts.orderBy(F.desc("n"), "token").limit(most)
     return np.sort(np.array([r[0] for r in top.select("token").toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -321,9 +332,12 @@ def short_list_pairs(short: DataFrame, long: DataFrame, percent: int) -> DataFra
     most: the common short-list tokens, the long-list tokens of the set that has fewer, and what lies
     beyond the prefix of one of the two.
     """
-    x, y = short.alias("x"), short.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.s") > F.col("y.s")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    pairs = x.join(y, meet).groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
+    # tokens of one list count together: copies share a list over and over
+    lists = short.repartition("token").groupBy("token").agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("l")).groupBy("l").agg(F.count("*").alias("k"))
+    each = lists.select("k", "l", F.posexplode("l").alias("i", "y"))
+    met = each.select("k", "y", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("x"))
+    meet = (F.col("x.s") > F.col("y.s")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    pairs = met.where(meet).groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.sum("k").alias("c"))
     many = long.groupBy("s").agg(F.countDistinct("token").alias("h"))
     pairs = pairs.join(many.withColumnsRenamed({"s": "a", "h": "ha"}), "a", "left").join(many.withColumnsRenamed({"s": "b", "h": "hb"}), "b", "left").na.fill(0, ["ha", "hb"])
     beyond = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1  # noqa: E731  size less prefix
@@ -403,27 +417,22 @@ def long_list_links(members: DataFrame, texts: DataFrame, width: int, percent: i
     return links.union(verified(materialize(inner.union(across(rest, main, "all"))), texts, width, percent))
 
 
-def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, th (hash of the text), n_shingles, component_id.
-
-    Two documents link if 100 * intersection >= percent * union of their sets of distinct shingles of width
-    words (A-Z lower-cased; with fewer words the whole sequence is the one shingle). Null or empty text
-    has no shingle, links with nothing and is its own component. Rows of one doc_id are one vertex that
-    links as any of them does, and each gets a row; rows without doc_id link with nothing and have no
-    component. An empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), text_of().alias("t"))
-    told = spark.sparkContext.broadcast(common_tokens(texts, width, percent))
+def described_sets(texts: DataFrame, width: int, percent: int, told) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """What document_sets tells, written: rows of documents, the sets of those with an id (f1, f2, n, s, g, copies), hot
+    tokens (token, parts) and the number of rows. The least document stands for an equal set."""
     described = materialize(document_sets(texts, width, percent, told))
-    docs_sets = described.where("n >= 0")
     rows = described.count()
+    some = described.where("n > 0 AND d IS NOT NULL")
+    sets = materialize(some.groupBy("f1", "f2", "n").agg(F.min("d").alias("s"), F.first("g").alias("g"), F.count("*").alias("copies")), rows)
     hot = described.where("n < 0").groupBy(F.col("f1").alias("token")).agg(F.sum("f2").alias("k")).where(F.col("k") >= HOT_TOKEN)
+    return described.where("n >= 0"), sets, hot.select("token", F.ceil(F.col("k") / HOT_TOKEN).alias("parts")), rows
 
-    # the least document stands for an equal set, the least set's document for a group
-    some = docs_sets.where("n > 0 AND d IS NOT NULL")
-    sets = materialize(some.groupBy("f1", "f2", "n").agg(F.min("d").alias("s"), F.first("g").alias("g"), F.count("*").alias("copies")), rows)
+
+def met_on_lists(texts: DataFrame, width: int, percent: int, told, described: tuple) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of the described texts (d, t): pairs (a, b, na, nb) of sets that meet on short lists and pass the filter, long lists
+    (token, s, n) of groups' heads, the groups of several as lists of their own, and their members (head, s, members)."""
+    docs_sets, sets, hot, rows = described
+    # the least set's document stands for a group
     heads = materialize(sets.groupBy("g").agg(F.min("s").alias("d"), F.first("n").alias("n"), F.count("*").alias("members")), rows)
     extra = materialize(docs_sets.select("d").where("d IS NOT NULL").distinct().join(heads, "d", "left_anti"), rows)
     several = heads.where("members > 1").select("g", F.col("d").alias("head"), "n", "members")
@@ -432,7 +441,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     # groups post their prefixes; lists are counted in sets
     posted = prefix_postings(only(texts.where("d IS NOT NULL"), extra, "d", "left_anti"), width, percent, told)
     posted = spread_join(posted, several.select(F.col("head").alias("s"), "members"), ["s"], "left").na.fill(1, ["members"])
-    shared = materialize(shared_postings(posted, hot.select("token", F.ceil(F.col("k") / HOT_TOKEN).alias("parts"))))
+    shared = materialize(shared_postings(posted, hot))
     short, long = shared.where("NOT long").drop("long"), shared.where("long").drop("long")
 
     # group pairs that pass the filter are expanded to their members: at most SHORT_LIST in both groups together
@@ -441,14 +450,57 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     for side in "ab":
         pairs = pairs.join(of.withColumnsRenamed({"head": side, "s": "m"}), side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    pairs = materialize(pairs)
+    return materialize(pairs), long.select("token", "s", "n"), several.select(F.col("g").alias("token"), F.col("head").alias("s"), "n"), inside
+
+
+def met_in_rounds(texts: DataFrame, width: int, percent: int, common: np.ndarray, told, described: tuple) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b, na, nb) that short lists leave, and what is left on long lists (token, s, n) of groups (head, s, members).
+
+    Any order has every pair on some list. A pair that a round has on no short list has both its sets on long ones, so they
+    all go on to the next round; there the long lists' tokens are the last, so that its lists are shorter.
+    """
+    pairs, long, groups, inside = met_on_lists(texts, width, percent, told, described)
+    for _ in range(ROUNDS - 1):
+        on = long.select("s", "n").union(groups.select("s", "n")).distinct().join(inside.select(F.col("head").alias("s"), F.col("s").alias("m")), "s", "left")
+        on = materialize(on.select(F.coalesce("m", "s").alias("d"), "n").distinct())
+        sets, shingles = on.agg(F.count("*"), F.sum("n")).first()
+        if sets <= ROUND_SETS and (shingles or 0) <= ROUND_SHINGLES:
+            break
+        late = np.setdiff1d(_most_common(long.groupBy("token").agg(F.count("*").alias("n")), COMMON_KEPT), common)[: max(0, COMMON_KEPT - len(common))]
+        if not len(late):
+            break
+        common = np.union1d(common, late)
+        told = texts.sparkSession.sparkContext.broadcast(common)
+        # further documents do no harm: a text is only left out where that saves more than it costs
+        some = texts if 2 * sets > described[-1] else only(texts, on.select("d").distinct(), "d")
+        described = described_sets(some, width, percent, told)
+        more, long, groups, inside = met_on_lists(some, width, percent, told, described)
+        pairs = pairs.union(more)
+    return pairs, long.union(groups), inside
+
+
+def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, th (hash of the text), n_shingles, component_id.
+
+    Two documents link if 100 * intersection >= percent * union of their sets of distinct shingles of width
+    words (A-Z lower-cased; with fewer words the whole sequence is the one shingle). Null or empty text
+    has no shingle, links with nothing and is its own component. Rows of one doc_id are one vertex that
+    links as any of them does, and each gets a row; rows without doc_id link with nothing and have no
+    component. An empty table gives an empty table.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), text_of().alias("t"))
+    common = common_tokens(texts, width, percent)
+    told = spark.sparkContext.broadcast(common)
+    described = described_sets(texts, width, percent, told)
+    docs_sets, sets, _, rows = described
+    pairs, long, inside = met_in_rounds(texts, width, percent, common, told, described)
     found_pairs = pairs.count()
     pairs = materialize(blocked(pairs, found_pairs), found_pairs)
     need = materialize(pairs.select("block", F.col("a").alias("d")).union(pairs.select("block", "b")).distinct(), found_pairs)
     found = with_texts(need, texts).groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(lambda x, y: verify_pairs(x, y, width, percent), "a long, b long")
 
-    # the groups of several members are lists of their own
-    long = long.unionByName(several.select(F.col("g").alias("token"), F.col("head").alias("s"), "n"))
     alike = long_list_links(materialize(long_list_members(long, inside, percent), 2 * rows), texts, width, percent)
     # written first: a task that verifies and contracts at once would hold two Python workers
     links = materialize(forest(materialize(found).union(materialize(alike))))

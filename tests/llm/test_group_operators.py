@@ -96,6 +96,28 @@ def test_ngram_join_memory(spark, rows, monkeypatch):
     assert peak < 70 * n * each
 
 
+def test_ngram_join_passages(spark, monkeypatch):
+    """Passages in many documents connect most of them over long lists; yet few texts are exchanged, and no link is lost."""
+    for name, value in (("SHORT_LIST", 4), ("BLOCK_SETS", 8), ("ROUND_SETS", 8), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    r = random.Random(8)
+    passages = [[f"p{k}_{j}" for j in range(9)] for k in range(12)]
+    rows = []
+    for d in range(160):
+        w = [f"d{d}_{j}" for j in range(40)] + r.choice(passages) + r.choice(passages)
+        rows.append((1000 - d, " ".join(w), "en", "s", 0, "", "", "", "", ""))
+        if d % 8 == 0:
+            rows.append((2000 + d, " ".join([*w[:20], "x", *w[21:]]), "en", "s", 0, "", "", "", "", ""))
+        if d < 9:  # a cluster beyond the short lists
+            rows.append((3000 + d, " ".join([*(f"c{j}" for j in range(60)), f"y{d}"]), "en", "s", 0, "", "", "", "", ""))
+    sent, real = [], ngram_join.with_texts
+    monkeypatch.setattr(ngram_join, "with_texts", lambda members, texts: sent.append(members.count()) or real(members, texts))
+    want = D.components(rows)
+    assert {g.doc_id: (g.n_shingles, g.component_id) for g in ngram_join.linked_documents(D.frame(spark, rows)).collect()} == want
+    assert len(rows) - 40 < len({c for _, c in want.values()}) < len(rows) - 20
+    assert sum(sent) < len(rows), sent
+
+
 def test_ngram_join_computes_prefixes_once(spark, rows, monkeypatch):
     """The postings of all prefixes are made once and exchanged once, whatever is broadcast; hot tokens go in parts."""
     want = D.components(rows)
