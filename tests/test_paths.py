@@ -70,6 +70,19 @@ def test_crawls_equal_a_queue(spark):
             assert {(x.id, x.tier, x.depth, x.truncated) for x in got if x.crawl == k} == brute_crawl(steps, [v for n, v in seeds if n == k], depth, limit)
 
 
+def test_crawls_that_are_truncated_go_no_further(spark, monkeypatch):
+    """A vertex's steps are kept as far as a limit needs them, and a crawl over its limit takes part in no later round."""
+    steps = [("a", f"b{k}", False, False) for k in range(50)] + [(f"b{k}", f"c{j}", False, False) for k in range(50) for j in range(50)] + [("x", "y", False, False), ("y", "z", True, False), ("z", "a", False, False)]
+    written, real = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, *rows: written.append(out := real(df, *rows)) or out)
+    seeds = [(1, "a"), (2, "x")]
+    got = P.crawls(spark.createDataFrame(steps, "src string, dst string, deferred boolean, seed_only boolean"), spark.createDataFrame(seeds, "crawl int, id string"), 3, 4).collect()
+    for k, start in seeds:
+        assert {(x.id, x.tier, x.depth, x.truncated) for x in got if x.crawl == k} == brute_crawl(steps, [start], 3, 4)
+    assert sum(df.count() for df in written if "at" in df.columns) <= 5 * 51 + 3
+    assert sum(df.where("crawl = 1").count() > 0 for df in written if "crawl" in df.columns) == 2  # its start and the round that cuts it
+
+
 def test_crawl_steps(spark):
     nodes = [("T", "class", False), ("T.m", "method", False), ("R", "record", False), ("I", "interface", False), ("X", "external", False), ("t", "class", True), ("p", "package", False), ("m", "method", None)]
     edges = [("T", "T.m", "contains"), ("T.m", "m", "contains"), ("T.m", "R", "calls"), ("T.m", "T", "creates"), ("T", "I", "implements"), ("X", "T", "calls"), ("T", "t", "calls"), ("T", "p", "calls"), ("T", "m", "mentions"), ("T", "X", "http"), ("T", "gone", "calls")]
