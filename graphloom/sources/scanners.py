@@ -40,12 +40,27 @@ def blanked_sql(text: Column) -> Column:
     return F.array_join(F.zip_with(gaps, blank, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
 
 
+#: Characters of a text that are looked through for a place in it.
+BLOCK = 1024
+
+
+def cut_like(text: Column, parts: Column) -> Column:
+    """The parts (part) of a text of the same length, each with what the text has there (raw). The text is cut into blocks
+    first, so that a part is found without going through the text from its start."""
+    at = F.aggregate(parts, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x)))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    near = lambda b, s, n: F.array_join(F.slice(b, F.floor(s / BLOCK).cast("int") + 1, F.floor(n / BLOCK).cast("int") + 2), "")
+    cut = lambda b, x, s: F.struct(x.alias("part"), F.substring(near(b, s, F.length(x)), s % BLOCK + 1, F.length(x)).alias("raw"))
+    # the blocks as the one element of an array: they are made once, not for each part
+    return F.transform(F.array(blocks), lambda b: F.zip_with(parts, F.slice(at, F.lit(1), F.size(parts)), lambda x, s: cut(b, x, s)))[0]
+
+
 def sql_comment(before: Column) -> Column:
     """The block comment, or the lines of line comments, right at the end of a text, in one line; null without one."""
     x = F.rtrim(before, F.lit(" \t\r\n"))
     block = F.regexp_replace(F.substring_index(x, "/*", -1), r"\*/\z", "")
     lines = F.regexp_replace(F.regexp_extract(x, r"(?:^|\n)((?:[^\S\n]*--[^\n]*(?:\n|\z))+)\z", 1), r"(?m)^[^\S\n]*--", "")
-    said = F.when(F.endswith(x, F.lit("*/")), block).otherwise(lines)
+    said = F.when(F.endswith(x, F.lit("*/")) & F.contains(x, F.lit("/*")), block).otherwise(lines)
     said = F.btrim(F.regexp_replace(F.replace(said, F.lit("*"), F.lit(" ")), r"\s+", " "))
     return F.when(said != "", said)
 
@@ -53,27 +68,31 @@ def sql_comment(before: Column) -> Column:
 def sql_statements(files: DataFrame) -> DataFrame:
     """(file, kind, name, line, end_line, doc, parameters, complexity, body): one row per CREATE statement of files (file, text).
 
-    Statements are cut on the blanked text, which has every place where the text has it; so the comment right above a
-    statement is read from the text itself and becomes its doc, and lines are those of the file. Parameters (name: type)
+    Statements are cut on the blanked text, which has every place where the text has it; the text is cut at the same places,
+    so that the comment right above a statement ends the part before and becomes its doc, and lines are those of the file.
+    No row holds more of a file than its part and the one before. Parameters (name: type)
     are those of the header of procedures and functions, before AS, BEGIN or RETURNS. Tables have no complexity. body is
     the text from the statement on to the next one.
     """
     start = rf"(?i)(?=\bcreate\s+(?:or\s+(?:alter|replace)\s+)?(?:{SQL_KINDS})\s)"
-    each = files.select("file", "text", blanked_sql(F.col("text")).alias("bare")).select("file", "text", F.posexplode(F.split("bare", start, -1)).alias("pos", "part"))
-    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = each.withColumn("at", before.cast("int"))
+    parts = files.select("file", "text", F.split(blanked_sql(F.col("text")), start, -1).alias("parts"))
+    each = parts.select("file", F.posexplode(cut_like(F.col("text"), F.col("parts"))).alias("pos", "x")).select("file", "pos", "x.*")
+    lines = lambda x: F.regexp_count(x, F.lit("\n"))
+    in_file = Window.partitionBy("file").orderBy("pos")
+    each = each.withColumns({
+        "line": (F.coalesce(F.sum(lines("part")).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int"),
+        "before": F.coalesce(F.lag("raw").over(in_file), F.lit("")),
+    })
     head = rf"(?is)^create\s+(?:or\s+(?:alter|replace)\s+)?({SQL_KINDS})\s+(?:if\s+not\s+exists\s+)?{SQL_NAME}"
     kind = F.lower(F.regexp_extract("part", head, 1))
     each = each.withColumn("kind", F.when(kind == "proc", "procedure").otherwise(kind)).where("kind != ''")
-    lines = lambda x: F.regexp_count(x, F.lit("\n"))
-    line = lines(F.left("text", F.col("at"))) + 1
     header = F.split("part", r"(?i)\b(?:AS|BEGIN|RETURNS)\b", 2)[0]
     found = lambda k: F.regexp_extract_all(header, F.lit(r"(@\w+)\s+(\w+(?:\s*\([\d\s,]+\))?)"), F.lit(k))
     parameters = F.when(F.col("kind").isin("procedure", "function"), F.zip_with(found(1), found(2), lambda n, t: F.concat(n, F.lit(": "), t))).otherwise(F.array().cast("array<string>"))
     complexity = F.when(F.col("kind") != "table", 1 + F.regexp_count("part", F.lit(r"(?i)\b(?:if|while|case\s+when|when)\b")))
     return each.select(
-        "file", "kind", sql_name(F.regexp_extract("part", head, 2)).alias("name"), line.alias("line"), (line + lines(F.left("part", F.length("part") - 1))).alias("end_line"),
-        sql_comment(F.left("text", F.col("at"))).alias("doc"), parameters.alias("parameters"), complexity.alias("complexity"), F.substring("text", F.col("at") + 1, F.length("part")).alias("body"),
+        "file", "kind", sql_name(F.regexp_extract("part", head, 2)).alias("name"), "line", (F.col("line") + lines(F.left("part", F.length("part") - 1))).alias("end_line"),
+        sql_comment(F.col("before")).alias("doc"), parameters.alias("parameters"), complexity.alias("complexity"), F.col("raw").alias("body"),
     )
 
 
